@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module of this subpackage, function)
 MODULES = {
+    "op1_warc": ("warc", "op1_warc"),
     "op5_token_files": ("tokenfiles", "op5_token_files"),
 }
 
@@ -15,4 +16,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from gridloom.llm import warc
+
+    return {"op1_warc": warc.OP1_SQL}
