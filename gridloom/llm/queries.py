@@ -6,6 +6,8 @@ import importlib
 
 #: query -> (module of this subpackage, function)
 MODULES = {
+    "op8_langid": ("langid", "op8_langid"),
+    "op7_media_avi": ("media_avi", "op7_media_avi"),
     "op1_warc": ("warc", "op1_warc"),
     "op5_token_files": ("tokenfiles", "op5_token_files"),
 }
