@@ -13,11 +13,15 @@ manifest names count, so a lost executor leaves no partial data.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +38,56 @@ _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_L
 
 
 class ByteLevelEncoder:
-    """Texts to little-endian uint32 ids. A byte-level model never merges across the pieces that its
-    pre-tokenizer cuts, so pieces are encoded once by the library and remembered, up to ``max_cache`` of them."""
+    """Texts to little-endian uint32 ids. A byte-level model never merges across the pieces that its pre-tokenizer cuts,
+    so the library encodes a piece once and it is remembered; beyond ``max_cache`` pieces, new ones are encoded each time."""
 
-    def __init__(self, path: str, max_cache: int = 400_000):
+    def __init__(self, path: str, max_cache: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.max_cache = max_cache
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
+
+    def _library(self, text: str) -> np.ndarray:
+        (found,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. Those without white space at their end go to the library as lines of one text: line ends are pieces of their own."""
+        lines = [x for x in new if not x[-1].isspace()]
+        ids = self._library("\n".join(lines))
+        ends = [] if not lines else np.append(np.flatnonzero(ids == self.line_end), len(ids)).tolist()
+        data, start, found = ids.tobytes(), 0, {}
+        for piece, end in zip(lines, ends, strict=True):
+            found[piece] = data[4 * start : 4 * end]
+            start = end + 1
+        return found | {x: self._library(x).tobytes() for x in new if x[-1].isspace()}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
-            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+            return self._library(text).tobytes()
         pieces = _PIECE.findall(text)
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            pass
-        if len(self.known) > self.max_cache:
-            self.known = {}
-        new = list(set(pieces).difference(self.known))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = self._pack(found.ids)
-        return b"".join(map(self.known.__getitem__, pieces))
+            new = self._learn(list(set(pieces).difference(self.known)))
+        if len(self.known) < self.max_cache:
+            self.known |= new
+            new = self.known
+        else:
+            new = ChainMap(new, self.known)
+        return b"".join(map(new.__getitem__, pieces))
+
+
+@cache
+def encoder_of(path: str) -> ByteLevelEncoder:
+    """One for each Python worker, which runs many tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return ByteLevelEncoder(path)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,12 +100,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     def write(batches: Iterator) -> Iterator:
         import uuid
 
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        os_threads_off()
-        encoder = ByteLevelEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         width = 2 if max(encoder.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         kind = np.dtype(f"<u{width}")
         end = struct.pack("<I", end_id)
@@ -117,19 +139,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def os_threads_off() -> None:
-    """A Spark task has one core; the library's own threads would take its neighbours'."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-
-
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Read files back: (doc_id, start, n_tokens, ids_crc32), start counted over the whole corpus. Local
     files are memory-mapped; a remote file is read a bounded block of documents at a time."""
 
     def read(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
