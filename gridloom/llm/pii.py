@@ -211,7 +211,7 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([xxh64_intdigest(t) % MAP_BITS for t in batch.column(0).to_pylist()], pa.int64())], names=["at"])
 
     words = terms.select("term").mapInArrow(positions, "at long").groupBy((F.col("at") / 32).cast("long").alias("word"))
-    rows = words.agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))).alias("bits")).collect()
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 AS int))")).alias("bits")).collect()
     bitmap = np.zeros(MAP_BITS // 32, "<u4")
     for row in rows:
         bitmap[row.word] = row.bits
