@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module of this subpackage, function)
 MODULES = {
+    "op2_mixing": ("mixing", "op2_mixing"),
     "op3_pii": ("pii", "op3_pii"),
     "op8_langid": ("langid", "op8_langid"),
     "op7_media_avi": ("media_avi", "op7_media_avi"),
