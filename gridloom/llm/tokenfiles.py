@@ -34,14 +34,20 @@ HEADER = "<8sIIQ"  # magic, bytes per id, 0, documents
 #: Texts of these characters alone are split by the pattern below; any other text goes to the library whole.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſ"
 _ODD = re.compile(f"[^\\t\\n\\r -~{_LETTER}«»¿¡‘’“”–—…]")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+#: Python takes these for white space.
+_ODD_ASCII = "\x1c\x1d\x1e\x1f"
+_PIECE = re.compile(f" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+
+
+def _odd(text: str) -> bool:
+    return any(c in text for c in _ODD_ASCII) if text.isascii() else bool(_ODD.search(text))
 
 
 class ByteLevelEncoder:
     """Texts to little-endian uint32 ids. A byte-level model never merges across the pieces that its pre-tokenizer cuts,
     so the library encodes a piece once and it is remembered; beyond ``max_cache`` pieces, new ones are encoded each time."""
 
-    def __init__(self, path: str, max_cache: int = 700_000):
+    def __init__(self, path: str, max_cache: int = 1_400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -68,13 +74,14 @@ class ByteLevelEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if _odd(text):
             return self._library(text).tobytes()
         pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            new = self._learn(list(set(pieces).difference(self.known)))
+        known = self.known
+        missing = [x for x in pieces if x not in known]
+        if not missing:
+            return b"".join(map(known.__getitem__, pieces))
+        new = self._learn(list(set(missing)))
         if len(self.known) < self.max_cache:
             self.known |= new
             new = self.known
