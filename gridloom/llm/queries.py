@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module of this subpackage, function)
 MODULES = {
+    "op9_minhash": ("minhash_join", "op9_minhash"),
     "op10_license_scan": ("license_rules", "op10_license_scan"),
     "op2_mixing": ("mixing", "op2_mixing"),
     "op3_pii": ("pii", "op3_pii"),
