@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module of this subpackage, function)
 MODULES = {
+    "op6_vector_join": ("vector_join", "op6_vector_join"),
     "op9_minhash": ("minhash_join", "op9_minhash"),
     "op10_license_scan": ("license_rules", "op10_license_scan"),
     "op2_mixing": ("mixing", "op2_mixing"),
@@ -22,6 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridloom.llm import warc
+    from gridloom.llm import vector_join, warc
 
-    return {"op1_warc": warc.OP1_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_vector_join": vector_join.OP6_SQL}
