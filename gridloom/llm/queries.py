@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module of this subpackage, function)
 MODULES = {
+    "op4_sentencepiece": ("sentencepiece_sa", "op4_sentencepiece"),
     "op6_vector_join": ("vector_join", "op6_vector_join"),
     "op9_minhash": ("minhash_join", "op9_minhash"),
     "op10_license_scan": ("license_rules", "op10_license_scan"),
