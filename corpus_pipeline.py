@@ -20,7 +20,7 @@ from gridloom.llm.langid import learn_profiles, predict_language
 from gridloom.llm.minhash_join import near_duplicates
 from gridloom.llm.mixing import mixed_documents, plan_mix
 from gridloom.llm.pii import sanitise
-from gridloom.llm.sentencepiece_sa import decode_pieces, encode_pieces
+from gridloom.llm.sentencepiece_sa import encode_pieces
 from gridloom.plans.shared import materialize
 
 MIN_SCORE = 0.1
@@ -56,10 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    keep = ["doc_id", "lang", "source", "__hash"]
-    encoded = encode_pieces(docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))), model, keep)
-    found = decode_pieces(encoded.withColumn("kept_ids", F.col("ids")), model, [*keep, "kept_ids"])
-    return found.select("doc_id", "lang", "source", "n_tokens", F.col("kept_ids").alias("ids"), "ids_crc32", (F.xxhash64("decoded") == F.col("__hash")).alias("round_trip"))
+    return encode_pieces(docs, model, ["doc_id", "lang", "source"], verify=True)
 
 
 STAGES = [("language", language), ("near_duplicates", deduplicate), ("pii", pii), ("mixing", mixing), ("tokens", tokens)]

@@ -35,7 +35,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Texts to sorted arrays of 64-bit shingle hashes. Words are hashed once and remembered, up to ``max_words`` of them."""
 
-    def __init__(self, k: int, max_words: int = 300_000):
+    def __init__(self, k: int, max_words: int = 120_000):
         self.k, self.max_words = k, max_words
         self.known: dict[bytes, int] = {}
 

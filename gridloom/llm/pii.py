@@ -107,7 +107,7 @@ def entity_of(kind: str, value: str) -> int:
 
 
 def surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """The terms near each entity: {entity, context, term, start, end}; context is the same for the same set of terms."""
+    """The terms near each entity: {entity, context, term, start, end}; context is the same for the same terms in the same order."""
     inside = sorted((a, b) for _, a, b in spans)
     starts = np.array([a for a, _ in inside])
     ends = np.maximum.accumulate(np.array([b for _, b in inside]))
@@ -129,7 +129,7 @@ def surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         own.update(terms(b, min(len(text), b + _NEAR))[:REACH])
     rows = []
     for entity, own in near.items():
-        context = _hash64(" ".join(sorted({t for t, _, _ in own})))
+        context = _hash64(" ".join(t for t, _, _ in sorted(own, key=lambda x: x[1])))
         rows += [{"entity": entity, "context": context, "term": t, "start": a, "end": b} for t, a, b in sorted(own, key=lambda x: x[1])]
     return rows
 
@@ -187,13 +187,13 @@ def _document_counts(docs: DataFrame, bits: np.ndarray, text_col: str) -> DataFr
                 for word in set(_WORD.findall(text.lower())):
                     hit = known.get(word)
                     if hit is None:
-                        if len(known) > 300_000:
+                        if len(known) > 120_000:
                             known.clear()
                         at = xxh64_intdigest(word) % MAP_BITS
                         hit = known[word] = bool(bitmap[at >> 3] >> (at & 7) & 1)
                     if hit:
                         counts[word] = counts.get(word, 0) + 1
-            if len(counts) > 500_000:
+            if len(counts) > 200_000:
                 yield flush()
         yield flush()
 

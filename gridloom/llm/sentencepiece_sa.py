@@ -296,7 +296,7 @@ class Model:
 class Encoder:
     """A model and the parts it has met, ``max_parts`` of them at most."""
 
-    def __init__(self, raw: bytes, max_parts: int = 700_000):
+    def __init__(self, raw: bytes, max_parts: int = 250_000):
         self.model, self.max_parts = Model(raw), max_parts
         self.known: dict[str, bytes] = {}
 
@@ -325,8 +325,9 @@ def encoder_of(path: str) -> Encoder:
         return Encoder(f.read())
 
 
-def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
-    """``keep`` columns of ``docs`` and ids (array<int>). ``model`` is a path that every executor has, like a library's file."""
+def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str = "text", batch_chars: int = 1 << 21, verify: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs`` and ids (array<int>). ``model`` is a path that every executor has, like a library's file. ``verify`` decodes in the
+    same pass and adds n_tokens, ids_crc32 and round_trip: whether the ids give the text again."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -337,7 +338,11 @@ def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str =
             data = own.encode(texts)
             ends = np.concatenate(([0], np.cumsum([len(d) // 4 for d in data]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
-            return pa.RecordBatch.from_arrays([*(c.slice(lo, len(texts)) for c in batch.columns[:-1]), ids], names=[*batch.schema.names[:-1], "ids"])
+            out = {n: c.slice(lo, len(texts)) for n, c in zip(batch.schema.names[:-1], batch.columns)} | {"ids": ids}
+            if verify:
+                same = [own.decode(np.frombuffer(d, "<u4").tolist()) == (t or "") for d, t in zip(data, texts)]
+                out |= {"n_tokens": pa.array([len(d) // 4 for d in data], pa.int64()), "ids_crc32": pa.array([zlib.crc32(d) for d in data], pa.int64()), "round_trip": pa.array(same, pa.bool_())}
+            return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
         for batch in batches:
             texts, size, lo = [], 0, 0
@@ -353,7 +358,8 @@ def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str =
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    more = "ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean" if verify else "ids array<int>"
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(more).fields])
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
