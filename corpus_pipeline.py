@@ -27,9 +27,10 @@ MIN_SCORE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = predict_language(docs, learn_profiles(docs), docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # a table may have columns of the operators' names
+    found = predict_language(rows, learn_profiles(docs), ["row"])
     known = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return known.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return known.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +38,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = near.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
     # rows that share an id share its fate; of those with the same text one stays
     twice = materialize(near.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-repeats")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if twice.isEmpty():
-        return kept
-    repeated = kept.join(twice, "doc_id", "left_semi").withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("hash"))
+    kept = rows.join(gone, "doc_id", "left_anti")
+    if not twice.isEmpty():
+        repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"])
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(repeated)
+    return kept.select("row.*")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

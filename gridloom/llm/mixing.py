@@ -239,7 +239,8 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     each run of words as it stands in the text, runs joined by a line end. Rows that agree in id, source and text share their cuts."""
     passes = [s.words // s.size if s.size else 0 for s in mix.sources]
     table = docs.sparkSession.createDataFrame([(i, s.name, p) for i, (s, p) in enumerate(zip(mix.sources, passes))], "__src int, __name string, __passes int")
-    rows = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__name"))).drop("__name").withColumn("__tie", F.xxhash64("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("__source"), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__tie"))
+    rows = rows.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__name")))
     limits = docs.sparkSession.createDataFrame(list(enumerate(passes)), "src int, passes int")
     partial = mix.slots.join(F.broadcast(limits), "src").where(F.col("pass") >= F.col("passes")).select("src", "block", "take")
     pieces = cut_blocks(mix.numbered.where("size > 0"), mix.block, "tie").join(partial, ["src", "block"])
@@ -247,7 +248,7 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     cuts = pieces.where(n > 0).groupBy("src", "doc_id", "tie", "start").agg(F.sort_array(F.collect_list(F.struct("first", n.alias("n")))).alias("cuts"))
     cuts = materialize(cuts.groupBy("src", "doc_id", "tie").agg(F.min_by("cuts", "start").alias("__cuts")), "mix-cuts")
     cuts = cuts.select(F.col("src").alias("__s"), F.col("doc_id").alias("__d"), F.col("tie").alias("__t"), "__cuts")
-    joined = rows.join(cuts, (F.col("__src") == F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tie") == F.col("__t")), "left")
+    joined = rows.join(cuts, (F.col("__src") == F.col("__s")) & F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__tie") == F.col("__t")), "left")
 
     def run(batches: Iterator) -> Iterator:
         import re
@@ -256,13 +257,13 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
         word = re.compile(WORD.encode())  # white space and words' ends are ASCII, so bytes do
         for batch in batches:
-            names = batch.schema.names
-            out = batch.select(names[:-2])
-            at = names.index("text")
-            whole = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(len(names) - 2).to_numpy(zero_copy_only=False)))
-            yield out.take(whole)
+            rows, passes, cuts_ = batch.columns
+            fields = list(rows.type)
+            at = [f.name for f in fields].index("text")
+            whole = np.repeat(np.arange(batch.num_rows), passes.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([rows.take(pa.array(whole, pa.int64()))], names=["row"])
             texts, mine = [], []
-            for i, (text, cut) in enumerate(zip(batch.column(at), batch.column(len(names) - 1))):
+            for i, (text, cut) in enumerate(zip(rows.field(at), cuts_)):
                 if (cut := cut.as_py()) and (text := text.as_py()):
                     raw = text.encode()
                     spans = [m.span() for m in word.finditer(raw)]
@@ -274,10 +275,13 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
                             runs.append([c["first"], c["first"] + c["n"]])
                     texts.append("\n".join(raw[spans[a][0] : spans[b - 1][1]].decode() for a, b in runs))
                     mine.append(i)
-            part = out.take(pa.array(mine, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns)], names=out.schema.names)
+            parts = rows.take(pa.array(mine, pa.int64())).flatten()
+            parts[at] = pa.array(texts, fields[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, fields=fields)], names=["row"])
 
-    return joined.select(*docs.columns, "__passes", "__cuts").mapInArrow(run, docs.schema)
+    from pyspark.sql import types as T
+
+    return joined.select("row", "__passes", "__cuts").mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

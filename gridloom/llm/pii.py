@@ -220,7 +220,7 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
 
 def disclosing_terms(scanned: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """(entity, term, disclosure) of the terms that meet an entity in enough surroundings."""
-    own = scanned.where(F.size("near") > 0).select(F.monotonically_increasing_id().alias("row"), F.inline("near"))
+    own = scanned.where(F.size("near") > 0).select(F.monotonically_increasing_id().alias("row"), "near").select("row", F.inline("near"))
     met = own.groupBy("entity", "term", "row", "context").count().groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     met = materialize(met, "pii-pairs")
     n_e = own.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
@@ -255,13 +255,17 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            new = [None if t is None else rewrite(t, m or []) for t, m in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
-
-    key, terms = "__text_key", terms.select(F.col("text_key").alias("__same"), F.col("terms").alias("__terms"))
-    joined = docs.withColumn(key, F.xxhash64(text_col)).join(terms, F.col(key) == F.col("__same"), "left").drop(key, "__same")
-    return joined.mapInArrow(run, docs.schema)
+            rows = batch.column(0)
+            fields = list(rows.type)
+            at = [f.name for f in fields].index(text_col)
+            parts = rows.flatten()
+            new = [None if t is None else rewrite(t, m or []) for t, m in zip(parts[at].to_pylist(), batch.column(1).to_pylist())]
+            parts[at] = pa.array(new, fields[at].type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, fields=fields)], names=["row"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("key"))
+    joined = rows.join(terms.select(F.col("text_key").alias("key"), "terms"), "key", "left").select("row", "terms")
+    return joined.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def rewrite(text: str, terms: list[dict]) -> str:

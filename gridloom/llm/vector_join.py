@@ -54,14 +54,14 @@ def usable(embedding: str = "embedding") -> F.Column:
 
 
 def stripes(classes: DataFrame, cosine: float) -> DataFrame:
-    """(label, dim, block, stripe, home, rep, copies, vector): each class in the stripes of each block."""
+    """(label, dim, block, stripe, home, cls, rep, copies, vector): each class in the stripes of each block."""
     total = 2 - 2 * cosine
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            label, rep, copies, vectors = batch.columns
+            label, cls, rep, copies, vectors = batch.columns
             lengths = np.array([len(v) for v in vectors])
             flat = vectors.values.to_numpy(zero_copy_only=False) if batch.num_rows else np.empty(0)
             flat = flat[vectors.offsets[0].as_py() :]
@@ -79,14 +79,14 @@ def stripes(classes: DataFrame, cosine: float) -> DataFrame:
                     who = np.concatenate((np.arange(len(mine)), visits))
                     home = np.arange(len(who)) < len(mine)
                     take = pa.array(mine[who])
-                    yield pa.RecordBatch.from_arrays([label.take(take), pa.array(np.full(len(who), dim, np.int32)), pa.array(np.full(len(who), b, np.int32)), pa.array(np.where(home, stripe[who], stripe[who] + 1)), pa.array(home), rep.take(take), copies.take(take), data.take(pa.array(who))], names=["label", "dim", "block", "stripe", "home", "rep", "copies", "vector"])
+                    yield pa.RecordBatch.from_arrays([label.take(take), pa.array(np.full(len(who), dim, np.int32)), pa.array(np.full(len(who), b, np.int32)), pa.array(np.where(home, stripe[who], stripe[who] + 1)), pa.array(home), cls.take(take), rep.take(take), copies.take(take), data.take(pa.array(who))], names=["label", "dim", "block", "stripe", "home", "cls", "rep", "copies", "vector"])
 
     kind = dict(classes.dtypes)["label"]
-    return classes.select("label", "rep", "copies", "embedding").mapInArrow(run, f"label {kind}, dim int, block int, stripe long, home boolean, rep long, copies long, vector binary")
+    return classes.select("label", "cls", "rep", "copies", "embedding").mapInArrow(run, f"label {kind}, dim int, block int, stripe long, home boolean, cls long, rep long, copies long, vector binary")
 
 
 def tile_links(rows: DataFrame, cosine: float, wide: bool) -> DataFrame:
-    """(a, b, n): a's number of linked vectors in other classes where b is null, else an edge."""
+    """(a, b, n): the number of vectors linked to class a's, in other classes, where b is null, else an edge of two classes' smallest ids."""
     total = 2 - 2 * cosine
 
     def run(table):
@@ -96,14 +96,14 @@ def tile_links(rows: DataFrame, cosine: float, wide: bool) -> DataFrame:
 
         dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
         i_tile, j_tile = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rep, copies, home, tile = (table.column(c).to_numpy() for c in ("rep", "copies", "home", "tile"))
+        cls, rep, copies, home, tile = (table.column(c).to_numpy() for c in ("cls", "rep", "copies", "home", "tile"))
         x = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<f8" if wide else "<f4").reshape(-1, dim).astype(np.float64)
         u = rotated(x)
         bounds = cuts(dim)
         shares = [total * (hi - lo) / dim + SLACK for lo, hi in bounds]
         lo, hi = bounds[block]
         order = np.argsort(u[:, lo], kind="stable")
-        u, x, rep, copies, home, tile = u[order], x[order], rep[order], copies[order], home[order], tile[order]
+        u, x, cls, rep, copies, home, tile = u[order], x[order], cls[order], rep[order], copies[order], home[order], tile[order]
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         sub = u[:, lo:hi]
         square = np.einsum("ij,ij->i", sub, sub)
@@ -131,7 +131,7 @@ def tile_links(rows: DataFrame, cosine: float, wide: bool) -> DataFrame:
                 links += np.bincount(a, copies[b], len(x)).astype(np.int64) + np.bincount(b, copies[a], len(x)).astype(np.int64)
                 edges += [(v, w) for v, w in zip(a.tolist(), b.tolist()) if forest.join(v, w)]
         some = np.flatnonzero(links)
-        a = np.concatenate((rep[some], rep[[v for v, _ in edges]])) if edges else rep[some]
+        a = np.concatenate((cls[some], rep[[v for v, _ in edges]])) if edges else cls[some]
         b = [None] * len(some) + [int(rep[w]) for _, w in edges]
         n = [*links[some].tolist(), *[None] * len(edges)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
@@ -147,18 +147,18 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     key = F.when(good, F.sha2(F.array_join(F.transform("embedding", lambda v: (v + 0.0).cast("string")), ","), 256))
     keyed = materialize(rows.withColumn("vkey", key), "vec-keyed")
     classes = keyed.where("vkey IS NOT NULL").groupBy("label", "vkey").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    classes = materialize(classes, "vec-classes")
+    classes = materialize(classes.withColumn("cls", F.xxhash64("label", "vkey")), "vec-classes")
     placed = stripes(classes, cosine)
     place = ("label", "dim", "block", "stripe")
     large = materialize(placed.groupBy(*place).agg(F.count("*").alias("rows")).where(F.col("rows") > TILE), "vec-large")
     tiled = placed.join(large, list(place), "left").withColumn("tiles", F.ceil(F.coalesce("rows", F.lit(1)) / TILE).cast("int"))
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("rows", "tiles", "other")
     found = materialize(tile_links(tiled, cosine, wide), "vec-links")
-    links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     # copies of a class are one node: its smallest id
     components = connected_components(found.where("b IS NOT NULL")).withColumnRenamed("node", "rep")
-    facts = classes.select("label", "vkey", "rep", "copies").join(links, "rep", "left").join(components, "rep", "left")
+    facts = classes.select("label", "vkey", "cls", "rep", "copies").join(links, "cls", "left").join(components, "rep", "left")
     facts = materialize(facts.where("copies > 1 OR n > 0").select(F.col("label").alias("__label"), F.col("vkey").alias("__key"), "rep", "copies", "n", "component"), "vec-facts")
     joined = keyed.select("vec_id", "label", "vkey").join(facts, (F.col("label") == F.col("__label")) & (F.col("vkey") == F.col("__key")), "left")
     component = F.coalesce("component", "rep", "vec_id")
