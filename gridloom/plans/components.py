@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     the longest path. Minima are aggregated map-side, and joined from a written table, so that a node with very many
     edges can be split over tasks. A round ends at files, never at a long lineage.
     """
-    edges = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    whole = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    edges = whole.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
     loops = edges.where("a = b").select("a").distinct()
     edges = materialize(edges.where("a > b").distinct(), "cc-edges")
     last = None
