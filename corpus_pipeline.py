@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.files import small_side
 from gridloom.llm.langid import learn_profiles, predict_language
 from gridloom.llm.minhash_join import near_duplicates
 from gridloom.llm.mixing import mixed_documents, plan_mix
@@ -35,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     near = materialize(near_duplicates(docs, k=5, threshold=(80, 100)), "dedup")
-    gone = near.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
+    gone = small_side(materialize(near.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct(), "dedup-gone"))
     # rows that share an id share its fate; of those with the same text one stays
     twice = materialize(near.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-repeats")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("hash"))

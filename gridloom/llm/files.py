@@ -15,3 +15,23 @@ def open_fs(uri: str):
 def make_dir(uri: str) -> None:
     system, path = open_fs(uri)
     system.create_dir(path, recursive=True)
+
+
+#: Rows of whole text that Spark hands a Python worker at once; its own default would hold tens of MB in each of several buffers.
+TEXT_ROWS = 2000
+#: Rows that one side of a join may have to be sent to every executor: ids and flags, some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def limit_batches(spark) -> None:
+    """Lower the session's Arrow batches to TEXT_ROWS rows, where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
+def small_side(df):
+    """``df``, a written table of short rows, with a broadcast hint if it has BROADCAST_ROWS rows at most; else both sides of the join are shuffled."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -20,6 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.files import limit_batches
+from gridloom.plans.shared import materialize
+
 MAX_N, TOP = 3, 400
 #: More languages than this is a mistake in the label column.
 MAX_LANGUAGES = 2000
@@ -94,10 +97,9 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
         for lang, (codes, n) in kept.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "code", "n"])
 
+    limit_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    from gridloom.plans.shared import materialize
-
     counts = materialize(counts, "ngram-counts")
     langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
@@ -142,6 +144,7 @@ def predict_language(docs: DataFrame, profiles: DataFrame, keep: list[str], text
                 scores.append(float(1 - apart[best] / (top * len(own))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names), pa.array(scores)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
+    limit_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     from pyspark.sql import types as T

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.files import limit_batches
+
 WIDTH, MAX_HEIGHT, FPS = 64, 64, 25
 _BITS = bytes([1] * 9 + [0] * 7)  # one code of each length from 1 to 9
 _VALUES = bytes(range(8, -1, -1))  # categories 8, 7 ... 0
@@ -233,6 +235,7 @@ def encode_media(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     media, size, lo = [], 0, i + 1
             yield pa.RecordBatch.from_arrays([ids.slice(lo), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
+    limit_batches(rows.sparkSession)
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, media binary")
 
 

@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.files import limit_batches, small_side
 from gridloom.plans.components import connected_components
 from gridloom.plans.shared import materialize
 
@@ -101,6 +102,7 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
@@ -250,7 +252,7 @@ def confirm_rest(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``members`` (rep, ...) with their shingles, from their texts."""
+    """``members`` (rep, ...), a written table, with their shingles from their texts."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -262,7 +264,7 @@ def full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_col
     from pyspark.sql import types as T
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("__text"))
-    rows = texts.join(members, "rep").select("__text", *members.columns).where(F.length("__text") > 0)
+    rows = texts.join(small_side(members), "rep").select("__text", *members.columns).where(F.length("__text") > 0)
     return rows.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("shingles", T.BinaryType())])).where(F.length("shingles") > 0)
 
 
@@ -273,6 +275,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, k: int, threshold: tuple[int
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     is_pivot = F.array_contains(F.array(*(F.col(f"p{i}") for i in range(PIVOTS))), F.col("node"))
     members = groups.join(facts, "component").select("component", F.col("node").alias("rep"), chunks.alias("chunks"), F.when(chunks > 1, is_pivot).otherwise(F.lit(False)).alias("pivot"))
+    members = materialize(members, "mh-members")
     sets = materialize(full_sets(docs, members, k, id_col, text_col), "mh-sets")
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     to = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)

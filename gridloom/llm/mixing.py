@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.files import limit_batches
 from gridloom.plans.shared import materialize
 
 BLOCK, BUCKET, MAX_SOURCES = 64, 4096, 100_000
@@ -281,6 +282,7 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
     from pyspark.sql import types as T
 
+    limit_batches(docs.sparkSession)
     return joined.select("row", "__passes", "__cuts").mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.llm.files import limit_batches
 from gridloom.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -158,6 +159,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *(f"n_{k}" for k in KINDS), "base", "near"])
 
     more = T._parse_datatype_string(f"text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, near {NEAR}")
+    limit_batches(docs.sparkSession)
     rows = docs.select(*keep, F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__text"))
     return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *more.fields]))
 

@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.files import limit_batches
+
 BLANK = "▁"
 #: Fixed values of the model file: kinds of piece and of model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -325,7 +327,7 @@ def encoder_of(path: str) -> Encoder:
         return Encoder(f.read())
 
 
-def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str = "text", batch_chars: int = 1 << 21, verify: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str = "text", batch_chars: int = 1 << 20, verify: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` and ids (array<int>). ``model`` is a path that every executor has, like a library's file. ``verify`` decodes in the
     same pass and adds n_tokens, ids_crc32 and round_trip: whether the ids give the text again."""
 
@@ -358,6 +360,7 @@ def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str =
 
     from pyspark.sql import types as T
 
+    limit_batches(docs.sparkSession)
     more = "ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean" if verify else "ids array<int>"
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(more).fields])
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)

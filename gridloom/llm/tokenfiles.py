@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import make_dir, open_fs
+from gridloom.llm.files import limit_batches, make_dir, open_fs
 from gridloom.plans.shared import materialize, workdir
 
 MAGIC = b"GLTOKIX1"
@@ -101,6 +101,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     """Encode ``docs`` and write them in ascending id order. Returns the manifest (part, bin, idx,
     width, n_docs, n_ids, base), one row per pair of files."""
     spark = docs.sparkSession
+    limit_batches(spark)
     out = workdir(spark, "tokens")
     make_dir(out)
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import make_dir, open_fs
+from gridloom.llm.files import limit_batches, make_dir, open_fs
 from gridloom.plans.shared import materialize, workdir
 
 MAGIC = b"\x1f\x8b\x08"
@@ -72,6 +72,7 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, roll_bytes: int = 1 << 30,
     """Write ``pages`` (page_id, url, html). Returns the manifest (file, bytes, records). File names are
     a task attempt's own and only those in the manifest count, so a repeated task does no harm."""
     spark = pages.sparkSession
+    limit_batches(spark)
     out = workdir(spark, "warc")
     make_dir(out)
 
