@@ -1,9 +1,9 @@
 """Media columns: AVI motion-JPEG. Parse RIFF indexes, decode intra frames, find shots, yield timed clips.
 
-Frames are JPEG in the lossless sequential process (SOF3, 8-bit samples, one component, predictor 1), so what is
+Frames that the writer makes are JPEG in the lossless sequential process (SOF3, 8-bit samples, one component, predictor 1), so what is
 stored comes back bit by bit. The writer's Huffman table gives difference category s a code of 9-s bits; with the s bits
 that follow, each sample takes 9 bits, and whole frames pack and unpack as arrays. The reader takes any table and any
-of the predictors 1 to 7; tables of other shape are decoded bit by bit.
+of the predictors 1 to 7, tables of other shape bit by bit, and baseline frames (SOF0, DCT), of which it decodes the first component.
 
 A shot ends where the histogram distance of neighbouring frames exceeds ``floor`` and the mean plus ``k`` standard
 deviations of the distances around it.
@@ -15,6 +15,7 @@ rows give equal values; an empty table gives none. A clip row's times are in mil
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -110,29 +111,121 @@ def _predicted(d: np.ndarray, h: int, w: int, predictor: int) -> np.ndarray:
     return x
 
 
+_ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+_COSINE = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+class _Bits:
+    """Huffman-coded bits of a scan, stuffing taken out; past the end there are ones."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data.replace(b"\xff\0", b"\xff") + b"\xff" * 8, 0
+
+    def peek16(self) -> int:
+        byte = min(self.at >> 3, len(self.data) - 4)
+        return int.from_bytes(self.data[byte : byte + 3], "big") >> 8 - (self.at & 7) & 0xFFFF
+
+    def code(self, table: tuple[list[int], list[int]]) -> int:
+        window = self.peek16()
+        if not table[0][window]:
+            raise ValueError("no such Huffman code")
+        self.at += table[0][window]
+        return table[1][window]
+
+    def value(self, size: int) -> int:
+        """A signed value of ``size`` bits."""
+        if not size:
+            return 0
+        raw = self.peek16() >> 16 - size
+        self.at += size
+        return raw if raw >> size - 1 else raw - (1 << size) + 1
+
+
+def _lookup(bits: bytes, values: bytes) -> tuple[list[int], list[int]]:
+    """Code length and value by the next sixteen bits."""
+    lengths, found, at, k = [0] * 65536, [0] * 65536, 0, 0
+    for length, number in enumerate(bits, 1):
+        span = 1 << 16 - length
+        for _ in range(number):
+            lengths[at : at + span], found[at : at + span] = [length] * span, [values[k]] * span
+            at, k = at + span, k + 1
+    return lengths, found
+
+
+def _decode_baseline(data: bytes, h: int, w: int, parts: list, chosen: dict, tables: dict, quant: dict, restart: int) -> np.ndarray:
+    """The first component's samples. parts: (id, across, down, quantiser); chosen: id -> DC and AC table."""
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    units = (-(-w // (8 * across)), -(-h // (8 * down)))
+    lookups = {k: _lookup(*t) for k, t in tables.items()}
+    first = parts[0]
+    blocks = np.zeros((units[1] * first[2], units[0] * first[1], 64))
+    scans = re.split(b"\xff[\xd0-\xd7]", data)
+    total, each = units[0] * units[1], restart or units[0] * units[1]
+    for k in range(0, total, each):
+        bits, last = _Bits(scans[k // each]), {p[0]: 0 for p in parts}
+        for unit in range(k, min(total, k + each)):
+            for part in parts:
+                dc, ac = lookups[chosen[part[0]][0]], lookups[16 + chosen[part[0]][1]]
+                for v in range(part[2]):
+                    for u in range(part[1]):
+                        block = [0] * 64
+                        last[part[0]] += bits.value(bits.code(dc))
+                        block[0], i = last[part[0]], 1
+                        while i < 64:
+                            symbol = bits.code(ac)
+                            if not symbol & 15:
+                                if symbol != 0xF0:
+                                    break
+                                i += 16
+                                continue
+                            i += symbol >> 4
+                            block[_ZIGZAG[i]] = bits.value(symbol & 15)
+                            i += 1
+                        if part is first:
+                            blocks[unit // units[0] * part[2] + v, unit % units[0] * part[1] + u] = block
+    table = np.zeros(64)
+    table[_ZIGZAG] = quant[first[3]]
+    samples = np.einsum("ux,ijuv,vy->ijxy", _COSINE, (blocks * table).reshape(*blocks.shape[:2], 8, 8), _COSINE) + 128
+    image = samples.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, -1)
+    return np.clip(np.rint(image[: -(-h * first[2] // down), : -(-w * first[1] // across)]), 0, 255).astype(np.uint8)
+
+
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """A lossless one-component JPEG -> (h, w) uint8."""
+    """A JPEG frame, lossless of one component or baseline, -> (h, w) uint8, for baseline the first component's samples."""
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, tables, h, w = 2, {}, 0, 0
+    at, tables, quant, parts, h, w, process, restart = 2, {}, {}, [], 0, 0, 0, 0
     while True:
         marker, size = struct.unpack_from(">xBH", jpeg, at)
         body, at = jpeg[at + 4 : at + 2 + size], at + 2 + size
-        if marker == 0xC3:
-            precision, h, w, parts = struct.unpack_from(">BHHB", body)
-            if precision != 8 or parts != 1:
-                raise ValueError("8-bit samples of one component are supported")
+        if marker in (0xC0, 0xC1, 0xC3):
+            process = marker
+            precision, h, w, n = struct.unpack_from(">BHHB", body)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            if precision != 8 or marker == 0xC3 and n != 1:
+                raise ValueError("8-bit samples are supported, and one component where they are lossless")
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
                 tables[body[0]], body = (body[1:17], body[17 : 17 + n]), body[17 + n :]
+        elif marker == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                n = 128 if wide else 64
+                quant[body[0] & 15], body = np.frombuffer(body[1 : 1 + n], ">u2" if wide else "u1").astype(float), body[1 + n :]
+        elif marker == 0xDD:
+            (restart,) = struct.unpack(">H", body)
         elif marker == 0xDA:
-            bits, values = tables[body[2] >> 4]
-            predictor = body[3]
+            chosen = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+            predictor = body[1 + 2 * body[0]]
             break
-        elif 0xC0 <= marker <= 0xCF:
-            raise ValueError(f"process {marker:02X} isn't the lossless one")
-    data = jpeg[at : jpeg.rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff")
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ValueError(f"process {marker:02X} is neither lossless nor baseline")
+    coded = jpeg[at : jpeg.rindex(b"\xff\xd9")]
+    if process != 0xC3:
+        return _decode_baseline(coded, h, w, parts, chosen, tables, quant, restart)
+    bits, values = tables[chosen[parts[0][0]][0]]
+    data = coded.replace(b"\xff\0", b"\xff")
     if bits == _BITS and values == _VALUES and h * w % 8 == 0:
         b = np.frombuffer(data, np.uint8, h * w // 8 * 9).reshape(-1, 9).astype(np.uint16)
         s = ((b[:, :8] << (_K + 1)) & 0x1FF) | (b[:, 1:] >> (7 - _K))

@@ -317,3 +317,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, threshold=(85, 100))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)] END) AS g FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.k + y.k - c)),
+r(i, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.i WHERE r.c < l.b),
+m AS (SELECT i, min(c) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM documents d JOIN m ON m.i = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -24,6 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridloom.llm import vector_join, warc
+    from gridloom.llm import minhash_join, vector_join, warc
 
-    return {"op1_warc": warc.OP1_SQL, "op6_vector_join": vector_join.OP6_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_vector_join": vector_join.OP6_SQL, "op9_minhash": minhash_join.OP9_SQL}

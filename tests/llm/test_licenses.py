@@ -38,7 +38,8 @@ TEXTS = [
 
 def test_rules_are_hundreds():
     assert len(L.rules()) > 300
-    assert all(re.compile(r["pattern"]) and any(g in "licensed license spdx copyright" or True for g in L.GATES) for r in L.rules())
+    assert all(re.compile(r["pattern"]) for r in L.rules())
+    assert len({r["pattern"] for r in L.rules()}) > 0.95 * len(L.rules())
 
 
 def test_by_brute_force(spark, tmp_path):

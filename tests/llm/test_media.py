@@ -46,6 +46,59 @@ def test_other_tables_and_predictors():
             assert (A.decode_frame(jpeg) == x).all()
 
 
+def baseline(image, restart=0, chroma=False):
+    """A plain baseline encoder: eight-bit Huffman codes, quantiser 1."""
+    h, w = image.shape
+    symbols = bytes(r << 4 | s for r in range(16) for s in range(11) if s or r in (0, 15))
+    dct = lambda b: np.rint(A._COSINE @ (b.astype(float) - 128) @ A._COSINE.T).astype(int).ravel()[A._ZIGZAG]
+    value = lambda v: f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}" if v else ""
+    padded = np.pad(image, ((0, -h % 8), (0, -w % 8)), mode="edge")
+    scans, out, last = [], "", 0
+    for k, (i, j) in enumerate((i, j) for i in range(0, h, 8) for j in range(0, w, 8)):
+        if restart and k and k % restart == 0:
+            scans.append(out)
+            out, last = "", 0
+        c = dct(padded[i : i + 8, j : j + 8])
+        out += f"{abs(int(c[0]) - last).bit_length():04b}" + value(int(c[0]) - last)
+        last, run = int(c[0]), 0
+        for v in map(int, c[1:]):
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                out += f"{symbols.index(0xF0):08b}"
+                run -= 16
+            out += f"{symbols.index(run << 4 | abs(v).bit_length()):08b}" + value(v)
+            run = 0
+        if run:
+            out += f"{symbols.index(0):08b}"
+        if chroma:
+            out += ("0000" + f"{symbols.index(0):08b}") * 2
+    scans.append(out)
+    coded = b""
+    for k, bits in enumerate(scans):
+        bits += "1" * (-len(bits) % 8)
+        coded += (bytes([0xFF, 0xD0 + (k - 1) % 8]) if k else b"") + bytes(int(bits[x : x + 8], 2) for x in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+    ids = [1, 2, 3] if chroma else [1]
+    seg = A._segment
+    head = b"\xff\xd8" + seg(0xDB, b"\0" + b"\1" * 64) + seg(0xC0, struct.pack(">BHHB", 8, h, w, len(ids)) + b"".join(bytes([i, 0x11, 0]) for i in ids))
+    head += seg(0xC4, b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12)) + b"\x10" + bytes([0] * 7 + [len(symbols)] + [0] * 8) + symbols)
+    head += seg(0xDD, struct.pack(">H", restart)) if restart else b""
+    return head + seg(0xDA, bytes([len(ids)]) + b"".join(bytes([i, 0]) for i in ids) + b"\0\x3f\0") + coded + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart, chroma", [(0, False), (3, False), (0, True)])
+def test_baseline_frames(restart, chroma):
+    rng = np.random.default_rng(9)
+    image = np.clip(np.cumsum(rng.integers(-20, 21, (37, 50)), axis=1) + 128, 0, 255).astype(np.uint8)
+    got = A.decode_frame(baseline(image, restart, chroma))
+    assert got.shape == image.shape and np.abs(got.astype(int) - image).max() <= 2
+
+
+def test_zigzag():
+    assert A._ZIGZAG[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(A._ZIGZAG) == list(range(64))
+
+
 def test_index_is_followed():
     frames = [b"\x10" * 4096, b"\x80" * 4096, b"\xf0" * 4096]
     media = A.encode_avi(b"".join(frames), 3 * 4096)
