@@ -30,6 +30,15 @@ def limit_batches(spark) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+#: Tasks for rows that each stand for much work; beyond it, a task has several.
+MOST_TASKS = 20_000
+
+
+def one_task_each(df, rows: int):
+    """``df``, ``rows`` short rows that each stand for much work, dealt one to a task. A number is given, as adaptive execution would join partitions by their bytes."""
+    return df.repartition(max(1, min(rows, MOST_TASKS)))
+
+
 def small_side(df):
     """``df``, a written table of short rows, with a broadcast hint if it has BROADCAST_ROWS rows at most; else both sides of the join are shuffled."""
     from pyspark.sql import functions as F

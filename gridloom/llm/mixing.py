@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches
+from gridloom.llm.files import limit_batches, one_task_each
 from gridloom.plans.shared import materialize
 
 BLOCK, BUCKET, MAX_SOURCES = 64, 4096, 100_000
@@ -163,7 +163,8 @@ def map_slots(spark: SparkSession, sources: list[Source], seed: int, chunk: int
     plan = draw_shards([s.slots for s in sources], np.random.default_rng(seed))
     rows = spark.createDataFrame(plan or [], "shard int, src int, first long, n long")
     rows = rows.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(chunk).cast("long"))).alias("lo"), (F.col("first") + F.col("n")).alias("end"))
-    rows = rows.withColumn("hi", F.least("end", F.col("lo") + chunk)).drop("end").repartition(F.xxhash64("shard", "src", "lo"))
+    rows = rows.withColumn("hi", F.least("end", F.col("lo") + chunk)).drop("end")
+    rows = one_task_each(rows, max(sum(s.slots for s in sources) // chunk, spark.sparkContext.defaultParallelism) if plan else 0)
     shared = spark.sparkContext.broadcast(sources)
 
     def run(batches: Iterator) -> Iterator:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches, make_dir, open_fs
+from gridloom.llm.files import limit_batches, make_dir, one_task_each, open_fs
 from gridloom.plans.shared import materialize, workdir
 
 MAGIC = b"\x1f\x8b\x08"
@@ -205,7 +205,8 @@ def read_warc(manifest: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
 
     splits = manifest.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("lo"), "bytes")
     splits = splits.select("file", "lo", F.least(F.col("lo") + split_bytes, "bytes").alias("hi"))
-    return splits.repartition(F.xxhash64("file", "lo")).mapInArrow(read, RECORDS)
+    total = manifest.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
+    return one_task_each(splits, int(total or 0)).mapInArrow(read, RECORDS)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
