@@ -33,6 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Longer parts are relaxed by themselves, with a heap.
 LONG = 256
+#: Characters of a suffix array, but for a single part that is longer.
+INDEX_CHARS = 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -298,7 +300,7 @@ class Model:
 class Encoder:
     """A model and the parts it has met, ``max_parts`` of them at most."""
 
-    def __init__(self, raw: bytes, max_parts: int = 250_000):
+    def __init__(self, raw: bytes, max_parts: int = 150_000):
         self.model, self.max_parts = Model(raw), max_parts
         self.known: dict[str, bytes] = {}
 
@@ -306,7 +308,12 @@ class Encoder:
         cut = [self.model.parts.findall(self.model.normalise(t)) if t else [] for t in texts]
         known = self.known
         new = list({p for parts in cut for p in parts if p not in known})
-        found = dict(zip(new, self.model.segment(new)))
+        found, lo, size = {}, 0, 0
+        for k, part in enumerate(new, 1):  # an index of bounded size at a time
+            size += len(part) + 1
+            if size > INDEX_CHARS or k == len(new):
+                found |= zip(new[lo:k], self.model.segment(new[lo:k]))
+                lo, size = k, 0
         if len(known) < self.max_parts:
             known |= found
         else:
