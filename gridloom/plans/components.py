@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.plans.shared import materialize
+from gridloom.plans.shared import materialize, release
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -34,9 +34,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where("a > b").distinct(), "cc-large")
+        release(edges, least)
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        release(large, least)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

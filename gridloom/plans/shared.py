@@ -40,7 +40,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = workdir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read again."""
+    for table in tables:
+        if path := getattr(table, "_written_at", None):
+            drop_path(table.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
