@@ -29,15 +29,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         state = _digest(edges)
         if state == last or state[0] == 0:
             break
-        last = state
+        last, n = state, state[0]
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least", n)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a > b").distinct(), "cc-large")
+        large = materialize(large.where("a > b").distinct(), "cc-large", n)
         release(edges, least)
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least", n)
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "cc-edges", n)
         release(large, least)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

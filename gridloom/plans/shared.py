@@ -34,10 +34,17 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Short rows that a file should have at least, where their number is known.
+FILE_ROWS = 100_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at files that
-    every executor sees, so a lost executor costs a re-read and never a recomputation."""
+    every executor sees, so a lost executor costs a re-read and never a recomputation.
+    With ``rows``, a bound on its rows, a small table is written as few files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, rows // FILE_ROWS))
     path = workdir(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
