@@ -87,23 +87,25 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, sig): digest (null for the empty set) tells equal sets."""
+    """(doc_id, n_shingles, digest, sig, low): digest (null for the empty set) tells equal sets; low has the last eight bits of each of sig's coordinates."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = shingler(k)
         for batch in batches:
-            sizes, digests, sigs = [], [], []
+            sizes, digests, sigs, lows = [], [], [], []
             for text in batch.column(1):
                 s = own.shingles(text.as_py())
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+                sig = signature(s) if len(s) else None
+                sigs.append(None if sig is None else sig.tobytes())
+                lows.append(None if sig is None else sig.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, lows))], names=["doc_id", "n_shingles", "digest", "sig", "low"])
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, low binary")
 
 
 def branch(rows: DataFrame) -> DataFrame:
@@ -158,20 +160,19 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
     loose = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     roots = F.explode(F.array(*(F.lit((r + 1) * 0x1000193).cast("long") for r in range(TREES))))
     rows = branch(classes.select("rep", roots.alias("node"), "sig"))
-    compact = materialize(classes.select("rep", "sig"), "mh-signatures")
     found = None
     for depth in range(1, DEPTH + 1):
         rows = materialize(rows, "mh-rows")
         counts = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "mh-nodes")
         nodes = rows.join(counts, "node")
         stop = nodes.where(F.col("n") <= SMALL)
-        pairs = _compare_small(stop.join(compact, "rep"), loose)
+        pairs = _compare_small(stop.join(classes.select("rep", "low"), "rep"), loose)
         found = pairs if found is None else found.unionAll(pairs)
         go = materialize(nodes.where(F.col("n") > SMALL).select("rep", "node"), "mh-large")
         if go.isEmpty():
             return found
         if depth < DEPTH:
-            rows = branch(go.join(compact, "rep"))
+            rows = branch(go.join(classes.select("rep", "sig"), "rep"))
     least = materialize(go.groupBy("node").agg(F.min("rep").alias("b")), "mh-dense")
     return found.unionAll(go.join(least, "node").select(F.col("rep").alias("a"), "b").where("a <> b"))
 
@@ -190,8 +191,7 @@ def _compare_small(rows: DataFrame, loose: float) -> DataFrame:
                     pairs.append((reps[i], reps[j]))
         return pa.Table.from_batches([_edges(pairs)])
 
-    low = F.unhex(F.regexp_replace(F.hex("sig"), "(..)......", "$1"))
-    return rows.select("node", "rep", low.alias("low")).groupBy("node").applyInArrow(run, "a long, b long")
+    return rows.select("node", "rep", "low").groupBy("node").applyInArrow(run, "a long, b long")
 
 
 def _intersections(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; links are similarities of threshold[0] / threshold[1] or more."""
     sketched = materialize(sketch(docs, k, id_col, text_col), "mh-sketch")
     some = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")), "mh-classes")
+    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")), "mh-classes")
     loose = connected_components(loose_edges(classes, threshold[0] / threshold[1]))
     groups = materialize(loose, "mh-loose")
     found = materialize(connected_components(exact_links(docs, groups, k, threshold, id_col, text_col)), "mh-components")
