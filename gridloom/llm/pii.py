@@ -10,6 +10,8 @@ information that a term gives away is
 surroundings, so that copies of a document are no evidence. From ``GENERALISE`` on, a term near the entity gives way to
 ``[TERM]``; from ``REMOVE`` on, it goes.
 
+Beside the patterns' matches (base), ``retried`` spans are numbers inside runs of digits that failed as a whole.
+
 Data flow: one pass finds spans and surroundings; counts of (entity, term) are aggregated map-side; a second pass counts documents for
 the terms in question only, told by a bitmap of fixed size (a false hit costs a row, never a wrong count). The texts are never shuffled to find spans.
 
@@ -94,6 +96,44 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def retried_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Cards and phones that the patterns swallow together with the digits beside them: groups of digits inside a run that failed, cards by Luhn from any
+    group on, phones from the plus sign up to fifteen digits."""
+    taken = {(k, a) for k, a, _ in base}
+    found = []
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() < 17 or ("card", m.start()) in taken:
+            continue
+        groups = list(_PART.finditer(text, *m.span()))
+        i = 0
+        while i < len(groups):
+            digits, best = "", None
+            for j in range(i, len(groups)):
+                digits += groups[j][0]
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 16 and luhn(digits):
+                    best = j
+            if best is None:
+                i += 1
+                continue
+            found.append(("card", groups[i].start(), groups[best].end()))
+            i = best + 1
+    for m in _PHONE.finditer(text) if "+" in text else ():
+        if ("phone", m.start()) in taken:
+            continue
+        count, end = 0, None
+        for part in _PART.finditer(text, *m.span()):
+            count += len(part[0])
+            if count > 15:
+                break
+            if count >= 8:
+                end = part.end()
+        if end is not None:
+            found.append(("phone", m.start(), end))
+    return sorted(found, key=lambda x: x[1:])
+
+
 def span_string(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -139,7 +179,7 @@ NEAR = "array<struct<entity:long,context:long,term:string,start:int,end:int>>"
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns with text_key, n_email, n_ip, n_card, n_phone, base (span string) and near, the surroundings."""
+    """``keep`` columns with text_key, n_email, n_ip, n_card, n_phone, base and retried (span strings) and near, the surroundings."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -147,18 +187,19 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
         near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
-            strings, near = [], []
+            strings, retried, near = [], [], []
             for value in batch.column(batch.num_columns - 1):
                 text = value.as_py() or ""
                 spans = base_spans(text)
                 for k in KINDS:
                     counts[k].append(sum(x[0] == k for x in spans) if spans else 0)
                 strings.append(span_string(spans))
+                retried.append(span_string([("number", a, b) for _, a, b in retried_spans(text, spans)]))
                 near.append(surroundings(text, spans) if spans else [])
-            arrays = [*batch.columns[:-1], *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(strings, pa.string()), pa.array(near, near_type)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *(f"n_{k}" for k in KINDS), "base", "near"])
+            arrays = [*batch.columns[:-1], *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(strings, pa.string()), pa.array(retried, pa.string()), pa.array(near, near_type)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *(f"n_{k}" for k in KINDS), "base", "retried", "near"])
 
-    more = T._parse_datatype_string(f"text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, near {NEAR}")
+    more = T._parse_datatype_string(f"text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, retried string, near {NEAR}")
     limit_batches(docs.sparkSession)
     rows = docs.select(*keep, F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__text"))
     return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *more.fields]))
@@ -271,7 +312,8 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def rewrite(text: str, terms: list[dict]) -> str:
-    spans = [(a, -b, f"[{k.upper()}]") for k, a, b in base_spans(text)]
+    base = base_spans(text)
+    spans = [(a, -b, f"[{k.upper()}]") for k, a, b in base + retried_spans(text, base)]
     spans += [(t["start"], -t["end"], "" if t["disclosure"] >= REMOVE else "[TERM]") for t in terms if text[t["start"] : t["end"]].lower() == t["term"]]
     parts, past = [], 0
     for a, b, label in sorted(spans):
@@ -289,6 +331,6 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
     plain = scanned.where(F.size("near") == 0).withColumn("extra", F.lit(None).cast("array<string>"))
     near = scanned.where(F.size("near") > 0).join(terms.select(F.col("text_key").alias("same"), extra.alias("extra")), F.col("text_key") == F.col("same"), "left").drop("same")
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.concat_ws(",", F.when(F.size("extra") > 0, F.col("extra"))))
-    spans = F.regexp_replace(spans, ",$", "")
+    filled = lambda c: F.when(c != "", c)  # noqa: E731  concat_ws leaves nulls out
+    spans = F.concat_ws(",", filled(F.col("base")), filled(F.col("retried")), filled(F.array_join("extra", ",")))
     return plain.unionByName(near).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
