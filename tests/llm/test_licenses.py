@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import write_documents
+from llm_documents import write_documents
 
 from gridloom.llm import license_rules as L
 
