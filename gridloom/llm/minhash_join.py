@@ -164,7 +164,7 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         rows = materialize(rows, "mh-rows")
         counts = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "mh-nodes")
-        nodes = rows.join(counts, "node")
+        nodes = rows.join(small_side(counts), "node")  # large nodes aren't dealt out by their key only to be told apart
         stop = nodes.where(F.col("n") <= SMALL)
         pairs = _compare_small(stop.join(classes.select("rep", "low"), "rep"), loose)
         found = pairs if found is None else found.unionAll(pairs)
