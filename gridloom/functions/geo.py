@@ -63,5 +63,5 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def portable_hash(x: Column) -> Column:
-    """A hash of an integer that any SQL engine can evaluate."""
-    return (x.cast("long") * 2654435761) % 4294967296
+    """A hash of an integer, 0 to 2^32 - 1, that any SQL engine can evaluate; integers of 2^31 and more are taken modulo that, so nothing overflows."""
+    return (F.pmod(x.cast("long"), F.lit(2147483648)) * 2654435761) % 4294967296
