@@ -18,11 +18,29 @@ def make_dir(uri: str) -> None:
 
 
 #: Rows of whole text that Spark hands a Python worker at once; its own default would hold tens of MB in each of several buffers.
-TEXT_ROWS = 2000
+TEXT_ROWS = 500
 #: Rows that one side of a join may have to be sent to every executor: ids and flags, some tens of MB.
 BROADCAST_ROWS = 1_000_000
 
 
+def tidied(f):
+    """The batch function ``f``, which gives memory back at its task's end: workers live on, and their allocators would keep what the task once held."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def limit_batches(spark) -> None:
     """Lower the session's Arrow batches to TEXT_ROWS rows, where they are larger."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches
+from gridloom.llm.files import limit_batches, tidied
 from gridloom.plans.shared import materialize
 
 MAX_N, TOP = 3, 400
@@ -99,7 +99,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
     limit_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidied(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "ngram-counts")
     langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
@@ -149,7 +149,7 @@ def predict_language(docs: DataFrame, profiles: DataFrame, keep: list[str], text
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(predict, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(tidied(predict), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def fold(doc_id) -> F.Column:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches
+from gridloom.llm.files import limit_batches, tidied
 
 WIDTH, MAX_HEIGHT, FPS = 64, 64, 25
 _BITS = bytes([1] * 9 + [0] * 7)  # one code of each length from 1 to 9
@@ -329,7 +329,7 @@ def encode_media(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([ids.slice(lo), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
     limit_batches(rows.sparkSession)
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, media binary")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(encode), "doc_id long, media binary")
 
 
 def decode_media(media: DataFrame, k: float = 2.0, floor: float = 0.05) -> DataFrame:
@@ -358,7 +358,7 @@ def decode_media(media: DataFrame, k: float = 2.0, floor: float = 0.05) -> DataF
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types[1:]))], schema=schema)
 
-    return media.select("doc_id", "media").mapInArrow(decode, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, clips {CLIP}")
+    return media.select("doc_id", "media").mapInArrow(tidied(decode), f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, clips {CLIP}")
 
 
 def clip_rows(decoded: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches, small_side
+from gridloom.llm.files import limit_batches, small_side, tidied
 from gridloom.plans.components import connected_components
 from gridloom.plans.shared import materialize
 
@@ -105,7 +105,7 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, lows))], names=["doc_id", "n_shingles", "digest", "sig", "low"])
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary, low binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, n_shingles long, digest binary, sig binary, low binary")
 
 
 def branch(rows: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def branch(rows: DataFrame) -> DataFrame:
             child = (child ^ child >> np.uint64(31)) * _MIX
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((child ^ child >> np.uint64(32)).view(np.int64))], names=["rep", "node"])
 
-    return rows.select("rep", "node", "sig").mapInArrow(run, "rep long, node long")
+    return rows.select("rep", "node", "sig").mapInArrow(tidied(run), "rep long, node long")
 
 
 class Forest:
@@ -265,7 +265,7 @@ def full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_col
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("__text"))
     rows = texts.join(small_side(members), "rep").select("__text", *members.columns).where(F.length("__text") > 0)
-    return rows.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("shingles", T.BinaryType())])).where(F.length("shingles") > 0)
+    return rows.mapInArrow(tidied(run), T.StructType([*members.schema.fields, T.StructField("shingles", T.BinaryType())])).where(F.length("shingles") > 0)
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str) -> DataFrame:

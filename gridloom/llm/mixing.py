@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches, one_task_each
+from gridloom.llm.files import limit_batches, one_task_each, tidied
 from gridloom.plans.shared import materialize
 
 BLOCK, BUCKET, MAX_SOURCES = 64, 4096, 100_000
@@ -184,7 +184,7 @@ def map_slots(spark: SparkSession, sources: list[Source], seed: int, chunk: int
                 n = len(slot)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"], np.int32)), pa.array(np.full(n, r["src"], np.int32)), pa.array(slot), pa.array(a_pass.astype(np.int32)), pa.array(block), pa.array(take)], names=["shard", "src", "slot", "pass", "block", "take"])
 
-    return rows.mapInArrow(run, "shard int, src int, slot long, pass int, block long, take long")
+    return rows.mapInArrow(tidied(run), "shard int, src int, slot long, pass int, block long, take long")
 
 
 def cut_blocks(numbered: DataFrame, block: int, *more: str) -> DataFrame:
@@ -284,7 +284,7 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     from pyspark.sql import types as T
 
     limit_batches(docs.sparkSession)
-    return joined.select("row", "__passes", "__cuts").mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    return joined.select("row", "__passes", "__cuts").mapInArrow(tidied(run), T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

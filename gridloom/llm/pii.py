@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.files import limit_batches
+from gridloom.llm.files import limit_batches, tidied
 from gridloom.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -202,7 +202,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     more = T._parse_datatype_string(f"text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, retried string, near {NEAR}")
     limit_batches(docs.sparkSession)
     rows = docs.select(*keep, F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *more.fields]))
+    return rows.mapInArrow(tidied(run), T.StructType([*(docs.schema[c] for c in keep), *more.fields]))
 
 
 def _document_counts(docs: DataFrame, bits: np.ndarray, text_col: str) -> DataFrame:
@@ -240,7 +240,7 @@ def _document_counts(docs: DataFrame, bits: np.ndarray, text_col: str) -> DataFr
                 yield flush()
         yield flush()
 
-    return docs.select(text_col).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return docs.select(text_col).mapInArrow(tidied(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -253,7 +253,7 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([xxh64_intdigest(t) % MAP_BITS for t in batch.column(0).to_pylist()], pa.int64())], names=["at"])
 
-    words = terms.select("term").mapInArrow(positions, "at long").groupBy((F.col("at") / 32).cast("long").alias("word"))
+    words = terms.select("term").mapInArrow(tidied(positions), "at long").groupBy((F.col("at") / 32).cast("long").alias("word"))
     rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 AS int))")).alias("bits")).collect()
     bitmap = np.zeros(MAP_BITS // 32, "<u4")
     for row in rows:
@@ -308,7 +308,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("key"))
     joined = rows.join(terms.select(F.col("text_key").alias("key"), "terms"), "key", "left").select("row", "terms")
-    return joined.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    return joined.mapInArrow(tidied(run), T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def rewrite(text: str, terms: list[dict]) -> str:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches
+from gridloom.llm.files import limit_batches, tidied
 
 BLANK = "▁"
 #: Fixed values of the model file: kinds of piece and of model.
@@ -34,7 +34,7 @@ UNIGRAM, BPE = 1, 2
 #: Longer parts are relaxed by themselves, with a heap.
 LONG = 256
 #: Characters of a suffix array, but for a single part that is longer.
-INDEX_CHARS = 1 << 18
+INDEX_CHARS = 1 << 17
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -370,7 +370,7 @@ def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str =
     limit_batches(docs.sparkSession)
     more = "ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean" if verify else "ids array<int>"
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(more).fields])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def decode_pieces(rows: DataFrame, model: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -392,7 +392,7 @@ def decode_pieces(rows: DataFrame, model: str, keep: list[str], ids_col: str = "
     from pyspark.sql import types as T
 
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded", T.StringType())])
-    return rows.select(*keep, ids_col).mapInArrow(run, schema)
+    return rows.select(*keep, ids_col).mapInArrow(tidied(run), schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

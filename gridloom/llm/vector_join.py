@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.files import tidied
 from gridloom.plans.components import connected_components
 from gridloom.plans.shared import materialize
 
@@ -82,7 +83,7 @@ def stripes(classes: DataFrame, cosine: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([label.take(take), pa.array(np.full(len(who), dim, np.int32)), pa.array(np.full(len(who), b, np.int32)), pa.array(np.where(home, stripe[who], stripe[who] + 1)), pa.array(home), cls.take(take), rep.take(take), copies.take(take), data.take(pa.array(who))], names=["label", "dim", "block", "stripe", "home", "cls", "rep", "copies", "vector"])
 
     kind = dict(classes.dtypes)["label"]
-    return classes.select("label", "cls", "rep", "copies", "embedding").mapInArrow(run, f"label {kind}, dim int, block int, stripe long, home boolean, cls long, rep long, copies long, vector binary")
+    return classes.select("label", "cls", "rep", "copies", "embedding").mapInArrow(tidied(run), f"label {kind}, dim int, block int, stripe long, home boolean, cls long, rep long, copies long, vector binary")
 
 
 def tile_links(rows: DataFrame, cosine: float, wide: bool) -> DataFrame:

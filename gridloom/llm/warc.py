@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches, make_dir, one_task_each, open_fs
+from gridloom.llm.files import limit_batches, make_dir, one_task_each, open_fs, tidied
 from gridloom.plans.shared import materialize, workdir
 
 MAGIC = b"\x1f\x8b\x08"
@@ -103,7 +103,7 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, roll_bytes: int = 1 << 30,
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
     rows = mark_revisits(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), min_bytes)
-    return materialize(rows.select("page_id", "url", "html", "sha1", "first_id").mapInArrow(write, "file string, bytes long, records long"), "warc-manifest")
+    return materialize(rows.select("page_id", "url", "html", "sha1", "first_id").mapInArrow(tidied(write), "file string, bytes long, records long"), "warc-manifest")
 
 
 def parse_head(data: bytes) -> dict[bytes, bytes] | None:
@@ -206,7 +206,7 @@ def read_warc(manifest: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
     splits = manifest.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("lo"), "bytes")
     splits = splits.select("file", "lo", F.least(F.col("lo") + split_bytes, "bytes").alias("hi"))
     total = manifest.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
-    return one_task_each(splits, int(total or 0)).mapInArrow(read, RECORDS)
+    return one_task_each(splits, int(total or 0)).mapInArrow(tidied(read), RECORDS)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
