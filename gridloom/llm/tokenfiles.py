@@ -47,7 +47,7 @@ class ByteLevelEncoder:
     """Texts to little-endian uint32 ids. A byte-level model never merges across the pieces that its pre-tokenizer cuts,
     so the library encodes a piece once and it is remembered; beyond ``max_cache`` pieces, new ones are encoded each time."""
 
-    def __init__(self, path: str, max_cache: int = 600_000):
+    def __init__(self, path: str, max_cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
