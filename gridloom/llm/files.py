@@ -50,11 +50,13 @@ def limit_batches(spark) -> None:
 
 #: Tasks for rows that each stand for much work; beyond it, a task has several.
 MOST_TASKS = 20_000
+#: Bytes of files that a task reads, where it can choose.
+TASK_BYTES = 16 << 20
 
 
-def one_task_each(df, rows: int):
-    """``df``, ``rows`` short rows that each stand for much work, dealt one to a task. A number is given, as adaptive execution would join partitions by their bytes."""
-    return df.repartition(max(1, min(rows, MOST_TASKS)))
+def one_task_each(df, tasks: int):
+    """``df``, short rows that stand for ``tasks`` tasks' work, dealt evenly. A number is given, as adaptive execution would join partitions by their bytes."""
+    return df.repartition(max(1, min(tasks, MOST_TASKS)))
 
 
 def small_side(df):

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches, make_dir, one_task_each, open_fs
+from gridloom.llm.files import TASK_BYTES, limit_batches, make_dir, one_task_each, open_fs
 from gridloom.plans.shared import materialize, workdir
 
 MAGIC = b"GLTOKIX1"
@@ -176,7 +176,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         crcs[i - lo] = zlib.crc32(span.astype("<u4").tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi], mask=nulls[lo:hi]), pa.array(ends[lo:hi] + row["base"]), pa.array(np.diff(ends[lo : hi + 1])), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return one_task_each(manifest, manifest.count()).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    size = manifest.agg(F.count("*").alias("n"), F.sum(F.col("n_ids") * F.col("width")).alias("bytes")).first()
+    return one_task_each(manifest, min(size.n, (size.bytes or 0) // TASK_BYTES + 1)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

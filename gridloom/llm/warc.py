@@ -205,8 +205,8 @@ def read_warc(manifest: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
 
     splits = manifest.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("lo"), "bytes")
     splits = splits.select("file", "lo", F.least(F.col("lo") + split_bytes, "bytes").alias("hi"))
-    total = manifest.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
-    return one_task_each(splits, int(total or 0)).mapInArrow(tidied(read), RECORDS)
+    total = manifest.where("bytes > 0").agg(F.sum("bytes")).first()[0]
+    return one_task_each(splits, (total or 0) // split_bytes + 1).mapInArrow(tidied(read), RECORDS)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
