@@ -1,18 +1,18 @@
-"""PII: fixed patterns, and information-theoretic sanitisation of the terms around them.
+"""PII: fixed patterns, and information-theoretic sanitisation of the terms of the texts that hold them.
 
-Protected entities are the values that the patterns find. A term is a word of three letters or more, in lower case, within
-``REACH`` words of an entity. Over all documents, with N of them, P(x) = documents holding x / N, and the part of an entity's
+Protected entities are the values that the patterns find. A term is a word of three letters or more, in lower case, anywhere in a text that
+holds an entity. Over all documents, with N of them, P(x) = documents holding x / N, and the part of an entity's
 information that a term gives away is
 
     disclosure(t, e) = log(P(t, e) / (P(t) P(e))) / -log P(e),
 
-1 where the term never occurs without the entity. Terms are judged only if they meet the entity in ``SUPPORT`` different
-surroundings, so that copies of a document are no evidence. From ``GENERALISE`` on, a term near the entity gives way to
+1 where the term never occurs without the entity. Terms are judged only if they meet the entity in ``SUPPORT`` texts of different
+words, so that copies of a document are no evidence. From ``GENERALISE`` on, every occurrence of the term in the entity's texts gives way to
 ``[TERM]``; from ``REMOVE`` on, it goes.
 
 Beside the patterns' matches (base), ``retried`` spans are numbers inside runs of digits that failed as a whole.
 
-Data flow: one pass finds spans and surroundings; counts of (entity, term) are aggregated map-side; a second pass counts documents for
+Data flow: one pass finds spans and terms; counts of (entity, term) are aggregated map-side, for the entities that stand in enough texts; a second pass counts documents for
 the terms in question only, told by a bitmap of fixed size (a false hit costs a row, never a wrong count). The texts are never shuffled to find spans.
 
 Defined results: null and empty texts have no spans; spans are counted in code points; equal texts have equal spans; repeated
@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.files import limit_batches, tidied
+from gridloom.llm.files import limit_batches, small_side, tidied
 from gridloom.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.7, 0.95
-#: Bits of the bitmap of terms.
+SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.95
+#: Bits of a bitmap of terms or entities.
 MAP_BITS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,8 +45,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _PART = re.compile(r"[0-9]+")
 _WORD = re.compile(r"[^\W\d_]{3,40}")
-#: Characters that hold REACH words of at most 40 letters with what stands between them.
-_NEAR = 45 * REACH
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -147,47 +145,34 @@ def entity_of(kind: str, value: str) -> int:
     return _hash64(f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(_PART.findall(value))}")
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """The terms near each entity: {entity, context, term, start, end}; context is the same for the same terms in the same order."""
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Every term outside the spans: (term, start, end)."""
     inside = sorted((a, b) for _, a, b in spans)
-    starts = np.array([a for a, _ in inside])
-    ends = np.maximum.accumulate(np.array([b for _, b in inside]))
-
-    def terms(lo: int, hi: int) -> list[tuple[str, int, int]]:
-        found = []
-        for m in _WORD.finditer(text, lo, hi):
-            a, b = m.span()
-            cut = a == lo > 0 and text[a - 1].isalpha() or b == hi < len(text) and text[b].isalpha()
-            k = int(np.searchsorted(starts, b)) - 1  # the last span that starts before the word ends
-            if not cut and (k < 0 or ends[k] <= a):
-                found.append((m[0].lower(), a, b))
-        return found
-
-    near: dict[int, set] = {}
-    for kind, a, b in spans:
-        own = near.setdefault(entity_of(kind, text[a:b]), set())
-        own.update(terms(max(0, a - _NEAR), a)[-REACH:])
-        own.update(terms(b, min(len(text), b + _NEAR))[:REACH])
-    rows = []
-    for entity, own in near.items():
-        context = _hash64(" ".join(t for t, _, _ in sorted(own, key=lambda x: x[1])))
-        rows += [{"entity": entity, "context": context, "term": t, "start": a, "end": b} for t, a, b in sorted(own, key=lambda x: x[1])]
-    return rows
-
-
-NEAR = "array<struct<entity:long,context:long,term:string,start:int,end:int>>"
+    found, i, past = [], 0, 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while i < len(inside) and inside[i][0] < b:
+            past = max(past, inside[i][1])
+            i += 1
+        if past <= a:
+            found.append((m[0].lower(), a, b))
+    return found
+
+
+NEAR = "array<struct<term:string,start:int,end:int>>"
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns with text_key, n_email, n_ip, n_card, n_phone, base and retried (span strings) and near, the surroundings."""
+    """``keep`` columns with text_key, n_email, n_ip, n_card, n_phone, base and retried (span strings), keys (the entities), context (the same for
+    the same terms in the same order) and near (every term, where there are entities)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        near_type = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
-            strings, retried, near = [], [], []
+            strings, retried, keys, contexts, near = [], [], [], [], []
             for value in batch.column(batch.num_columns - 1):
                 text = value.as_py() or ""
                 spans = base_spans(text)
@@ -195,11 +180,13 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
                     counts[k].append(sum(x[0] == k for x in spans) if spans else 0)
                 strings.append(span_string(spans))
                 retried.append(span_string([("number", a, b) for _, a, b in retried_spans(text, spans)]))
-                near.append(surroundings(text, spans) if spans else [])
-            arrays = [*batch.columns[:-1], *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(strings, pa.string()), pa.array(retried, pa.string()), pa.array(near, near_type)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *(f"n_{k}" for k in KINDS), "base", "retried", "near"])
+                keys.append(sorted({entity_of(k, text[a:b]) for k, a, b in spans}))
+                near.append(terms_of(text, spans) if spans else [])
+                contexts.append(_hash64(" ".join(t for t, _, _ in near[-1])) if spans else None)
+            arrays = [*batch.columns[:-1], *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(strings, pa.string()), pa.array(retried, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(contexts, pa.int64()), pa.array(near, near_type)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], *(f"n_{k}" for k in KINDS), "base", "retried", "keys", "context", "near"])
 
-    more = T._parse_datatype_string(f"text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, retried string, near {NEAR}")
+    more = T._parse_datatype_string(f"text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, retried string, keys array<long>, context long, near {NEAR}")
     limit_batches(docs.sparkSession)
     rows = docs.select(*keep, F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("__text"))
     return rows.mapInArrow(tidied(run), T.StructType([*(docs.schema[c] for c in keep), *more.fields]))
@@ -227,7 +214,7 @@ def _document_counts(docs: DataFrame, bits: np.ndarray, text_col: str) -> DataFr
                 text = value.as_py()
                 if not text:
                     continue
-                for word in set(_WORD.findall(text.lower())):
+                for word in {x.lower() for x in set(_WORD.findall(text))}:
                     hit = known.get(word)
                     if hit is None:
                         if len(known) > 120_000:
@@ -243,17 +230,17 @@ def _document_counts(docs: DataFrame, bits: np.ndarray, text_col: str) -> DataFr
     return docs.select(text_col).mapInArrow(tidied(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def _bitmap(terms: DataFrame) -> np.ndarray:
-    """The terms' bits, gathered as MAP_BITS / 32 rows at most."""
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """The bits of the first column's values, gathered as MAP_BITS / 32 rows at most."""
 
     def positions(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([xxh64_intdigest(t) % MAP_BITS for t in batch.column(0).to_pylist()], pa.int64())], names=["at"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxh64_intdigest(str(t)) % MAP_BITS for t in batch.column(0).to_pylist()], pa.int64())], names=["at"])
 
-    words = terms.select("term").mapInArrow(tidied(positions), "at long").groupBy((F.col("at") / 32).cast("long").alias("word"))
+    words = values.mapInArrow(tidied(positions), "at long").groupBy((F.col("at") / 32).cast("long").alias("word"))
     rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 AS int))")).alias("bits")).collect()
     bitmap = np.zeros(MAP_BITS // 32, "<u4")
     for row in rows:
@@ -261,24 +248,62 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint8)
 
 
+def _meetings(own: DataFrame, bits: np.ndarray, support: int) -> DataFrame:
+    """(entity, term, context, n) of the entities whose bit is set, summed in each task first: the n of a pair's rows add up to the documents where they
+    meet, and its rows have all its contexts, or ``support`` of them at least."""
+    shared = own.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        bitmap = shared.value
+        counts: dict[tuple[int, str], list[int]] = {}  # documents, then contexts
+
+        def flush() -> pa.RecordBatch:
+            rows = [(e, t, c, found[0] if i == 0 else 0) for (e, t), found in counts.items() for i, c in enumerate(found[1:])]
+            counts.clear()
+            columns = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["entity", "term", "context", "n"])
+
+        for batch in batches:
+            for keys, context, terms in zip(*(c.to_pylist() for c in batch.columns)):
+                for key in keys:
+                    at = xxh64_intdigest(str(key)) % MAP_BITS
+                    if not bitmap[at >> 3] >> (at & 7) & 1:
+                        continue
+                    for term in terms:
+                        found = counts.setdefault((key, term), [0])
+                        found[0] += 1
+                        if len(found) <= support and context not in found[1:]:
+                            found.append(context)
+                if len(counts) > 100_000:
+                    yield flush()
+        yield flush()
+
+    rows = own.select("keys", "context", F.array_distinct(F.transform("near", lambda x: x["term"])).alias("terms"))
+    return rows.mapInArrow(tidied(run), "entity long, term string, context long, n long")
+
+
 def disclosing_terms(scanned: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of the terms that meet an entity in enough surroundings."""
-    own = scanned.where(F.size("near") > 0).select(F.monotonically_increasing_id().alias("row"), "near").select("row", F.inline("near"))
-    met = own.groupBy("entity", "term", "row", "context").count().groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    met = materialize(met, "pii-pairs")
-    n_e = own.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    """(entity, term, disclosure) of the terms that meet an entity in enough different texts."""
+    own = scanned.where(F.size("keys") > 0)
+    stand = own.select(F.explode("keys").alias("entity"), "context").groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"))
+    n_e = materialize(stand.where(F.col("texts") >= support).select("entity", "n_e"), "pii-entities")
+    met = _meetings(own, _bitmap(n_e.select("entity")), support).groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    met = materialize(met.select("entity", "term", "n_te"), "pii-pairs")
     df = _document_counts(docs, _bitmap(met.select("term").distinct()), text_col)
     n = scanned.count()
-    joined = met.join(n_e, "entity").join(df, "term")
+    joined = met.join(small_side(n_e), "entity").join(df, "term")
     ic = -F.log(F.col("n_e") / n)
     pmi = F.log(F.col("n_te") * n / (F.col("df") * F.col("n_e")))
     return joined.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("disclosure"))
 
 
 def term_spans(scanned: DataFrame, disclosing: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """(text_key, terms): for each distinct text the spans of its disclosing terms, by start."""
-    near = scanned.where(F.size("near") > 0).select("text_key", F.inline("near")).select("text_key", "entity", "term", "start", "end").distinct()
-    hits = near.join(disclosing.where(F.col("disclosure") >= generalise), ["entity", "term"])
+    """(text_key, terms): for each distinct text the spans of its disclosing terms, by start. ``disclosing`` is a written table."""
+    words = scanned.where(F.size("keys") > 0).select("text_key", "keys", F.inline("near"))
+    hits = words.join(small_side(disclosing.where(F.col("disclosure") >= generalise)), "term").where(F.array_contains("keys", F.col("entity")))
     best = hits.groupBy("text_key", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
     return best.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "term", "disclosure"))).alias("terms"))
 
@@ -329,8 +354,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scanned, terms = find_spans(docs, ["doc_id"])
     extra = F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"]))
-    plain = scanned.where(F.size("near") == 0).withColumn("extra", F.lit(None).cast("array<string>"))
-    near = scanned.where(F.size("near") > 0).join(terms.select(F.col("text_key").alias("same"), extra.alias("extra")), F.col("text_key") == F.col("same"), "left").drop("same")
+    plain = scanned.where(F.size("keys") == 0).withColumn("extra", F.lit(None).cast("array<string>"))
+    near = scanned.where(F.size("keys") > 0).join(terms.select(F.col("text_key").alias("same"), extra.alias("extra")), F.col("text_key") == F.col("same"), "left").drop("same")
     filled = lambda c: F.when(c != "", c)  # noqa: E731  concat_ws leaves nulls out
     spans = F.concat_ws(",", filled(F.col("base")), filled(F.col("retried")), filled(F.array_join("extra", ",")))
     return plain.unionByName(near).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))

@@ -104,3 +104,17 @@ def test_numbers_beside_each_other():
     assert pii.retried_spans("4111 1111 1111 1111", pii.base_spans("4111 1111 1111 1111")) == []
     for long in ("1 " * 100_000, "+1" * 100_000, "1" * 200_000):
         pii.retried_spans(long, [])
+
+
+def test_terms_count_and_go_anywhere_in_the_text(spark):
+    rng = random.Random(11)
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
+    letters = [f"Zebulon {fill(12)} zebulon {fill(12)} zeb@secret.org {' ' * 300} {fill(12)} Quagmire" for _ in range(4)]
+    docs = letters + [fill(40) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    scanned, terms = pii.find_spans(df, ["doc_id"])
+    got = {r.doc_id: r.terms for r in scanned.join(terms, "text_key").select("doc_id", "terms").collect()}
+    assert {i: [docs[i][t.start : t.end] for t in found] for i, found in got.items()} == dict.fromkeys(range(4), ["Zebulon", "zebulon", "Quagmire"])
+    assert all(abs(t.disclosure - 1) < 1e-9 for found in got.values() for t in found)
+    clean = [r.text for r in pii.sanitise(df.where("doc_id < 70")).collect() if "[EMAIL]" in r.text]
+    assert len(clean) == 4 and not any(x in t.lower() for t in clean for x in ("zeb", "quagmire"))
