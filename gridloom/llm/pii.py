@@ -6,7 +6,9 @@ information that a term gives away is
 
     disclosure(t, e) = log(P(t, e) / (P(t) P(e))) / -log P(e),
 
-1 where the term never occurs without the entity. Terms are judged only if they meet the entity in ``SUPPORT`` texts of different
+1 where the term never occurs without the entity. Most values stand in one document, which can't tell its terms apart, so a term is judged
+against three entities for each value: the value, its form (a domain, a network, the first digits: what values of one owner share) and its
+kind. For forms and kinds, which stand in many documents, a term must also meet the entity more often than chance (``CHANCE``) has it. Terms are judged only if they meet the entity in ``SUPPORT`` texts of different
 words, so that copies of a document are no evidence. From ``GENERALISE`` on, every occurrence of the term in the entity's texts gives way to
 ``[TERM]``; from ``REMOVE`` on, it goes.
 
@@ -35,6 +37,8 @@ from gridloom.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.95
+#: How likely all meetings of a term with a form or kind may be by chance.
+CHANCE = 1e-4
 #: Bits of a bitmap of terms or entities.
 MAP_BITS = 1 << 20
 
@@ -140,9 +144,11 @@ def _hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def entity_of(kind: str, value: str) -> int:
-    """A protected value whatever its spelling: letters in lower case, or digits alone."""
-    return _hash64(f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(_PART.findall(value))}")
+def entities_of(kind: str, value: str) -> list[int]:
+    """The value whatever its spelling (letters in lower case, or digits alone), its form and its kind; even numbers are values."""
+    same = value.lower() if kind == "email" else ".".join(x.lstrip("0") or "0" for x in value.split(".")) if kind == "ip" else "".join(_PART.findall(value))
+    form = same.rpartition("@")[2] if kind == "email" else same.rpartition(".")[0] if kind == "ip" else same[:6]
+    return [_hash64(f"{kind}:{same}") & ~1, _hash64(f"{kind} form:{form}") | 1, _hash64(f"{kind}:") | 1]
 
 
 def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -180,7 +186,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
                     counts[k].append(sum(x[0] == k for x in spans) if spans else 0)
                 strings.append(span_string(spans))
                 retried.append(span_string([("number", a, b) for _, a, b in retried_spans(text, spans)]))
-                keys.append(sorted({entity_of(k, text[a:b]) for k, a, b in spans}))
+                keys.append(sorted({e for k, a, b in spans for e in entities_of(k, text[a:b])}))
                 near.append(terms_of(text, spans) if spans else [])
                 contexts.append(_hash64(" ".join(t for t, _, _ in near[-1])) if spans else None)
             arrays = [*batch.columns[:-1], *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(strings, pa.string()), pa.array(retried, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(contexts, pa.int64()), pa.array(near, near_type)]
@@ -297,7 +303,9 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, text_col: str = "text"
     joined = met.join(small_side(n_e), "entity").join(df, "term")
     ic = -F.log(F.col("n_e") / n)
     pmi = F.log(F.col("n_te") * n / (F.col("df") * F.col("n_e")))
-    return joined.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("disclosure"))
+    chance = F.pow(F.col("n_e") / n, F.col("n_te"))
+    judged = joined.where((F.col("entity") % 2 == 0) | (chance <= CHANCE))
+    return judged.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("disclosure"))
 
 
 def term_spans(scanned: DataFrame, disclosing: DataFrame, generalise: float = GENERALISE) -> DataFrame:

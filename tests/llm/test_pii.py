@@ -118,3 +118,15 @@ def test_terms_count_and_go_anywhere_in_the_text(spark):
     assert all(abs(t.disclosure - 1) < 1e-9 for found in got.values() for t in found)
     clean = [r.text for r in pii.sanitise(df.where("doc_id < 70")).collect() if "[EMAIL]" in r.text]
     assert len(clean) == 4 and not any(x in t.lower() for t in clean for x in ("zeb", "quagmire"))
+
+
+def test_values_in_one_document_each_are_judged_by_form_and_kind(spark):
+    rng = random.Random(13)
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
+    staff = [f"{fill(9)} {name}@acme.org {fill(9)} Acmeville {fill(9)}" for name in ("ann", "ben", "cat", "dan", "eva")]
+    others = [f"{fill(9)} inbox {fill(9)} me@host{i}.org" for i in range(6)]
+    docs = staff + others + [f"{fill(20)} lone@only.org quokka"] + [fill(40) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    scanned, terms = pii.find_spans(df, ["doc_id"])
+    got = {r.doc_id: [docs[r.doc_id][t.start : t.end] for t in r.terms] for r in scanned.join(terms, "text_key").select("doc_id", "terms").collect()}
+    assert got == dict.fromkeys(range(5), ["Acmeville"]) | dict.fromkeys(range(5, 11), ["inbox"])
