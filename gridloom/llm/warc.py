@@ -150,7 +150,7 @@ class RangeScan:
 
     def decode(self, found: int) -> tuple[bytes, int, dict | None]:
         """Decode the member at ``found``: its head first, and the rest only if that is a WARC header."""
-        unpack, parts, fed, fields, size = zlib.decompressobj(31), [], found, None, 0
+        unpack, parts, fed, fields, head, seen = zlib.decompressobj(31), [], found, None, bytearray(), 0
         while not unpack.eof:
             if fed >= len(self.buffer) and not self.more():
                 return b"", 0, None  # cut off
@@ -160,11 +160,12 @@ class RangeScan:
                 parts.append(unpack.decompress(step))
             except zlib.error:
                 return b"", 0, None
-            size += len(parts[-1])
             if fields is None:
-                head = b"".join(parts)
-                fields = parse_head(head)
-                if fields is None and (not b"WARC/1.".startswith(head[:7]) or size > 1 << 16):
+                head += parts[-1]
+                if not b"WARC/1.".startswith(bytes(head[:7])):
+                    return b"", 0, None
+                end, seen = head.find(b"\r\n\r\n", seen), max(0, len(head) - 3)
+                if end >= 0 and (fields := parse_head(bytes(head[: end + 4]))) is None:
                     return b"", 0, None
         return b"".join(parts), fed - len(unpack.unused_data) - found, fields
 
@@ -175,7 +176,7 @@ def _urn(value: bytes | None) -> int | None:
 
 
 def read_warc(manifest: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
-    """The records of the files in ``manifest`` (file, bytes), by splits of ``split_bytes``."""
+    """The records of the files in ``manifest`` (file, bytes, records), by splits of ``split_bytes``. Raises if a file gives another number of them."""
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -206,7 +207,12 @@ def read_warc(manifest: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
     splits = manifest.where("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("lo"), "bytes")
     splits = splits.select("file", "lo", F.least(F.col("lo") + split_bytes, "bytes").alias("hi"))
     total = manifest.where("bytes > 0").agg(F.sum("bytes")).first()[0]
-    return one_task_each(splits, (total or 0) // split_bytes + 1).mapInArrow(tidied(read), RECORDS)
+    found = materialize(one_task_each(splits, (total or 0) // split_bytes + 1).mapInArrow(tidied(read), RECORDS), "warc-records")
+    counts = found.groupBy("file").agg(F.count("*").alias("found"))
+    wrong = manifest.join(counts, "file", "left").where(F.coalesce("found", F.lit(0)) != F.col("records")).first()
+    if wrong:
+        raise OSError(f"{wrong.file} gives {wrong.found or 0} records, the manifest names {wrong.records}")
+    return found
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import pytest
 from gridloom.llm import warc
 from pyspark.sql import functions as F
 
@@ -73,3 +74,15 @@ def test_magic_inside_a_member_is_not_a_record():
     outer = stored.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(inner) + inner + b"\r\n\r\n") + stored.flush()
     found = list(warc.RangeScan(Bytes(outer), 0, len(outer)).members())
     assert [f[b"warc-type"] for _, _, f in found] == [b"resource"]
+
+
+def test_head_of_any_length_is_read(spark):
+    url = "data:" + base64.b64encode(b"".join(hashlib.sha512(b"%d" % i).digest() for i in range(3000))).decode()
+    manifest = warc.write_warc(spark.createDataFrame([(1, url, "x"), (2, "u", "y")], "page_id long, url string, html string"))
+    assert {r.page_id: r.target_uri for r in warc.read_warc(manifest).collect()} == {1: url, 2: "u"}
+
+
+def test_lost_records_are_told(spark):
+    manifest = warc.write_warc(spark.createDataFrame([(1, "a", "x"), (2, "u", "y")], "page_id long, url string, html string"))
+    with pytest.raises(OSError, match="records"):
+        warc.read_warc(manifest.withColumn("records", F.col("records") + 1)).count()
