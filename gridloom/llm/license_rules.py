@@ -18,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Label, keyword, name as a regex over words, versions, SPDX identifier as words.
+#: Label, keyword (every match of the name holds it), name as a regex over words, versions, SPDX identifier as words.
 FAMILIES = [
     ("mit", "mit", "mit", "", "mit"),
     ("mit", "expat", "expat", "", ""),
@@ -32,7 +32,8 @@ FAMILIES = [
     ("agpl", "agpl", "(?:gnu )?agpl", "1|3|3 0", "agpl"),
     ("gfdl", "free documentation", "(?:gnu )?free documentation", "1 1|1 2|1 3", "gfdl"),
     ("bsd", "bsd", "(?:new |revised |simplified |modified )?bsd", "2 clause|3 clause|4 clause", "bsd"),
-    ("0bsd", "0bsd", "(?:zero clause bsd|0bsd)", "", "0bsd"),
+    ("0bsd", "zero clause bsd", "zero clause bsd", "", ""),
+    ("0bsd", "0bsd", "0bsd", "", "0bsd"),
     ("isc", "isc", "isc", "", "isc"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", "", "ncsa"),
     ("zlib", "zlib", "zlib(?: libpng)?", "", "zlib"),
@@ -90,13 +91,15 @@ NOTICES = [
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
     ("copyright", "copyright", "copyright(?: c)?(?: [12][0-9]{3})+"),
     ("public-domain", "public domain", "(?:placed in|dedicated to|in) the public domain"),
-    ("licensed-under", "licen", "(?:licen[cs]ed|released|distributed) under(?: the)?(?: terms of)?(?: the)?"),
+    ("licensed-under", "licen", "licen[cs]ed under(?: the)?(?: terms of)?(?: the)?"),
+    ("licensed-under", "released under", "released under(?: the)?(?: terms of)?(?: the)?"),
+    ("licensed-under", "distributed under", "distributed under(?: the)?(?: terms of)?(?: the)?"),
     ("license-notice", "licen", "(?:see|subject to|terms of) the(?: accompanying)? licen[cs]e(?: file)?"),
 ]
 #: Words of the contract: phrase -> label.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 #: Every rule's match holds one of these.
-GATES = ["licen", "spdx", "copyright", "public domain", "permission is hereby granted", "redistribution and use", "without warranty", "all rights reserved", "gpl", "creative commons"]
+GATES = ["licen", "spdx", "copyright", "public domain", "permission is hereby granted", "redistribution and use", "without warranty", "all rights reserved", "gpl", "creative commons", "released under", "distributed under"]
 #: A detection's worth by priority.
 WORTH = [0.95, 0.8, 0.3]
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -62,3 +62,40 @@ def test_no_python_in_the_plan(spark, edge_dir):
 
 def test_empty(spark, empty_dir):
     assert L.op10_license_scan(spark, empty_dir).count() == 0
+
+
+def examples(tree):
+    """A string for each way through a parsed regex."""
+    out = [""]
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                ways = [chr(arg)]
+            case "IN":
+                ways = [chr(x if str(o) == "LITERAL" else x[0]) for o, x in arg]
+            case "SUBPATTERN":
+                ways = examples(arg[3])
+            case "BRANCH":
+                ways = [x for t in arg[1] for x in examples(t)]
+            case "MAX_REPEAT":
+                ways = [x * n for n in {arg[0], max(arg[0], 1)} for x in examples(arg[2])]
+            case "ASSERT" | "ASSERT_NOT":
+                ways = [""]
+        out = [x + y for x in out for y in dict.fromkeys(ways)]
+    return out
+
+
+def test_every_way_through_a_rule_holds_its_keyword_and_a_gate():
+    from re import _parser
+
+    for r in L.rules():
+        for text in examples(_parser.parse(r["pattern"])):
+            line = f"{text} "
+            assert re.search(r["pattern"], line), (r, line)
+            assert r["keyword"] in line and any(g in line for g in L.GATES), (r, line)
+
+
+def test_labels_need_no_other_words(spark, tmp_path):
+    texts = {"released under the GPL": "licensed-under", "distributed under Apache 2.0": "licensed-under", "Zero-Clause BSD License": "0bsd"}
+    path = write_documents(spark, tmp_path, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert [r.labels for r in sorted(L.op10_license_scan(spark, path).collect())] == list(texts.values())
