@@ -45,13 +45,15 @@ def _odd(text: str) -> bool:
 
 class ByteLevelEncoder:
     """Texts to little-endian uint32 ids. A byte-level model never merges across the pieces that its pre-tokenizer cuts,
-    so the library encodes a piece once and it is remembered; beyond ``max_cache`` pieces, new ones are encoded each time."""
+    but it looks for added tokens in the whole text first, so a text that holds one goes to the library whole. Of others,
+    the library encodes a piece once and it is remembered; beyond ``max_cache`` pieces, new ones are encoded each time."""
 
     def __init__(self, path: str, max_cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.known: dict[str, bytes] = {}
         self.max_cache = max_cache
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
@@ -74,7 +76,7 @@ class ByteLevelEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _odd(text):
+        if _odd(text) or self.added and self.added.search(text):
             return self._library(text).tobytes()
         pieces = _PIECE.findall(text)
         known = self.known

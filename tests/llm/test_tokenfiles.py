@@ -57,3 +57,9 @@ def test_file_format(spark, tmp_path):
 
 def test_empty(spark, empty_dir):
     assert tokenfiles.op5_token_files(spark, empty_dir).count() == 0
+
+
+@pytest.mark.parametrize("text", ["end <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "plain"])
+def test_added_tokens_as_the_unmodified_library_has_them(text):
+    library = Tokenizer.from_file(PATH)
+    assert tokenfiles.ByteLevelEncoder(PATH).encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
