@@ -1,10 +1,11 @@
 """MinHash near-dedup by chosen-path set similarity join (Christiani, Pagh and Sivertsen, 2018).
 
-A document is the set of its distinct word shingles; equal sets are one class. Every class walks ``TREES`` independent trees: a node picks one
+A document is the set of its distinct word shingles; equal sets are one class. Every class walks independent trees: a node picks one
 coordinate of the 128-fold minwise signature by its own hash, and the classes in it branch by the token there. A node of
 ``SMALL`` classes or fewer stops: all its pairs are compared by signature. What is still larger after ``DEPTH``
 tokens in common goes on as one group. This gives loose groups, wide enough that a pair over the threshold is missed in one tree at
-most with probability 1 - threshold ** depth, and in all trees with that to the power ``TREES``: 1e-10 for nodes that stop at the first token.
+most with probability 1 - threshold ** depth, and in all trees with that to the power of their number. ``trees_for`` takes as many trees as keep this at
+1 - ``RECALL`` or less at ``DEPTH``: 15 at threshold 0.85, 23 at 0.8.
 
 Inside a loose group links are confirmed on full sets: by blocks of ``CHUNK`` classes which all get the group's pivots, then, where a group has more
 than one block, by holding what isn't joined to the group's largest component against every block. Linked pairs leave as spanning forests, never as
@@ -29,7 +30,9 @@ from gridloom.llm.files import limit_batches, small_side, tidied
 from gridloom.plans.components import connected_components
 from gridloom.plans.shared import materialize
 
-COORDINATES, TREES, DEPTH, SMALL, CHUNK, PIVOTS = 128, 12, 6, 64, 256, 4
+COORDINATES, DEPTH, SMALL, CHUNK, PIVOTS = 128, 6, 64, 256, 4
+#: Share of the pairs at the threshold that the trees bring together, if all of a pair's nodes are crowded down to DEPTH.
+RECALL = 0.999
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,10 +158,16 @@ def _alike(mine: np.ndarray, all_: np.ndarray) -> np.ndarray:
     return ((all_ == mine).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
+def trees_for(threshold: float) -> int:
+    """The least number of trees that miss a pair at the threshold with probability 1 - RECALL or less, however crowded its nodes are."""
+    once = threshold**DEPTH
+    return 1 if once >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - once))
+
+
 def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a spanning forest of the pairs that trees bring together and signatures don't rule out."""
     loose = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    roots = F.explode(F.array(*(F.lit((r + 1) * 0x1000193).cast("long") for r in range(TREES))))
+    roots = F.explode(F.array(*(F.lit((r + 1) * 0x1000193).cast("long") for r in range(trees_for(threshold)))))
     rows = branch(classes.select("rep", roots.alias("node"), "sig"))
     found = None
     for depth in range(1, DEPTH + 1):

@@ -93,3 +93,31 @@ def test_components(spark):
                 up[hi] = lo
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("threshold, trees", [(0.85, 15), (0.8, 23)])
+def test_trees_follow_from_threshold_and_recall(threshold, trees):
+    assert M.trees_for(threshold) == trees
+    assert (1 - threshold**M.DEPTH) ** trees <= 1 - M.RECALL < (1 - threshold**M.DEPTH) ** (trees - 1)
+    assert M.trees_for(1.0) == 1
+
+
+def test_recall_where_every_node_is_crowded():
+    """4,000 pairs of signatures at 0.8, with the constants in use; a pair meets only where it shares all DEPTH tokens of a tree."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, trees = 4000, M.trees_for(0.8)
+    one = rng.integers(0, 1 << 32, (n, M.COORDINATES), np.uint64).astype("<u4")
+    two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 32, one.shape, np.uint64).astype("<u4"))
+    met = np.zeros(n, bool)
+    for r in range(trees):
+        node, together = np.full(n, (r + 1) * 0x1000193, np.uint64), np.ones(n, bool)
+        for _ in range(M.DEPTH):
+            pick, at = ((node * M._MIX >> np.uint64(40)) % np.uint64(M.COORDINATES)).astype(np.int64), np.arange(n)  # as in branch
+            together &= one[at, pick] == two[at, pick]
+            child = (node ^ one[at, pick]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            child = (child ^ child >> np.uint64(31)) * M._MIX
+            node = child ^ child >> np.uint64(31)
+        met |= together
+    assert met.mean() >= 0.995
