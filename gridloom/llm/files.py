@@ -19,8 +19,8 @@ def make_dir(uri: str) -> None:
 
 #: Rows of whole text that Spark hands a Python worker at once; its own default would hold tens of MB in each of several buffers.
 TEXT_ROWS = 500
-#: Rows that one side of a join may have to be sent to every executor: ids and flags, some tens of MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that one side of a join may have, as ``small_side`` reckons them, to be sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 
 def tidied(f):
@@ -48,6 +48,12 @@ def limit_batches(spark) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+def text_batches(df, f, schema):
+    """``df.mapInArrow(f, schema)`` for rows of whole texts."""
+    limit_batches(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 #: Tasks for rows that each stand for much work; beyond it, a task has several.
 MOST_TASKS = 20_000
 #: Bytes of files that a task reads, where it can choose.
@@ -59,8 +65,10 @@ def one_task_each(df, tasks: int):
     return df.repartition(max(1, min(tasks, MOST_TASKS)))
 
 
-def small_side(df):
-    """``df``, a written table of short rows, with a broadcast hint if it has BROADCAST_ROWS rows at most; else both sides of the join are shuffled."""
+def small_side(df, more=None):
+    """``df``, a written table, with a broadcast hint if its rows, 64 bytes each and ``more`` (a column of bytes) besides, come to BROADCAST_BYTES at most; else
+    both sides of the join are shuffled."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    size = df.agg(F.count("*") * 64 + F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -7,12 +7,14 @@ the sources have left. The slots of a source are numbered through the shards, an
 permutation of the source's block indexes; slots and blocks join by index. No block occurs twice in a pass, so that no document is
 taken more often than the cap says.
 
-Scale: documents move as (id, size) only; a source's stream is numbered in buckets of about ``BUCKET`` rows, so a source that
-holds most rows spreads over many tasks; the driver sees one row for each source (``MAX_SOURCES`` at most) and the shards' draws.
+Scale: documents move as (id, size) only; a source's stream is numbered in buckets of about ``BUCKET`` rows, and a bucket that many equal rows
+crowd is cut further, so a source that holds most rows spreads over many tasks; the driver sees one row for each source. A shard's task draws its own counts: halving
+the shards, each half's counts are drawn from a multinomial over what its parent has of each source, so a task follows one path of halvings.
 
 Defined results: null text or source are a text of no words and the source that sorts last; documents of no words are taken 0 times; a
-source of no words has target 0; rows that agree in id and size are interchangeable; null ids sort first; an empty table gives none.
-Everything is drawn from ``seed`` and the sources' names: reruns agree.
+source of no words has target 0; every row, repeated or not, comes back as a row of its own; null ids sort first; a very long text spans as many blocks as
+it needs; an empty table gives none; columns beside doc_id, source and text are not looked at. More than ``MAX_SOURCES`` sources are refused with a ValueError, as the driver fills
+up the targets. Everything is drawn from ``seed`` and the sources' names: reruns agree.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches, one_task_each, tidied
+from gridloom.llm.files import limit_batches, one_task_each, small_side, tidied
 from gridloom.plans.shared import materialize
 
 BLOCK, BUCKET, MAX_SOURCES = 64, 4096, 100_000
-#: Slots of a shard, and the largest number of shards; beyond it, shards grow.
-SHARD_SLOTS, MAX_SHARDS = 1 << 16, 4096
+#: Slots of a shard, and the largest numbers of shards and of tasks that draw them; beyond, shards and tasks grow.
+SHARD_SLOTS, MAX_SHARDS, MAX_TASKS = 1 << 16, 4096, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -102,29 +104,33 @@ def read_sources(sizes: DataFrame, weights: tuple[float, ...], share: float, cap
 def number_words(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Add ``src`` and ``start``, a document's first word in its source's stream."""
     rows = sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["name"])).drop("name")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.col("buckets")))
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("sum"))
-    base = sums.withColumn("base", F.coalesce(F.sum("sum").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
-    own = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum("size").over(own), F.lit(0))).join(base, ["src", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("bucket", "base", "buckets")
-
-
-def draw_shards(slots: list[int], rng: np.random.Generator, shard_slots: int = SHARD_SLOTS) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): each shard draws its sources from a multinomial over what they have left."""
+    # rows of no words take no place, so they are dealt out freely
+    spread = F.when(F.col("size") > 0, F.xxhash64("doc_id", "size", "tie")).otherwise(F.xxhash64("row"))
+    rows = rows.withColumn("bucket", F.pmod(spread, F.col("buckets")))
+    crowded = rows.groupBy("src", "bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > 8 * BUCKET)
+    crowded = materialize(crowded.select("src", "bucket", F.ceil(F.col("rows") / BUCKET).alias("parts")), "mix-crowded", 1)
+    rows = rows.join(small_side(crowded), ["src", "bucket"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))).drop("parts")
+    sums = rows.groupBy("src", "bucket", "part").agg(F.sum("size").alias("sum"))
+    base = sums.withColumn("base", F.coalesce(F.sum("sum").over(Window.partitionBy("src").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
+    own = Window.partitionBy("src", "bucket", "part").orderBy("doc_id", "size", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("start", F.coalesce(F.sum("size").over(own), F.lit(0))).join(base, ["src", "bucket", "part"]).withColumn("start", F.col("start") + F.col("base")).drop("bucket", "part", "base", "buckets")
+
+
+def draw_shard(slots: list[int], shards: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot, slots) of each source in shard ``k``. The shards are halved down to it; the left half's counts are drawn from a multinomial over what both have."""
     left = np.array(slots, np.int64)
-    total = int(left.sum())
-    shards = min(MAX_SHARDS, -(-total // shard_slots))
-    plan, first = [], np.zeros_like(left)
-    for k in range(shards):
-        want = total * (k + 1) // shards - total * k // shards
-        drawn = np.zeros_like(left)
+    total, first, lo, hi = int(left.sum()), np.zeros_like(left), 0, shards
+    while hi - lo > 1:
+        mid, rng = (lo + hi) // 2, np.random.default_rng([seed, lo, hi])
+        want, drawn = total * mid // shards - total * lo // shards, np.zeros_like(left)
         while missing := want - int(drawn.sum()):
             rest = left - drawn
             drawn += np.minimum(rest, rng.multinomial(missing, rest / rest.sum()))
-        plan += [(k, int(i), int(first[i]), int(drawn[i])) for i in np.flatnonzero(drawn)]
-        first += drawn
-        left -= drawn
-    return plan
+        if k < mid:
+            left, hi = drawn, mid
+        else:
+            first, left, lo = first + drawn, left - drawn, mid
+    return first, left
 
 
 def _round_key(name: str | None, a_pass: int, seed: int) -> np.ndarray:
@@ -160,12 +166,24 @@ def permute(x: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
 
 def map_slots(spark: SparkSession, sources: list[Source], seed: int, chunk: int = 1 << 16) -> DataFrame:
     """(shard, src, slot, pass, block, take): every slot of every shard with its block index."""
-    plan = draw_shards([s.slots for s in sources], np.random.default_rng(seed))
-    rows = spark.createDataFrame(plan or [], "shard int, src int, first long, n long")
+    total = sum(s.slots for s in sources)
+    shards = min(MAX_SHARDS, -(-total // SHARD_SLOTS))
+    shared = spark.sparkContext.broadcast(sources)
+
+    def draw(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        slots = [s.slots for s in shared.value]
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                first, n = draw_shard(slots, shards, k, seed)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(first[some]), pa.array(n[some])], names=["shard", "src", "first", "n"])
+
+    rows = spark.range(0, shards, 1, max(1, min(shards, MAX_TASKS))).mapInArrow(tidied(draw), "shard int, src int, first long, n long")
     rows = rows.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(chunk).cast("long"))).alias("lo"), (F.col("first") + F.col("n")).alias("end"))
     rows = rows.withColumn("hi", F.least("end", F.col("lo") + chunk)).drop("end")
-    rows = one_task_each(rows, max(sum(s.slots for s in sources) // chunk, spark.sparkContext.defaultParallelism) if plan else 0)
-    shared = spark.sparkContext.broadcast(sources)
+    rows = one_task_each(rows, max(total // chunk, spark.sparkContext.defaultParallelism) if total else 0)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -190,7 +208,7 @@ def map_slots(spark: SparkSession, sources: list[Source], seed: int, chunk: int
 def cut_blocks(numbered: DataFrame, block: int, *more: str) -> DataFrame:
     """A row for each block that a document has words in: ``at``, its first word's place in the block, ``n`` words from word ``first`` of the document."""
     covers = F.when(F.col("size") > 0, F.sequence((F.col("start") / block).cast("long"), ((F.col("start") + F.col("size") - 1) / block).cast("long")))
-    rows = numbered.select("doc_id", "src", "start", "size", *more, F.explode_outer(covers).alias("block"))
+    rows = numbered.select("row", "doc_id", "src", "start", "size", *more, F.explode_outer(covers).alias("block"))
     lo = F.greatest("start", F.col("block") * block)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     return rows.withColumn("at", lo - F.col("block") * block).withColumn("n", hi - lo).withColumn("first", lo - F.col("start"))
@@ -208,7 +226,8 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     """Plan the mix of ``docs`` (doc_id, source, text)."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("text").alias("tie"))
+    sizes = materialize(sizes.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")  # written: a row keeps its number
     sources = read_sources(sizes, weights, share, cap, block)
     table = spark.createDataFrame([(i, s.name, s.size, s.target, -(-s.rows // BUCKET)) for i, s in enumerate(sources)], "src int, name string, source_size long, target double, buckets long")
     return Mix(sources, number_words(sizes, table), map_slots(spark, sources, seed), block)
@@ -232,8 +251,7 @@ def taken_words(mix: Mix) -> DataFrame:
     joined = pieces.join(uses, ["src", "block"], "left")
     part = F.greatest(F.lit(0), F.least("n", F.col("cut") - F.col("at")))
     words = F.coalesce(F.col("wholes") * F.col("n"), F.lit(0)) + F.coalesce(F.when(F.col("cut").isNotNull(), part), F.lit(0))
-    row = ("doc_id", "src", "start", "size", "source", "source_size", "target")
-    return joined.groupBy(*row).agg(F.sum(words).alias("taken")).drop("src", "start")
+    return joined.groupBy("row", "doc_id", "size", "source", "source_size", "target").agg(F.sum(words).alias("taken")).drop("row")
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:

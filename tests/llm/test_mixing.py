@@ -28,17 +28,16 @@ def test_permutation(n):
     assert n < 100 or (got != np.arange(n)).mean() > 0.9
 
 
-def test_shards_draw_all_slots_once():
-    plan = mixing.draw_shards([1000, 0, 37, 5], np.random.default_rng(1), shard_slots=64)
-    totals = Counter()
-    for _, source, first, n in plan:
-        assert first == totals[source]
-        totals[source] += n
-    assert totals == {0: 1000, 2: 37, 3: 5}
-    per_shard = Counter()
-    for k, _, _, n in plan:
-        per_shard[k] += n
-    assert max(per_shard.values()) - min(per_shard.values()) <= 1
+@pytest.mark.parametrize("shards", [1, 2, 7, 17])
+def test_shards_draw_all_slots_once(shards):
+    slots = [1000, 0, 37, 5]
+    done = np.zeros(4, int)
+    for k in range(shards):
+        first, n = mixing.draw_shard(slots, shards, k, 1)
+        assert first.tolist() == done.tolist() and (n >= 0).all()
+        assert n.sum() == sum(slots) * (k + 1) // shards - sum(slots) * k // shards
+        done += n
+    assert done.tolist() == slots
 
 
 def test_contract_on_edge_cases(spark, edge_dir, edge_rows):
@@ -91,3 +90,53 @@ def test_mixed_documents_keep_the_words(spark, edge_dir):
 
 def test_empty(spark, empty_dir):
     assert mixing.op2_mixing(spark, empty_dir).count() == 0
+
+
+def repeated(spark):
+    rows = [(7, "", "a"), (7, "", "a"), (7, None, "a"), (None, "", "a"), (None, None, "a"), (None, "same words here", "a"), (None, "same words here", "a")]
+    rows += [(i, " ".join(f"w{j}" for j in range(i * 7 % 90)), "abc"[i % 3]) for i in range(60)] + [(3, "one two", None)] * 9
+    return spark.createDataFrame(rows, "doc_id long, text string, source string"), rows
+
+
+def test_taken_words_by_brute_force(spark, monkeypatch):
+    """Every source's stream as an explicit list of words, cut into blocks, and every slot read from it."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 8)
+    docs, rows = repeated(spark)
+    mix = mixing.plan_mix(docs, block=16)
+    numbered = mix.numbered.collect()
+    assert len({r.row for r in numbered}) == len(rows)
+    streams = defaultdict(list)
+    for r in sorted(numbered, key=lambda r: (r.src, r.start, r["size"])):
+        if r["size"]:
+            assert r.start == len(streams[r.src])  # end to end
+            streams[r.src] += [r.row] * r["size"]
+    slots = mix.slots.collect()
+    passes = Counter((r.src, r["pass"], r.block) for r in slots)
+    assert max(passes.values()) == 1  # no block twice in a pass
+    taken = Counter()
+    for r in slots:
+        block = streams[r.src][16 * r.block : 16 * r.block + 16]
+        assert 0 < r.take <= len(block)
+        taken.update(block[: r.take])
+    goal = {i: round(s.target) for i, s in enumerate(mix.sources)}
+    assert {i: sum(taken[r.row] for r in numbered if r.src == i) for i in goal} == goal
+    want = Counter((r.doc_id, r["size"], r.source, taken[r.row]) for r in numbered)
+    assert Counter((r.doc_id, r["size"], r.source, r.taken) for r in mixing.taken_words(mix).collect()) == want
+
+
+def test_every_row_comes_back(spark, tmp_path):
+    docs, rows = repeated(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op2_mixing(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r["size"], r.source) for r in got) == Counter((i, size(t), s) for i, t, s in rows)
+    assert all(r.taken <= 2 * r["size"] for r in got)
+
+
+def test_crowded_buckets_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 4)
+    docs = spark.createDataFrame([(None, "the same text", "a")] * 200 + [(i, "another text", "a") for i in range(50)], "doc_id long, text string, source string")
+    mix = mixing.plan_mix(docs)
+    starts = sorted((r.start, r["size"]) for r in mix.numbered.collect())
+    assert [s for s, _ in starts] == np.concatenate(([0], np.cumsum([n for _, n in starts])[:-1])).tolist()
+    got = mixing.taken_words(mix).collect()
+    assert len(got) == 250 and sum(r.taken for r in got) == round(1.5 * sum(n for _, n in starts))
