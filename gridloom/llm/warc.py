@@ -6,11 +6,13 @@ the one with the smallest id is a ``response``; the others are ``revisit`` recor
 Reader: a task takes a byte range of a file, scans it for the gzip magic, validates each candidate
 by decoding the head of the member as a WARC header, and owns the records that start inside its range, the last of
 which it reads past the range's end. Bytes inside a decoded member are never scanned again, so only the
-first record of a range relies on validation.
+first record of a range relies on validation. Bytes between members are passed over; a record whose head is whole and whose body is cut off, damaged or
+of another length than its head says raises, and so does a file that gives another number of records than its manifest.
 
 Defined results: null html is an empty payload; empty payloads equal each other; a null id gets the record id
 ``null`` and comes back as null, and never is the named response while its group has an id; rows that
-repeat the smallest id are all responses; an empty table writes no files and reads back no rows.
+repeat the smallest id are all responses; a very long page is one record, held whole by its task; an empty table writes no files and reads back no rows; other columns, whatever
+their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def parse_head(data: bytes) -> dict[bytes, bytes] | None:
         return None
     fields = dict(line.split(b":", 1) for line in data[:end].split(b"\r\n")[1:] if b":" in line)
     fields = {name.strip().lower(): value.strip() for name, value in fields.items()}
-    return fields | {b"": str(end + 4).encode()} if b"warc-type" in fields and b"content-length" in fields else None
+    return fields | {b"": str(end + 4).encode()} if b"warc-type" in fields and fields.get(b"content-length", b"").isdigit() else None
 
 
 class RangeScan:
@@ -149,25 +151,40 @@ class RangeScan:
                 yield self.base + found, data, fields
 
     def decode(self, found: int) -> tuple[bytes, int, dict | None]:
-        """Decode the member at ``found``: its head first, and the rest only if that is a WARC header."""
-        unpack, parts, fed, fields, head, seen = zlib.decompressobj(31), [], found, None, bytearray(), 0
-        while not unpack.eof:
-            if fed >= len(self.buffer) and not self.more():
-                return b"", 0, None  # cut off
-            step = self.buffer[fed : fed + (4096 if fields is None else self.chunk)]
-            fed += len(step)
+        """Decode the member at ``found``: its head first, and the rest only if that is a WARC header. Once it is, the member must be whole."""
+        unpack, tail, fed, fields, head, seen = zlib.decompressobj(31), b"", found, None, bytearray(), 0
+        while fields is None:  # a little at a time: what fails behind the head is damage, what fails before is no record
+            if not tail:
+                if unpack.eof or fed >= len(self.buffer) and not self.more():
+                    return b"", 0, None
+                tail = self.buffer[fed : fed + 4096]
+                fed += len(tail)
             try:
-                parts.append(unpack.decompress(step))
+                head += unpack.decompress(tail, 512)
             except zlib.error:
                 return b"", 0, None
-            if fields is None:
-                head += parts[-1]
-                if not b"WARC/1.".startswith(bytes(head[:7])):
-                    return b"", 0, None
-                end, seen = head.find(b"\r\n\r\n", seen), max(0, len(head) - 3)
-                if end >= 0 and (fields := parse_head(bytes(head[: end + 4]))) is None:
-                    return b"", 0, None
-        return b"".join(parts), fed - len(unpack.unused_data) - found, fields
+            tail = unpack.unconsumed_tail
+            if not b"WARC/1.".startswith(bytes(head[:7])):
+                return b"", 0, None
+            end, seen = head.find(b"\r\n\r\n", seen), max(0, len(head) - 3)
+            if end >= 0 and (fields := parse_head(bytes(head[: end + 4]))) is None:
+                return b"", 0, None
+        parts = [bytes(head)]
+        while not unpack.eof:
+            if not tail:
+                if fed >= len(self.buffer) and not self.more():
+                    raise OSError(f"the record at {self.base + found} is cut off")
+                tail = self.buffer[fed : fed + self.chunk]
+                fed += len(tail)
+            try:
+                parts.append(unpack.decompress(tail))
+            except zlib.error as error:
+                raise OSError(f"the record at {self.base + found} is damaged: {error}") from error
+            tail = b""
+        data = b"".join(parts)
+        if data[int(fields[b""]) + int(fields[b"content-length"]) :] != b"\r\n\r\n":
+            raise OSError(f"the record at {self.base + found} isn't as long as its header says")
+        return data, fed - len(unpack.unused_data) - found, fields
 
 
 def _urn(value: bytes | None) -> int | None:

@@ -86,3 +86,37 @@ def test_lost_records_are_told(spark):
     manifest = warc.write_warc(spark.createDataFrame([(1, "a", "x"), (2, "u", "y")], "page_id long, url string, html string"))
     with pytest.raises(OSError, match="records"):
         warc.read_warc(manifest.withColumn("records", F.col("records") + 1)).count()
+
+
+def a_file(spark, n=30):
+    """The bytes of one archive of ``n`` records, and their offsets."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}" + hashlib.sha512(b"%d" % i).hexdigest() * 5) for i in range(n)], "page_id long, url string, html string").coalesce(1)
+    (row,) = warc.write_warc(pages).collect()
+    data = open(row.file.removeprefix("file://"), "rb").read()
+    return data, [at for at, _, _ in warc.RangeScan(Bytes(data), 0, len(data)).members()]
+
+
+def test_damaged_records_raise(spark, tmp_path):
+    data, offsets = a_file(spark)
+    where = offsets[11] + 3 * (offsets[12] - offsets[11]) // 4  # in the body: the head decodes
+    flipped = data[:where] + bytes([data[where] ^ 0x55]) + data[where + 1 :]
+    cut = data[:-12]
+    longer = data + gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 9\r\n\r\nbody\r\n\r\n")
+    for name, bad, said in (("flipped", flipped, "damaged|long"), ("cut", cut, "cut off"), ("longer", longer, "long")):
+        path = tmp_path / name
+        path.write_bytes(bad)
+        with pytest.raises(OSError, match=said):
+            list(warc.RangeScan(Bytes(bad), 0, len(bad)).members())
+        manifest = spark.createDataFrame([(f"file://{path}", len(bad), 30)], "file string, bytes long, records long")
+        with pytest.raises(Exception, match=said):
+            warc.read_warc(manifest).count()
+
+
+def test_padding_between_members_passes(spark, tmp_path):
+    data, offsets = a_file(spark)
+    padded = b"".join(data[a:b] + bytes(k % 7) + b"\x1f\x8b pad" * (k % 2) for k, (a, b) in enumerate(zip(offsets, [*offsets[1:], len(data)])))
+    path = tmp_path / "padded"
+    path.write_bytes(padded)
+    manifest = spark.createDataFrame([(f"file://{path}", len(padded), 30)], "file string, bytes long, records long")
+    for split in (500, 1 << 20):
+        assert sorted(r.page_id for r in warc.read_warc(manifest, split_bytes=split).collect()) == list(range(30))
