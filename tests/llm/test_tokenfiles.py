@@ -29,7 +29,6 @@ def test_full_memory_still_encodes():
 def test_contract_on_edge_cases(spark, edge_dir, edge_rows):
     got = sorted(tokenfiles.op5_token_files(spark, edge_dir).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     want = {}
     for i, t, _, _ in edge_rows:
         found = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -63,3 +62,13 @@ def test_empty(spark, empty_dir):
 def test_added_tokens_as_the_unmodified_library_has_them(text):
     library = Tokenizer.from_file(PATH)
     assert tokenfiles.ByteLevelEncoder(PATH).encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_rolled_files_and_reads_in_pieces(spark):
+    docs = spark.createDataFrame([(i if i % 9 else None, "word " * (i * 7 % 50) + str(i)) for i in range(200)], "doc_id long, text string")
+    whole = tokenfiles.read_token_files(tokenfiles.write_token_files(docs, PATH, 2)).collect()
+    manifest = tokenfiles.write_token_files(docs, PATH, 2, roll_bytes=700)
+    assert manifest.count() > 10 and manifest.agg(F.max("turn")).first()[0] > 0
+    for task_bytes in (1, 300, 1 << 20):
+        got = tokenfiles.read_token_files(manifest, task_bytes=task_bytes).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[1]) == sorted(map(tuple, whole), key=lambda r: r[1])
