@@ -8,7 +8,8 @@ Counts are summed in each task, then by one exchange of distinct n-grams; only `
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; ties go to the smaller n-gram code and the
 smaller language name; rows of null language or id teach nothing; without any training row every text is ``und``; repeated rows
-count as often as they occur.
+count as often as they occur; an empty table gives none; a very long text is one profile of all its n-grams; other columns, whatever their names, aren't looked at. More than
+``MAX_LANGUAGES`` languages are refused with a ValueError: the profiles go to every task, so their number is a parameter.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.files import limit_batches, tidied
@@ -100,33 +101,29 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     limit_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(tidied(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "ngram-counts")
-    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
+    # a rank below a limit: each task keeps its own best ``top`` of a language before any of them move
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    best = materialize(counts.withColumn("place", rank - 1).where(F.col("place") < top), "ngram-profiles")
+    if best.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
-    best = counts.limit(0)
-    for lang in langs:  # a top-k for each language, without bringing a language's n-grams into one task
-        best = best.unionAll(counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(top))
     return best
 
 
 def predict_language(docs: DataFrame, profiles: DataFrame, keep: list[str], text_col: str = "text", top: int = TOP) -> DataFrame:
     """``keep`` columns of ``docs`` with lang_pred and score. The profiles, at most MAX_LANGUAGES * top rows, go to each task."""
-    by: dict[str, list[tuple[int, int]]] = {}
-    for row in profiles.collect():
-        by.setdefault(row.lang, []).append((-row.n, row.code))
-    langs = sorted(by)
-    codes = np.array(sorted({c for found in by.values() for _, c in found}), np.int64)
-    place = np.full((len(langs), len(codes) + 1), -1, np.int32)
-    for i, lang in enumerate(langs):
-        for rank, (_, code) in enumerate(sorted(by[lang])):
-            place[i, np.searchsorted(codes, code)] = rank
-    model = docs.sparkSession.sparkContext.broadcast((langs, codes, place))
+    rows = profiles.collect()
+    langs = sorted({r.lang for r in rows})
+    number = {lang: i for i, lang in enumerate(langs)}
+    rows = sorted((r.code, number[r.lang], r.place) for r in rows)
+    table = np.array(rows, np.int64).reshape(-1, 3)
+    codes, first = np.unique(table[:, 0], return_index=True)
+    # a code's languages and their ranks stand from first[i] up to first[i + 1]
+    model = docs.sparkSession.sparkContext.broadcast((langs, codes, np.append(first, len(table)), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)))
 
     def predict(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        langs, codes, place = model.value
+        langs, codes, first, whose, place = model.value
         for batch in batches:
             names, scores = [], []
             for text in batch.column(batch.num_columns - 1):
@@ -136,9 +133,11 @@ def predict_language(docs: DataFrame, profiles: DataFrame, keep: list[str], text
                     scores.append(0.0)
                     continue
                 at = np.searchsorted(codes, own)
-                at[(at == len(codes)) | (codes[np.minimum(at, len(codes) - 1)] != own)] = len(codes)
-                theirs = place[:, at]
-                apart = np.where(theirs < 0, top, np.minimum(top, np.abs(theirs - np.arange(len(own))))).sum(axis=1)
+                mine = np.flatnonzero((at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == own))
+                lo, n = first[at[mine]], first[at[mine] + 1] - first[at[mine]]
+                entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                nearer = top - np.minimum(top, np.abs(place[entry] - np.repeat(mine, n)))
+                apart = top * len(own) - np.bincount(whose[entry], nearer, len(langs)).astype(np.int64)
                 best = int(np.argmin(apart))
                 names.append(langs[best])
                 scores.append(float(1 - apart[best] / (top * len(own))))
