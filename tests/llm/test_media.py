@@ -139,3 +139,47 @@ def test_clips_cover_the_film(spark, edge_dir):
 
 def test_empty(spark, empty_dir):
     assert A.op7_media_avi(spark, empty_dir).count() == 0
+
+
+def plain_feature(text):
+    """The feature from its definition, without arrays."""
+    from math import sqrt
+
+    raw = (text or "").encode()
+    raw = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+    head, jpegs = A.parse_avi(A.encode_avi(raw, len((text or "").encode())))
+    frames = [list(A.decode_frame(x).tobytes()) for x in jpegs]
+    shares = [[sum(v // 8 == b for v in f) / len(f) for b in range(32)] for f in frames]
+    apart = [sum(abs(x - y) for x, y in zip(a, b)) / 2 for a, b in zip(shares, shares[1:])]
+    starts = [0]
+    for i, x in enumerate(apart):
+        near = [apart[j] for j in range(max(0, i - 8), min(len(apart), i + 9)) if j != i]
+        mean = sum(near) / len(near) if near else 0.0
+        if x > 0.05 and (not near or x > mean + 2 * sqrt(sum((v - mean) ** 2 for v in near) / len(near))):
+            starts.append(i + 1)
+    clips = []
+    for a, b in zip(starts, [*starts[1:], len(frames)]):
+        means = [sum(f) / len(f) for f in frames[a:b]]
+        clips.append((round(1000 * a / 25), round(1000 * b / 25), sum(means) / len(means)))
+    return len(frames), clips
+
+
+def test_feature_by_brute_force(spark, tmp_path):
+    import numpy as np
+    from llm_documents import write_documents
+
+    rng = np.random.default_rng(2)
+    scenes = ["".join(rng.choice(list(letters), 9000)) for letters in ("abc", "XYZ", "0123", "abcXYZ", "~}|{")]
+    texts = ["", None, "short", *scenes, "".join(scenes), "".join(scenes * 3), "ab" * 40_000]
+    path = write_documents(spark, tmp_path, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.feature for r in A.op7_media_avi(spark, path).collect()}
+    counts = set()
+    for i, text in enumerate(texts):
+        frames, clips = plain_feature(text)
+        told = got[i].split(";")
+        assert told[:2] == [f"{frames} frames", f"{len(clips)} clips"]
+        for said, (a, b, mean) in zip(told[2].split(","), clips, strict=True):
+            x, y, level = map(int, said.split("-"))
+            assert (x, y) == (a, b) and abs(level - mean) <= 0.5 + 1e-6
+        counts.add(len(clips))
+    assert max(counts) > 2
