@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the cluster's shared folder: ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) does the library set a folder of its own."""
+    """URI of the cluster's shared folder: ``spark.checkpoint.dir``. Only where that is unset and all tasks run in the driver's process
+    (tests, a laptop) does the library set a folder of its own; on a cluster it refuses to, as executors wouldn't share it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jvm_dir.get() if jvm_dir.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir isn't set; it must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(root)
         atexit.register(_remove, root)
