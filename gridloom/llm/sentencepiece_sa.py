@@ -1,31 +1,33 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's texts are normalised and cut where no piece of the vocabulary can stand across; the cuts' distinct parts that aren't remembered yet
-are joined and indexed by a suffix array (prefix doubling, as deep as the longest piece). Every piece is looked up in
+A batch's texts are normalised and cut where no piece of the vocabulary can stand across; the cuts' distinct parts
+are joined and indexed by a suffix array (prefix doubling, as deep as the longest piece); nothing is remembered from batch to batch. Every piece is looked up in
 it by binary search; its range of suffixes are its occurrences, the edges from where it starts to where it ends. Edges are sorted by part, score and
 position and relaxed: for a BPE model, an edge is taken when it spans just two symbols and none better does, best
 first; for a unigram model, by the best path to each position. Both give what the library gives.
 
 Defined results: null and empty texts have no ids; characters outside the vocabulary become byte pieces, or the unknown id if there are none;
 decoding takes the blank that encoding puts in front away and gives U+2581 back as a blank, as the format says; rows repeat
-as they come; an empty table gives none. Models with user-defined pieces or a normalisation table are refused.
+as they come; ties among pieces go to the smaller id, then the earlier place; a very long text is encoded whole (a part without blanks is relaxed by a heap of its
+own); an empty table gives none; other columns, whatever their names, aren't looked at. Models with user-defined pieces or a normalisation table are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches, tidied
+from gridloom.llm.files import text_batches, tidied
 
 BLANK = "▁"
 #: Fixed values of the model file: kinds of piece and of model.
@@ -34,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 #: Longer parts are relaxed by themselves, with a heap.
 LONG = 256
 #: Characters of a suffix array, but for a single part that is longer.
-INDEX_CHARS = 1 << 17
+INDEX_CHARS = 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -167,7 +169,8 @@ class Model:
 
     def _bound(self, packed: np.ndarray, order: np.ndarray, rows: np.ndarray, after: bool) -> np.ndarray:
         """For each row the first suffix that isn't below it, or the first above it."""
-        lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(order))
+        whole = packed[order]  # the first column in order: it narrows most rows down to a few suffixes
+        lo, hi = np.searchsorted(whole, rows[:, 0], "left"), np.searchsorted(whole, rows[:, 0], "right")
         while len(todo := np.flatnonzero(lo < hi)):
             mid = (lo[todo] + hi[todo]) // 2
             suffix, below, same = order[mid], np.zeros(len(todo), bool), np.ones(len(todo), bool)
@@ -298,27 +301,21 @@ class Model:
 
 
 class Encoder:
-    """A model and the parts it has met, ``max_parts`` of them at most."""
+    """A model; every call indexes its own texts."""
 
-    def __init__(self, raw: bytes, max_parts: int = 150_000):
-        self.model, self.max_parts = Model(raw), max_parts
-        self.known: dict[str, bytes] = {}
+    def __init__(self, raw: bytes):
+        self.model = Model(raw)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.model.parts.findall(self.model.normalise(t)) if t else [] for t in texts]
-        known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
+        parts = list(dict.fromkeys(chain.from_iterable(cut)))
         found, lo, size = {}, 0, 0
-        for k, part in enumerate(new, 1):  # an index of bounded size at a time
+        for k, part in enumerate(parts, 1):  # an index of bounded size at a time
             size += len(part) + 1
-            if size > INDEX_CHARS or k == len(new):
-                found |= zip(new[lo:k], self.model.segment(new[lo:k]))
+            if size > INDEX_CHARS or k == len(parts):
+                found |= zip(parts[lo:k], self.model.segment(parts[lo:k]))
                 lo, size = k, 0
-        if len(known) < self.max_parts:
-            known |= found
-        else:
-            known = ChainMap(found, known)
-        get = known.__getitem__
+        get = found.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
 
     def decode(self, ids: list[int]) -> str:
@@ -334,43 +331,48 @@ def encoder_of(path: str) -> Encoder:
         return Encoder(f.read())
 
 
-def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str = "text", batch_chars: int = 1 << 20, verify: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, keep: list[str], text_col: str = "text", batch_chars: int = 3 << 20, verify: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` and ids (array<int>). ``model`` is a path that every executor has, like a library's file. ``verify`` decodes in the
-    same pass and adds n_tokens, ids_crc32 and round_trip: whether the ids give the text again."""
+    same pass and adds n_tokens, ids_crc32 (unsigned, over little-endian uint32), decoded_sha256 (of the decoded text) and round_trip: whether that is the text again."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = encoder_of(model)
 
-        def done(batch, lo: int, texts: list) -> pa.RecordBatch:
-            data = own.encode(texts)
-            ends = np.concatenate(([0], np.cumsum([len(d) // 4 for d in data]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
-            out = {n: c.slice(lo, len(texts)) for n, c in zip(batch.schema.names[:-1], batch.columns)} | {"ids": ids}
-            if verify:
-                same = [own.decode(np.frombuffer(d, "<u4").tolist()) == (t or "") for d, t in zip(data, texts)]
-                out |= {"n_tokens": pa.array([len(d) // 4 for d in data], pa.int64()), "ids_crc32": pa.array([zlib.crc32(d) for d in data], pa.int64()), "round_trip": pa.array(same, pa.bool_())}
-            return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
+        def done(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+            found = iter(own.encode([t for _, _, texts in waiting for t in texts]))
+            for batch, lo, texts in waiting:
+                data = list(islice(found, len(texts)))
+                ends = np.concatenate(([0], np.cumsum([len(d) // 4 for d in data]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
+                out = {n: c.slice(lo, len(texts)) for n, c in zip(batch.schema.names[:-1], batch.columns)} | {"ids": ids}
+                if verify:
+                    back = [own.decode(np.frombuffer(d, "<u4").tolist()) for d in data]
+                    digest = [hashlib.sha256(b.encode()).hexdigest() for b in back]
+                    same = [b == (t or "") for b, t in zip(back, texts)]
+                    out |= {"n_tokens": pa.array([len(d) // 4 for d in data], pa.int64()), "ids_crc32": pa.array([zlib.crc32(d) for d in data], pa.int64()), "decoded_sha256": pa.array(digest, pa.string()), "round_trip": pa.array(same, pa.bool_())}
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+        waiting, size = [], 0
         for batch in batches:
-            texts, size, lo = [], 0, 0
+            lo, texts = 0, []
             for text in batch.column(batch.num_columns - 1):
                 texts.append(text.as_py())
                 size += len(texts[-1] or "")
                 if size > batch_chars:
-                    yield done(batch, lo, texts)
-                    lo += len(texts)
-                    texts, size = [], 0
+                    yield from done([*waiting, (batch, lo, texts)])
+                    lo, texts, waiting, size = lo + len(texts), [], [], 0
             if texts:
-                yield done(batch, lo, texts)
+                waiting.append((batch, lo, texts))
+        if waiting:
+            yield from done(waiting)
 
     from pyspark.sql import types as T
 
-    limit_batches(docs.sparkSession)
-    more = "ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean" if verify else "ids array<int>"
+    more = "ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean" if verify else "ids array<int>"
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(more).fields])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidied(run), schema)
+    return text_batches(docs.select(*keep, F.col(text_col).alias("__text")), tidied(run), schema)
 
 
 def decode_pieces(rows: DataFrame, model: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -398,9 +400,6 @@ def decode_pieces(rows: DataFrame, model: str, keep: list[str], ids_col: str = "
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    encoded = encode_pieces(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), model, ["doc_id", "text_sha256"])
-    decoded = decode_pieces(encoded, model, ["doc_id", "text_sha256"])
-    own = F.sha2(F.col("decoded").cast("binary"), 256)
-    return decoded.select("doc_id", "n_tokens", "ids_crc32", own.alias("decoded_sha256"), (own == F.col("text_sha256")).alias("round_trip"))
+    encoded = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], verify=True)
+    return encoded.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import struct
@@ -87,5 +88,26 @@ def test_edge_cases(spark, edge_dir, edge_rows):
     assert got == sorted(want)
 
 
+def test_batches_of_any_size_agree(spark):
+    rows = [(i, t) for i, t in enumerate(ODD * 3 + [None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: list(r.ids) for r in S.encode_pieces(docs, PATH, ["doc_id"]).collect()}
+    assert len(want) == len(rows)
+    for chars in (1, 100, 2000):
+        got = S.encode_pieces(docs, PATH, ["doc_id"], batch_chars=chars, verify=True).collect()
+        assert {r.doc_id: list(r.ids) for r in got} == want
+        decoded = S.decode_pieces(S.encode_pieces(docs, PATH, ["doc_id"], batch_chars=chars), PATH, ["doc_id"]).collect()
+        assert {r.doc_id: hashlib.sha256(r.decoded.encode()).hexdigest() for r in decoded} == {r.doc_id: r.decoded_sha256 for r in got}
+
+
+def test_an_index_finds_every_occurrence():
+    """All pieces in a text, against str.startswith at every place."""
+    model = S.encoder_of(PATH).model
+    text = "▁the▁internationalization▁of▁the▁thing,▁thethe▁naïve▁the"
+    start, end, piece = model.edges(model.code[np.frombuffer(text.encode("utf-32-le"), "<u4")])
+    want = {(k, k + len(p), i) for i, p in enumerate(model.pieces) if model.kinds[i] == S.NORMAL and len(p) > 1 for k in range(len(text)) if text.startswith(p, k)}
+    assert set(zip(start.tolist(), end.tolist(), piece.tolist())) == want
+
+
 def test_empty(spark, empty_dir):
     assert S.op4_sentencepiece(spark, empty_dir).count() == 0
