@@ -20,7 +20,7 @@ def make_dir(uri: str) -> None:
 #: Rows of whole text that Spark hands a Python worker at once; its own default would hold tens of MB in each of several buffers.
 TEXT_ROWS = 500
 #: Bytes that one side of a join may have, as ``small_side`` reckons them, to be sent to every executor.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def tidied(f):
