@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import haversine_km, point_in_ring, project_km
@@ -36,38 +38,72 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, inclusive: bo
     return pairs.where((F.col("d") <= radius if inclusive else F.col("d") < radius) & ((F.col("d") > 0) if apart else F.lit(True)))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1, limit: float = 1e4) -> DataFrame:
+def _sphere(lat: str, lon: str) -> dict[str, Column]:
+    """Places on the unit sphere: no seam at longitude 180 and no poles."""
+    phi, lam = F.radians(lat), F.radians(lon)
+    return {"u": F.cos(phi) * F.cos(lam), "v": F.cos(phi) * F.sin(lam), "w": F.sin(phi)}
+
+
+_AXES = ("u", "v", "w")
+
+
+def _cube(axis: str, side: float) -> Column:
+    return F.floor((F.col(axis) + 1.0) / side)
+
+
+def _id(*places: Column) -> Column:
+    """Three places of a cube as one number, each below 2^20."""
+    a, b, c = places
+    return (a * (1 << 40) + b * (1 << 20) + c).cast("long")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> DataFrame:
     """``left``'s key with ``km``, the haversine distance to the nearest of ``right`` (lat, lon), MISSING_KM if there is none.
 
-    Rings of bins: rows meet the right side's bins around them, ``step`` degrees wide, and those without a safe answer try bins of four
-    times the width, until the width covers the globe. No step compares everything with everything.
+    Places become points of the unit sphere, in cubes of ``step`` degrees. A row whose nearest among the 27 cubes around it is closer than a cube's side has its answer. The
+    others descend from cubes as large as the globe, four times smaller at each level: of the occupied cubes inside those that are left, a row keeps those that begin
+    no further off than the nearest point that it knows, each cube having one that stands for it. So a row's candidates depend on how many cubes are about as far as
+    its answer, not on how many points there are. Haversine distances are taken of the last candidates alone. ``left``'s keys are unique.
     """
-    from gridloom.plans.shared import materialize
+    from gridloom.plans.shared import materialize, small_side
 
-    todo = left.select(key, "lat", "lon")
     right = materialize(right.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).distinct(), "nearest")
-    done = None
     if right.isEmpty():
-        return todo.select(key, F.lit(MISSING_KM).alias("km"))
+        return left.select(key, F.lit(MISSING_KM).alias("km"))
+    side = 2 * math.sin(math.radians(step) / 2)
+    points = right.withColumns({f"r_{a}": c for a, c in _sphere("r_lat", "r_lon").items()}).withColumns({f"c_{a}": _cube(f"r_{a}", side) for a in _AXES})
+    points = points.select("r_lat", "r_lon", *(f"r_{a}" for a in _AXES), *(f"c_{a}" for a in _AXES), _id(*(F.col(f"c_{a}") for a in _AXES)).alias("cube"))
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    chord = F.sqrt(sum((F.col(a) - F.col(f"r_{a}")) ** 2 for a in _AXES))
+
+    todo = left.select(key, "lat", "lon").withColumns(_sphere("lat", "lon"))
     near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    while True:
-        bins = right.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-        bins = bins.select("r_lat", "r_lon", (F.floor(F.col("r_lat") / step) + F.col("dx")).alias("bx"), (F.floor(F.col("r_lon") / step) + F.col("dy")).alias("by"))
-        mine = todo.withColumn("bx", F.floor(F.col("lat") / step)).withColumn("by", F.floor(F.col("lon") / step))
-        km = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-        found = mine.join(bins, ["bx", "by"], "left").groupBy(key, "lat", "lon").agg(F.min(km).alias("km"))
-        if step >= 360:
-            out = found.select(key, "km")
-            return out if done is None else done.unionByName(out)
-        # what lies outside the nine bins is this far away at least
-        safe = 110.5 * step * F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + step)))
-        found = materialize(found.withColumn("ok", F.coalesce(F.col("km") <= safe, F.lit(False))), "nearest")
-        sure = found.where("ok").select(key, "km")
-        done = sure if done is None else done.unionByName(sure)
-        todo = found.where("NOT ok").select(key, "lat", "lon")
-        if todo.isEmpty():
-            return done
-        step *= 4
+    around = todo.withColumns({f"n_{a}": F.explode(near) for a in ("u",)}).withColumn("n_v", F.explode(near)).withColumn("n_w", F.explode(near))
+    around = around.withColumn("cube", _id(*(_cube(a, side) + F.col(f"n_{a}") for a in _AXES)))
+    # without an answer in sight, a row has none of these
+    found = around.join(points, "cube").groupBy(key).agg(F.min(F.struct(chord.alias("chord"), km.alias("km"))).alias("best"), F.min(km).alias("km"))
+    done = materialize(found.where(F.col("best.chord") <= side * (1 - 1e-9)).select(key, "km"), "nearest")
+    todo = todo.join(done.select(key), key, "left_anti")
+
+    levels = [points.groupBy("cube").agg(*(F.first(f"c_{a}").alias(f"c_{a}") for a in _AXES), F.min(F.struct(*(f"r_{a}" for a in _AXES))).alias("rep"))]
+    sides = [side]
+    while sides[-1] < 1.0:  # the largest cubes are 64 at most
+        up = [F.floor(F.col(f"c_{a}") / 4).alias(f"c_{a}") for a in _AXES]
+        above = levels[-1].select(*up, "rep").groupBy(*(f"c_{a}" for a in _AXES)).agg(F.min("rep").alias("rep"))
+        levels.append(above.withColumn("cube", _id(*(F.col(f"c_{a}") for a in _AXES))))
+        sides.append(4 * sides[-1])
+    kept = [small_side(materialize(level.withColumn("parent", _id(*(F.floor(F.col(f"c_{a}") / 4) for a in _AXES))), "nearest-level")) for level in levels]
+    top = [r.parent for r in kept[-1].select("parent").distinct().collect()]  # a handful: their sides are 4 or more, the globe's 2
+    rows = todo.withColumn("parent", F.explode(F.array(*(F.lit(x).cast("long") for x in top))))
+    for level, width in zip(reversed(kept), reversed(sides)):
+        rep = F.sqrt(sum((F.col(a) - F.col(f"rep.r_{a}")) ** 2 for a in _AXES))
+        gap = lambda a: F.greatest(F.lit(0.0), F.col(f"c_{a}") * width - 1.0 - F.col(a), F.col(a) - ((F.col(f"c_{a}") + 1) * width - 1.0))
+        begins = F.sqrt(sum(gap(a) ** 2 for a in _AXES))
+        rows = rows.join(level, "parent").withColumn("rep_d", rep).withColumn("begins", begins)
+        rows = rows.withColumn("known", F.min("rep_d").over(Window.partitionBy(key))).where(F.col("begins") <= F.col("known") + 1e-9)
+        rows = rows.select(key, "lat", "lon", *_AXES, F.col("cube").alias("parent"))
+    last = rows.withColumnRenamed("parent", "cube").join(points, "cube").groupBy(key).agg(F.min(km).alias("km"))
+    return done.unionByName(last)
 
 
 def in_box(df: DataFrame, lat_min=None, lat_max=None, lon_min=None, lon_max=None) -> DataFrame:
@@ -116,8 +152,6 @@ def tiles_of_box(spark, lat_min: float, lat_max: float, lon_min: float, lon_max:
 
 def grid(spark, lat_min: float, lat_max: float, lon_min: float, lon_max: float, step: float) -> DataFrame:
     """Cells of a box, ends exclusive: cell_id, rw, col, lat, lon."""
-    import math
-
     n_lat, n_lon = math.ceil((lat_max - lat_min) / step), math.ceil((lon_max - lon_min) / step)
     i = F.col("id")
     cells = spark.range(n_lat * n_lon).select(i.alias("cell_id"), F.floor(i / n_lon).alias("rw"), (i % n_lon).alias("col"))

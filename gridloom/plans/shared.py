@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,6 +55,17 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+#: Bytes that one side of a join may have, as ``small_side`` reckons them, to be sent to every executor.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_side(df: DataFrame, more: Column | None = None) -> DataFrame:
+    """``df``, a written table, with a broadcast hint if its rows, 64 bytes each and ``more`` (a column of bytes) besides, come to BROADCAST_BYTES at most; else
+    both sides of the join are shuffled."""
+    size = df.agg(F.count("*") * 64 + F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing will read again."""
     for table in tables:

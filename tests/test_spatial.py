@@ -130,3 +130,49 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(None, 5), (400, 400)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 400: 400}
+
+
+def test_nearest_on_the_whole_globe_by_brute_force(spark):
+    """Across longitude 180, at the poles, and at places that nothing is near."""
+    rng = random.Random(12)
+    anywhere = lambda i: (i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180))
+    left = [anywhere(i) for i in range(150)] + [(900, 0.0, 179.99), (901, 90.0, 10.0), (902, -90.0, 0.0), (903, 89.9, -120.0), (904, 45.0, -180.0), (905, 45.0, 180.0)]
+    right = [anywhere(i) for i in range(40)] + [(90, 0.0, -179.99), (91, 0.0, 179.93), (92, 89.95, 60.0), (93, -89.0, 179.0), (94, 44.9, 179.9)]
+    got = {r.cell_id: r.km for r in spatial.nearest(frame(spark, left), frame(spark, right), "cell_id").collect()}
+    for a in left:
+        assert got[a[0]] == pytest.approx(min(haversine(a, b) for b in right), rel=1e-6, abs=1e-6)
+    assert got[900] == pytest.approx(2.2239, abs=1e-3)
+
+
+def test_dense_clusters_by_brute_force(spark):
+    """Full squares, ones that touch by their outermost points and ones that don't, borders and noise; pairs stay few."""
+    rng = random.Random(31)
+    xy = [(rng.gauss(0, 0.4), rng.gauss(0, 0.4)) for _ in range(250)] + [(rng.gauss(2.6, 0.3), rng.gauss(0.2, 0.3)) for _ in range(120)]
+    xy += [(rng.uniform(-6, 9), rng.uniform(-6, 6)) for _ in range(120)] + [(5.0, 5.0)] * 6
+    for eps, least in ((0.5, 4), (0.9, 8), (0.25, 3)):
+        rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
+        near = {i: [j for j, u, v in rows if math.sqrt((x - u) ** 2 + (y - v) ** 2) <= eps] for i, x, y in rows}
+        core = {i for i in near if len(near[i]) >= least}
+        name = {}
+        for i in sorted(core):
+            if i not in name:
+                todo = [i]
+                while todo:
+                    j = todo.pop()
+                    if j not in name:
+                        name[j] = i
+                        todo += [k for k in near[j] if k in core]
+        want = {i: name.get(i, min((name[j] for j in near[i] if j in core), default=None)) for i in near}
+        got = cluster.dbscan(spark.createDataFrame(rows, "cell_id long, x double, y double"), eps, least).collect()
+        assert {r.cell_id: r.cluster for r in got} == want
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    for values in ([rng.randint(0, 50) for _ in range(5000)], [rng.random() for _ in range(3001)], [7], [1, 2], [5] * 100 + [6], [-(2.0**70), 1.0, 3.0]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+        for q in (0.0, 0.25, 0.5, 0.75, 1.0):
+            assert features.exact_quantile(df, "v", q).first()[0] == pytest.approx(float(np.percentile(values, q * 100)), rel=1e-12)
+    assert features.exact_quantile(df.where("v IS NULL"), "v", 0.5).first()[0] is None
