@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gridloom.plans.shared import small_side  # noqa: F401
+
 
 def open_fs(uri: str):
     """(file system, path) of a URI."""
@@ -19,8 +21,6 @@ def make_dir(uri: str) -> None:
 
 #: Rows of whole text that Spark hands a Python worker at once; its own default would hold tens of MB in each of several buffers.
 TEXT_ROWS = 500
-#: Bytes that one side of a join may have, as ``small_side`` reckons them, to be sent to every executor.
-BROADCAST_BYTES = 32 << 20
 
 
 def tidied(f):
@@ -63,12 +63,3 @@ TASK_BYTES = 16 << 20
 def one_task_each(df, tasks: int):
     """``df``, short rows that stand for ``tasks`` tasks' work, dealt evenly. A number is given, as adaptive execution would join partitions by their bytes."""
     return df.repartition(max(1, min(tasks, MOST_TASKS)))
-
-
-def small_side(df, more=None):
-    """``df``, a written table, with a broadcast hint if its rows, 64 bytes each and ``more`` (a column of bytes) besides, come to BROADCAST_BYTES at most; else
-    both sides of the join are shuffled."""
-    from pyspark.sql import functions as F
-
-    size = df.agg(F.count("*") * 64 + F.coalesce(F.sum(F.lit(0) if more is None else more), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
