@@ -12,7 +12,8 @@ than one block, by holding what isn't joined to the group's largest component ag
 all pairs; components of them are exact.
 
 Defined results: null and empty texts have the empty set, linked with nothing; fewer words than a shingle are one shingle; a row of null id
-has a null component and isn't kept; rows that share an id are one node; an empty table gives none.
+has a null component and isn't kept; rows that share an id are one node; ties go to the smallest id; a very long text is one set of all its shingles; an
+empty table gives none; other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -23,21 +24,21 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.files import limit_batches, small_side, tidied
+from gridloom.llm.files import small_side, text_batches, tidied
 from gridloom.plans.components import connected_components
-from gridloom.plans.shared import materialize
+from gridloom.plans.shared import materialize, release
 
-COORDINATES, DEPTH, SMALL, CHUNK, PIVOTS = 128, 6, 64, 256, 4
+COORDINATES, DEPTH, SMALL, CHUNK, PIVOTS, LONG_WORD = 128, 6, 64, 256, 4, 64
 #: Share of the pairs at the threshold that the trees bring together, if all of a pair's nodes are crowded down to DEPTH.
 RECALL = 0.999
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
-    """Texts to sorted arrays of 64-bit shingle hashes. Words are hashed once and remembered, up to ``max_words`` of them."""
+    """Texts to sorted arrays of 64-bit shingle hashes. Words are hashed once and remembered, up to ``max_words`` of LONG_WORD bytes at most."""
 
     def __init__(self, k: int, max_words: int = 120_000):
         self.k, self.max_words = k, max_words
@@ -53,10 +54,11 @@ class Shingler:
         except KeyError:
             if len(known) > self.max_words:
                 known.clear()
+            long: dict[bytes, int] = {}
             for t in tokens:
                 if t not in known:
-                    known[t] = xxh3_64_intdigest(t)
-            return np.array([known[t] for t in tokens], np.uint64)
+                    (known if len(t) <= LONG_WORD else long)[t] = xxh3_64_intdigest(t)
+            return np.array([known[t] if t in known else long[t] for t in tokens], np.uint64)
 
     def shingles(self, text: str | None) -> np.ndarray:
         w = self.words(text)
@@ -97,35 +99,30 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
 
         own = shingler(k)
         for batch in batches:
-            sizes, digests, sigs, lows = [], [], [], []
+            sizes, digests, sigs, lows, ends = [], [], [], [], [0]
             for text in batch.column(1):
                 s = own.shingles(text.as_py())
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig = signature(s) if len(s) else None
-                sigs.append(None if sig is None else sig.tobytes())
-                lows.append(None if sig is None else sig.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, sigs, lows))], names=["doc_id", "n_shingles", "digest", "sig", "low"])
+                sig = signature(s) if len(s) else np.empty(0, "<u4")
+                sigs.append(sig.view("<i4"))
+                lows.append(sig.astype(np.uint8).tobytes() if len(s) else None)
+                ends.append(ends[-1] + len(sig))
+            sig_column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.empty(0, "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sig_column, pa.array(lows, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig", "low"])
 
-    limit_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, n_shingles long, digest binary, sig binary, low binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return text_batches(rows, tidied(run), "doc_id long, n_shingles long, digest binary, sig array<int>, low binary")
 
 
-def branch(rows: DataFrame) -> DataFrame:
-    """(rep, node, sig) -> (rep, node): the child that each class goes to."""
+def child(node: Column, sig: Column) -> Column:
+    """Where a class goes from a node: by the token at the coordinate that the node picks."""
+    return F.xxhash64(node, F.element_at(sig, (F.pmod(F.xxhash64(node, F.lit(7)), F.lit(COORDINATES)) + 1).cast("int")))
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            node = batch.column(1).to_numpy().view(np.uint64)
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, COORDINATES)
-            pick = (node * _MIX >> np.uint64(40)) % np.uint64(COORDINATES)
-            child = (node ^ sig[np.arange(len(sig)), pick.astype(np.int64)]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            child = (child ^ child >> np.uint64(31)) * _MIX
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((child ^ child >> np.uint64(32)).view(np.int64))], names=["rep", "node"])
 
-    return rows.select("rep", "node", "sig").mapInArrow(tidied(run), "rep long, node long")
+def path(node: Column, sig: Column) -> Column:
+    """The nodes from ``node``, at depth 1, down to DEPTH."""
+    return F.aggregate(F.sequence(F.lit(2), F.lit(DEPTH)), F.array(node), lambda found, _: F.concat(found, F.array(child(F.element_at(found, -1), sig))))
 
 
 class Forest:
@@ -165,25 +162,31 @@ def trees_for(threshold: float) -> int:
 
 
 def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a spanning forest of the pairs that trees bring together and signatures don't rule out."""
+    """(a, b): a spanning forest of the pairs that trees bring together and signatures don't rule out. Most classes are alone, or among few, after one token; the paths
+    of the others are laid out to the end at once, and each stops at its first small node."""
     loose = threshold - 4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    roots = F.explode(F.array(*(F.lit((r + 1) * 0x1000193).cast("long") for r in range(trees_for(threshold)))))
-    rows = branch(classes.select("rep", roots.alias("node"), "sig"))
-    found = None
-    for depth in range(1, DEPTH + 1):
-        rows = materialize(rows, "mh-rows")
-        counts = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "mh-nodes")
-        nodes = rows.join(small_side(counts), "node")  # large nodes aren't dealt out by their key only to be told apart
-        stop = nodes.where(F.col("n") <= SMALL)
-        pairs = _compare_small(stop.join(classes.select("rep", "low"), "rep"), loose)
-        found = pairs if found is None else found.unionAll(pairs)
-        go = materialize(nodes.where(F.col("n") > SMALL).select("rep", "node"), "mh-large")
-        if go.isEmpty():
-            return found
-        if depth < DEPTH:
-            rows = branch(go.join(classes.select("rep", "sig"), "rep"))
-    least = materialize(go.groupBy("node").agg(F.min("rep").alias("b")), "mh-dense")
-    return found.unionAll(go.join(least, "node").select(F.col("rep").alias("a"), "b").where("a <> b"))
+    roots = F.explode(F.array(*(F.lit(r + 1).cast("long") for r in range(trees_for(threshold)))))
+    top = classes.select("rep", "sig", roots.alias("root")).select("rep", child(F.col("root"), F.col("sig")).alias("node"))
+    counts = materialize(top.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "mh-nodes")
+    top = materialize(top.join(small_side(counts), "node"), "mh-rows")  # large nodes aren't dealt out by their key only to be told apart
+    stop, dense = top.where(F.col("n") <= SMALL).select("rep", "node"), None
+    crowded = top.where(F.col("n") > SMALL)
+    if not crowded.isEmpty():
+        paths = crowded.join(classes.select("rep", "sig"), "rep").select("rep", "node", path(F.col("node"), F.col("sig")).alias("nodes"))
+        paths = materialize(paths.select("rep", F.col("node").alias("first"), F.posexplode("nodes").alias("depth", "node")).where("depth > 0"), "mh-paths")
+        many = materialize(paths.groupBy("depth", "node").agg(F.count("*").alias("n")).where("n > 1"), "mh-path-nodes")
+        sized = paths.join(small_side(many), ["depth", "node"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        at = F.struct("depth", "node", "n")
+        ends = sized.groupBy("rep", "first").agg(F.min(F.when(F.col("n") <= SMALL, at)).alias("small"), F.max(at).alias("last"))
+        ends = materialize(ends.select("rep", F.coalesce("small", "last").alias("at")).select("rep", "at.node", "at.n").where("n > 1"), "mh-ends")
+        stop = stop.unionAll(ends.where(F.col("n") <= SMALL).select("rep", "node"))
+        dense = ends.where(F.col("n") > SMALL).select("rep", "node")
+        release(paths, many)
+    found = _compare_small(stop.join(classes.select("rep", "low"), "rep"), loose)
+    if dense is not None:
+        least = materialize(dense.groupBy("node").agg(F.min("rep").alias("b")), "mh-dense")
+        found = found.unionAll(dense.join(small_side(least), "node").select(F.col("rep").alias("a"), "b").where("a <> b"))
+    return materialize(found, "mh-loose-edges")
 
 
 def _compare_small(rows: DataFrame, loose: float) -> DataFrame:
@@ -274,7 +277,7 @@ def full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_col
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("__text"))
     rows = texts.join(small_side(members), "rep").select("__text", *members.columns).where(F.length("__text") > 0)
-    return rows.mapInArrow(tidied(run), T.StructType([*members.schema.fields, T.StructField("shingles", T.BinaryType())])).where(F.length("shingles") > 0)
+    return text_batches(rows, tidied(run), T.StructType([*members.schema.fields, T.StructField("shingles", T.BinaryType())])).where(F.length("shingles") > 0)
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
@@ -286,6 +289,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, k: int, threshold: tuple[int
     members = groups.join(facts, "component").select("component", F.col("node").alias("rep"), chunks.alias("chunks"), F.when(chunks > 1, is_pivot).otherwise(F.lit(False)).alias("pivot"))
     members = materialize(members, "mh-members")
     sets = materialize(full_sets(docs, members, k, id_col, text_col), "mh-sets")
+    release(facts)
     own = F.array(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     to = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)
     links = materialize(confirm_blocks(sets.withColumn("chunk", F.explode(to)), threshold), "mh-links")
@@ -314,9 +318,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     sketched = materialize(sketch(docs, k, id_col, text_col), "mh-sketch")
     some = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")), "mh-classes")
-    loose = connected_components(loose_edges(classes, threshold[0] / threshold[1]))
-    groups = materialize(loose, "mh-loose")
+    edges = loose_edges(classes, threshold[0] / threshold[1])
+    groups = materialize(connected_components(edges), "mh-loose")
+    release(edges)
     found = materialize(connected_components(exact_links(docs, groups, k, threshold, id_col, text_col)), "mh-components")
+    release(groups)
     same = classes.where("n > 1").select(F.col("digest").alias("__digest"), "rep")
     rows = sketched.select("doc_id", "n_shingles", "digest").join(same, F.col("digest") == F.col("__digest"), "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -102,22 +102,18 @@ def test_trees_follow_from_threshold_and_recall(threshold, trees):
     assert M.trees_for(1.0) == 1
 
 
-def test_recall_where_every_node_is_crowded():
-    """4,000 pairs of signatures at 0.8, with the constants in use; a pair meets only where it shares all DEPTH tokens of a tree."""
+def test_recall_where_every_node_is_crowded(spark):
+    """2,000 pairs of signatures at 0.8, with the constants in use; a pair meets only where it shares all DEPTH tokens of a tree."""
     import numpy as np
+    from pyspark.sql import functions as F
 
     rng = np.random.default_rng(4)
-    n, trees = 4000, M.trees_for(0.8)
-    one = rng.integers(0, 1 << 32, (n, M.COORDINATES), np.uint64).astype("<u4")
-    two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 32, one.shape, np.uint64).astype("<u4"))
-    met = np.zeros(n, bool)
-    for r in range(trees):
-        node, together = np.full(n, (r + 1) * 0x1000193, np.uint64), np.ones(n, bool)
-        for _ in range(M.DEPTH):
-            pick, at = ((node * M._MIX >> np.uint64(40)) % np.uint64(M.COORDINATES)).astype(np.int64), np.arange(n)  # as in branch
-            together &= one[at, pick] == two[at, pick]
-            child = (node ^ one[at, pick]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            child = (child ^ child >> np.uint64(31)) * M._MIX
-            node = child ^ child >> np.uint64(31)
-        met |= together
-    assert met.mean() >= 0.995
+    n, trees = 2000, M.trees_for(0.8)
+    one = rng.integers(-(1 << 31), 1 << 31, (n, M.COORDINATES))
+    two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(-(1 << 31), 1 << 31, one.shape))
+    rows = spark.createDataFrame([(i, side, sig) for side, sigs in enumerate((one, two)) for i, sig in enumerate(sigs.tolist())], "i int, side int, sig array<int>")
+    roots = F.explode(F.array(*(F.lit(r + 1).cast("long") for r in range(trees))))
+    ends = rows.select("i", "side", "sig", roots.alias("root")).select("i", "side", M.path(M.child(F.col("root"), F.col("sig")), F.col("sig")).alias("nodes"))
+    assert ends.select(F.size("nodes")).distinct().collect() == [(M.DEPTH,)]
+    met = ends.groupBy("i", F.element_at("nodes", -1)).agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("i").distinct().count()
+    assert met / n >= 0.995
