@@ -29,7 +29,7 @@ from gridloom.llm.files import small_side, tidied
 from gridloom.plans.components import connected_components
 from gridloom.plans.shared import materialize
 
-BLOCKS, LEAF = 4, 4096
+BLOCKS, LEAF = 4, 1 << 14
 #: Rows that a round of splits learns from, in all and at least for a split; rounds; right turns in a round's tree.
 SAMPLE, FEW, ROUNDS, TURNS = 1 << 15, 16, 3, 20
 #: Against rounding: what passes is verified exactly.
@@ -72,14 +72,14 @@ def grow(x: np.ndarray, rows: float, radius: float) -> list[tuple[int, float, in
         nodes.append((-1, 0.0, turns, 0))
         if len(mine) * rows <= LEAF or len(mine) < 2 * FEW or turns == TURNS:
             return me
-        own, best = x[mine], (len(mine), 0, 0.0)
+        own, best = x[mine], (len(mine) ** 2, 0, 0.0)
         for q in (0.5, 0.4, 0.6, 0.3, 0.7):
             at = np.quantile(own, q, axis=0)
-            size = np.maximum((own < at).sum(axis=0), (own >= at - radius).sum(axis=0))
+            size = (own < at).sum(axis=0) ** 2 + (own >= at - radius).sum(axis=0) ** 2  # pairs on both sides
             k = int(np.argmin(size))
             if size[k] < best[0]:
                 best = (int(size[k]), k, float(at[k]))
-        if best[0] > 0.95 * len(mine):
+        if best[0] > 0.92 * len(mine) ** 2:
             return me
         _, axis, at = best
         below, over, far = _split(own, gaps, axis, at, radius)
@@ -233,8 +233,9 @@ def cell_links(rows: DataFrame, cosine: float, wide: bool) -> DataFrame:
             line, sub = u[order, axis], u[order, lo:hi]
             square = np.einsum("ij,ij->i", sub, sub)
             end = np.searchsorted(line, line + np.sqrt(shares[b]) + SLACK, "right")
-            for s in range(0, len(x), 256):
-                e = min(len(x), s + 256)
+            step = max(16, (1 << 20) // len(x))
+            for s in range(0, len(x), step):
+                e = min(len(x), s + step)
                 t = int(end[e - 1])
                 near = square[s:e, None] + square[None, s:t] - 2 * sub[s:e] @ sub[s:t].T <= shares[b] + SLACK
                 p, q = np.nonzero(near)
