@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import query
 from gridloom.functions import geo, scores
-from gridloom.operators import features, registry, report, spatial
+from gridloom.operators import build, features, registry, report, spatial
+from gridloom.plans.shared import materialize, workdir
 from gridloom.sources import binding, schema, tables
 from gridloom.sources.binding import CELLS, cells
 
 
 @query("SELECT n.region, count(*) AS cells, CAST(sum(c.predicted) AS BIGINT) AS high, CAST(sum(n.loss) AS BIGINT) AS neighbor_losses FROM (SELECT a.region, a.cell_id, CAST(coalesce(sum(b.pre_period_loss), 0) AS BIGINT) AS loss FROM km a LEFT JOIN km b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 15.0 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 0 GROUP BY 1, 2) n JOIN cells c USING (cell_id) GROUP BY 1", CELLS)
 def region_risk(spark, d):
-    c = cells(spark, d)
+    c = materialize(cells(spark, d).select("cell_id", "region", "lat", "lon", "pre_period_loss", "tc10", "predicted"), "cells")  # read four times
     joined = c.join(features.neighbor_features(c), "cell_id")
     return joined.groupBy("region").agg(F.count("*").alias("cells"), F.sum("predicted").alias("high"), F.sum("loss").alias("neighbor_losses"))
 
@@ -29,14 +30,12 @@ def region_catalog(spark, d):
     return report.region_catalog(cells(spark, d))
 
 
-@query("SELECT region, cell_id FROM cells WHERE region = 'ASIA'", CELLS)
+@query("SELECT region, lat, lon FROM cells WHERE region = 'ASIA'", CELLS)
 def region_scan(spark, d):
     """One region of a table partitioned by region: the others' files aren't read."""
-    from gridloom.plans.shared import workdir
-
     path = workdir(spark, "regions")
-    tables.write_cells(cells(spark, d).select("region", "cell_id"), path)
-    return spark.read.parquet(path).where("region = 'ASIA'").select("region", "cell_id")
+    tables.write_cells(cells(spark, d).select("region", "lat", "lon"), path)
+    return tables.read_cells(spark, path, "ASIA").select("region", "lat", "lon")
 
 
 @query("SELECT region, cell_id, CASE WHEN region = 'ASIA' THEN tc10 END AS tc10 FROM cells WHERE region IN ('ASIA', 'EUROPE')", CELLS)
@@ -87,13 +86,8 @@ def grid_generate(spark, d):
 FROM cells c LEFT JOIN cells e ON e.rw = c.rw AND e.col = c.col + 1 LEFT JOIN cells w ON w.rw = c.rw AND w.col = c.col - 1 LEFT JOIN cells n ON n.col = c.col AND n.rw = c.rw + 1 LEFT JOIN cells s ON s.col = c.col AND s.rw = c.rw - 1)""", CELLS)
 def slope(spark, d):
     """Five-point stencil by equality joins on grid places, so that no row of the grid is one task's."""
-    c = cells(spark, d)
-    e = F.col("elev10") / 10.0
-    out = c.select("cell_id", "rw", "col", "lat", e.alias("own"))
-    for name, dr, dc in (("east", 0, 1), ("west", 0, -1), ("north", 1, 0), ("south", -1, 0)):
-        out = out.join(c.select((F.col("rw") - dr).alias("rw"), (F.col("col") - dc).alias("col"), e.alias(name)), ["rw", "col"], "left").withColumn(name, F.coalesce(name, "own"))
-    deg = geo.slope_degrees(F.col("west"), F.col("east"), F.col("south"), F.col("north"), F.col("lat"), 0.02)
-    return out.select("cell_id", F.floor(deg * 100 + 0.5).alias("slope100"))
+    c = cells(spark, d).withColumn("height", F.col("elev10") / 10.0)
+    return build.stencil_slope(c, "height", 0.02).select("cell_id", F.floor(F.col("slope_deg") * 100 + 0.5).alias("slope100"))
 
 
 @query("SELECT cell_id, CAST(floor((CASE WHEN elev10 % 3 > 0 THEN elev10 / 100.0 ELSE greatest(0.0, 50.0 * exp(-(tc10 / 10.0) / 10.0)) END) * 10 + 0.5) AS BIGINT) AS density10 FROM cells", CELLS)
@@ -128,8 +122,7 @@ def risk_tier(spark, d):
 
 @query("SELECT cell_id, lat - 0.02::DOUBLE / 2 AS south, lat + 0.02::DOUBLE / 2 AS north, lon - 0.02::DOUBLE / 2 AS west, lon + 0.02::DOUBLE / 2 AS east FROM cells", CELLS)
 def cell_rectangle(spark, d):
-    h = F.lit(0.02) / 2
-    return cells(spark, d).select("cell_id", (F.col("lat") - h).alias("south"), (F.col("lat") + h).alias("north"), (F.col("lon") - h).alias("west"), (F.col("lon") + h).alias("east"))
+    return report.cell_rectangle(cells(spark, d))
 
 
 @query("SELECT * FROM (VALUES ('palawan', 'Palawan'), ('sierra_madre', 'Sierra Madre'), ('mindanao_bukidnon', 'Mindanao Bukidnon')) t(region, title)")
@@ -137,16 +130,21 @@ def region_names(spark, d):
     return schema.regions(spark).select("region", scores.display_name(F.col("region")).alias("title"))
 
 
-@query("SELECT cell_id, CAST(floor(1.0 / (1.0 + exp(-(-2.0::DOUBLE + 0.3::DOUBLE * loss_year / 4.0 - 0.01::DOUBLE * tc10 / 10.0))) * 1e6 + 0.5) AS BIGINT) AS score6 FROM cells", CELLS)
+@query("SELECT cell_id, CAST(floor(1.0::DOUBLE / (1.0::DOUBLE + exp(-(-2.0::DOUBLE + 0.3::DOUBLE * (loss_year / 4.0::DOUBLE) + -0.01::DOUBLE * rw + 0.005::DOUBLE * col + -0.003::DOUBLE * (elev10 / 10.0::DOUBLE) + -0.8::DOUBLE * (block % 2) + -0.01::DOUBLE * (tc10 / 100.0::DOUBLE) + 0.02::DOUBLE * (rw / 10.0::DOUBLE)))) * 1e6 + 0.5) AS BIGINT) AS score6 FROM cells", CELLS)
 def logistic_score(spark, d):
-    logit = -2.0 + 0.3 * F.col("loss_year") / 4.0 - 0.01 * F.col("tc10") / 10.0
-    return cells(spark, d).select("cell_id", F.floor(1.0 / (1.0 + F.exp(-logit)) * 1e6 + 0.5).alias("score6"))
+    """The synthetic table's risk, of features that stand in for its own."""
+    c, at = cells(spark, d), F.col
+    stand = {"annual_loss_rate_pct": at("loss_year") / 4.0, "dist_to_road_km": at("rw"), "population_density_per_km2": at("col"), "elevation_m": at("elev10") / 10.0, "protected_area": at("block") % 2, "dist_to_deforestation_frontier_km": at("tc10") / 100.0, "slope_deg": at("rw") / 10.0}
+    return c.withColumns({n: v.cast("double") for n, v in stand.items()}).select("cell_id", F.floor(build.logistic_risk() * 1e6 + 0.5).alias("score6"))
 
 
-@query("SELECT count(*) AS n FROM cells", CELLS)
+@query("SELECT count(*) AS n, true AS same, 16::BIGINT AS digits FROM cells", CELLS)
 def dataset_rows(spark, d):
-    """The fingerprint's row count; its hash is the same in any order of rows, which a unit test checks."""
-    return registry.fingerprint(cells(spark, d), "cell_id", "tc10", "loss_year").select(F.col("rows").alias("n"))
+    """The fingerprint: its rows, and whether its hash is that of the same rows in another order."""
+    c = cells(spark, d).select("cell_id", "tc10", "loss_year")
+    other = registry.fingerprint(c.repartition(7).sortWithinPartitions(F.desc("tc10"))).select(F.col("hash").alias("other"))
+    both = registry.fingerprint(c).crossJoin(other)  # one row
+    return both.select(F.col("rows").alias("n"), (F.col("hash") == F.col("other")).alias("same"), F.length("hash").cast("long").alias("digits"))
 
 
 @query("SELECT cell_id FROM cells WHERE lat BETWEEN 9.0 AND 9.41 AND lon BETWEEN 117.2 AND 117.5", CELLS)
@@ -156,12 +154,12 @@ def bbox_filter(spark, d):
 
 @query("SELECT cell_id FROM cells WHERE tc10 >= 100", CELLS)
 def forest_only(spark, d):
-    return cells(spark, d).where("tc10 >= 100").select("cell_id")
+    return report.forest(cells(spark, d).withColumn("tree_cover_2000_pct", F.col("tc10") / 10.0)).select("cell_id")
 
 
 @query("SELECT cell_id, p6, CASE WHEN p6 >= 400000 THEN 1::BIGINT ELSE 0 END AS prediction FROM cells", CELLS)
 def grid_predictions(spark, d):
-    return cells(spark, d).select("cell_id", "p6", (F.col("p6") >= 400000).cast("long").alias("prediction"))
+    return report.grid_predictions(cells(spark, d), 0.4)
 
 
 @query("SELECT feature, min, max, CAST(floor(mean * 1e4 + 0.5) AS BIGINT) AS mean4, CAST(floor(std * 1e4 + 0.5) AS BIGINT) AS std4 FROM (SELECT 'loss_year' AS feature, min(loss_year)::DOUBLE AS min, max(loss_year)::DOUBLE AS max, avg(loss_year) AS mean, stddev_samp(loss_year) AS std FROM cells UNION ALL SELECT 'tc10', min(tc10), max(tc10), avg(tc10), stddev_samp(tc10) FROM cells)", CELLS)
@@ -172,13 +170,12 @@ def dataset_summary(spark, d):
 
 @query("SELECT high_risk AS label, count(*) AS n FROM cells GROUP BY 1", CELLS)
 def class_distribution(spark, d):
-    return cells(spark, d).groupBy(F.col("high_risk").alias("label")).agg(F.count("*").alias("n"))
+    return report.class_distribution(cells(spark, d))
 
 
 @query("SELECT min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max, (min(lat) + max(lat)) / 2 AS lat_mid, (min(lon) + max(lon)) / 2 AS lon_mid FROM cells", CELLS)
 def geo_bounds(spark, d):
-    b = cells(spark, d).agg(F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"))
-    return b.withColumn("lat_mid", (F.col("lat_min") + F.col("lat_max")) / 2).withColumn("lon_mid", (F.col("lon_min") + F.col("lon_max")) / 2)
+    return report.geo_bounds(cells(spark, d))
 
 
 @query("SELECT y + 2000 AS year, count(cell_id) AS losses FROM range(1, 23) t(y) LEFT JOIN cells ON loss_year = y GROUP BY 1", CELLS)
@@ -186,6 +183,11 @@ def temporal_loss(spark, d):
     return report.yearly_losses(cells(spark, d))
 
 
+@query("SELECT count(*) FILTER (loss_year > 0) AS total_losses, CAST(sum(high_risk) AS BIGINT) AS high_risk, CAST(floor(avg(tc10) * 1e4 + 0.5) AS BIGINT) AS rate4 FROM cells", CELLS)
+def temporal_totals(spark, d):
+    return report.loss_totals(cells(spark, d), "tc10").select("total_losses", "high_risk", F.floor(F.col("mean_rate") * 1e4 + 0.5).alias("rate4"))
+
+
 @query("SELECT y + 2000 AS year, greatest(0, CAST(trunc(1.25 / 100.0 * 1500 * (1.0 + 0.02 * (y - 1))) AS BIGINT)) AS losses FROM (SELECT i::DOUBLE AS yd, i AS y FROM range(1, 23) t(i))")
 def temporal_estimate(spark, d):
     return report.estimated_losses(spark, 1.25, 1500)
@@ -223,20 +225,28 @@ def land_decode(spark, d):
     return cells(spark, d).select("cell_id", pixel.alias("px")).select("cell_id", "px.*").where("land").withColumn("tc10", F.col("tc10").cast("long"))
 
 
-@query("SELECT cell_id, tc10, rw FROM cells", CELLS)
+@query("SELECT cell_id, tc10 * 2 AS tc10, rw FROM cells", CELLS)
 def column_rewrite(spark, d):
     """A column dropped and put anew before another."""
-    return tables.move_column(cells(spark, d).select("cell_id", "rw", F.lit(0).alias("tc10")), "tc10", F.lit(0), "rw").drop("tc10").join(cells(spark, d).select("cell_id", "tc10"), "cell_id").select("cell_id", "tc10", "rw")
+    return tables.move_column(cells(spark, d).select("cell_id", "rw", "tc10"), "tc10", F.col("tc10") * 2, "rw")
 
 
-@query("SELECT rw, cell_id, coalesce(elev10, 0) AS elev10 FROM (SELECT c.cell_id, c.rw, s.elev10 FROM cells c LEFT JOIN (SELECT * FROM cells WHERE cell_id % 2 = 0) s ON round(c.lat * 1000) = round(s.lat * 1000) AND round(c.lon * 1000) = round(s.lon * 1000))", CELLS)
+@query("SELECT c.rw, c.cell_id, coalesce(s.elev10, 0) AS elev10 FROM cells c LEFT JOIN cells s ON c.cell_id = s.cell_id AND s.tc10 > 300", CELLS)
 def elevation_lookup(spark, d):
-    """A batch service's answers by rounded coordinates, 0 where it has none."""
+    """A batch service's answers by rounded coordinates, 0 where it has none: it knows the places of some tree cover."""
     c = cells(spark, d)
-    served = c.where("cell_id % 2 = 0").select("lat", "lon", F.col("elev10").alias("elev"))
+    served = c.where("tc10 > 300").select("lat", "lon", F.col("elev10").alias("elev"))
     return tables.lookup_rounded(c.select("rw", "cell_id", "lat", "lon"), served, "elev", 3).select("rw", "cell_id", F.col("elev").cast("long").alias("elev10"))
 
 
+@query("SELECT c.cell_id, coalesce(s.tc10 * 100, 0)::BIGINT AS people FROM cells c LEFT JOIN cells s ON c.cell_id = s.cell_id AND s.tc10 > 300", CELLS)
+def population_lookup(spark, d):
+    """People a hectare by rounded coordinates, told by the square kilometre."""
+    c = cells(spark, d)
+    served = c.where("tc10 > 300").select("lat", "lon", F.col("tc10").cast("double").alias("population"))
+    return tables.lookup_population(c.select("cell_id", "lat", "lon"), served).select("cell_id", F.col("population").cast("long").alias("people"))
+
+
 @query("SELECT n_name AS display_name FROM nation WHERE lower(n_name) = lower((SELECT min(n_name) FROM nation))")
 def geocode_lookup(spark, d):
     nation = binding.table(spark, d, "nation")

@@ -38,12 +38,12 @@ def leakage_scan(spark, d):
     return evaluate.leakage_scan(c, ["tc10", "elev10", "pre_period_loss", "flat"]).select("feature", F.floor(F.col("r") * 1e6 + 0.5).alias("r6"), "varies")
 
 
-@query("""SELECT n, valid, tp, fp, fn, tn, CAST(floor(r * 1e6 + 0.5) AS BIGINT) AS r6, CAST(floor((2 * p * q / greatest(p + q, 0.001)) * 1e6 + 0.5) AS BIGINT) AS f16 FROM (SELECT *, tp::DOUBLE / greatest(tp + fp, 1) AS p, tp::DOUBLE / greatest(tp + fn, 1) AS q FROM
+@query("""SELECT n, valid, CASE WHEN NOT valid THEN 'Only ' || n || ' valid land points found' END AS reason, tp, fp, fn, tn, CAST(floor(r * 1e6 + 0.5) AS BIGINT) AS r6, CAST(floor((2 * p * q / greatest(p + q, 0.001)) * 1e6 + 0.5) AS BIGINT) AS f16 FROM (SELECT *, tp::DOUBLE / greatest(tp + fp, 1) AS p, tp::DOUBLE / greatest(tp + fn, 1) AS q FROM
 (SELECT count(*) AS n, count(*) >= 10 AS valid, corr(e, high_risk) AS r, count(*) FILTER (high_risk = 1 AND e < -0.05) AS tp, count(*) FILTER (high_risk = 0 AND e < -0.05) AS fp, count(*) FILTER (high_risk = 1 AND e >= -0.05) AS fn, count(*) FILTER (high_risk = 0 AND e >= -0.05) AS tn FROM (SELECT high_risk, (elev10 % 400 - 200) / 1000.0::DOUBLE AS e FROM cells WHERE cell_id % 7 > 0)))""", CELLS)
 def exg_validation(spark, d):
     c = cells(spark, d).withColumn("e", F.when(F.col("cell_id") % 7 > 0, (F.col("elev10") % 400 - 200) / 1000.0))
     six = lambda x: F.floor(F.col(x) * 1e6 + 0.5).alias(f"{x}6")
-    return evaluate.change_validation(c, "e").select("n", "valid", "tp", "fp", "fn", "tn", six("r"), six("f1"))
+    return evaluate.change_validation(c, "e").select("n", "valid", "reason", "tp", "fp", "fn", "tn", six("r"), six("f1"))
 
 
 @query("SELECT high_risk AS label, n, (SELECT count(*) FROM cells)::DOUBLE / (2.0::DOUBLE * n) AS weight, (SELECT count(*) FROM cells WHERE high_risk = 0)::DOUBLE / greatest((SELECT count(*) FROM cells WHERE high_risk = 1), 1) AS boost FROM (SELECT high_risk, count(*) AS n FROM cells GROUP BY 1)", CELLS)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import query
-from gridloom.operators import feedback, registry, report
+from gridloom.catalog.evaluation import _COUNTS, _TWO
+from gridloom.operators import evaluate, feedback, registry, report
+from gridloom.plans.shared import workdir
 from gridloom.sources import binding, schema
 from gridloom.sources.binding import CELLS, VERDICTS, cells, verdicts
 from gridloom.streaming import events
@@ -82,20 +84,29 @@ def annotation_region(spark, d):
     return feedback.in_region(marks, c.where("region = 'ASIA'")).select("event_id")
 
 
-@query("SELECT f AS feature, coalesce(s, '') AS source FROM (VALUES ('slope_deg', 'SRTM 30m'), ('high_risk', 'Target variable'), ('unknown', NULL)) t(f, s)")
+@query("SELECT cell_id, f AS feature, CASE f WHEN 'tree_cover_2000_pct' THEN tc10 / 10.0::DOUBLE WHEN 'high_risk' THEN high_risk ELSE rw END AS value, s AS source, CASE WHEN loss_year > 0 THEN 2000 + loss_year END AS year FROM cells, (VALUES ('tree_cover_2000_pct', 'Hansen/UMD GFW v1.7'), ('high_risk', 'Target variable'), ('rw', '')) t(f, s)", CELLS)
 def feature_provenance(spark, d):
-    cell = spark.createDataFrame([(1, 2.0, 1, 3.0)], "cell_id long, slope_deg double, high_risk int, unknown double")
-    return report.cell_detail(cell, schema.manifest(spark), ["slope_deg", "high_risk", "unknown"]).select("feature", "source")
+    """Every cell's features with their sources, an empty one where the manifest has none."""
+    c = cells(spark, d).withColumn("tree_cover_2000_pct", F.col("tc10") / 10.0)
+    return report.cell_detail(c, schema.manifest(spark), ["tree_cover_2000_pct", "high_risk", "rw"])
 
 
-@query("SELECT metric, a, b, b - a AS delta FROM (VALUES ('f1', 0.5::DOUBLE, 0.75::DOUBLE), ('recall', 0.25, 0.5)) t(metric, a, b)")
+@query("SELECT metric, a, b, b - a AS delta FROM (SELECT 'f1' AS metric, o.f1 AS a, n.f1 AS b FROM new n, two o UNION ALL SELECT 'recall', o.recall, n.recall FROM new n, two o)", CELLS, _COUNTS, _TWO)
 def run_compare(spark, d):
-    """Two runs saved, listed and compared."""
-    from gridloom.plans.shared import workdir
+    """Two thresholds' metrics saved as runs, listed and compared."""
+    root, c, ids = workdir(spark, "runs"), cells(spark, d), []
+    for least in (500_000, 300_000):
+        m = evaluate.metrics(c.withColumn("predicted", (F.col("p6") > least).cast("int"))).first()
+        ids.append(registry.save_run(spark, root, {"least": least}, {"f1": m.f1, "recall": m.recall}, ["p6"]))
+    return registry.compare_runs(registry.list_runs(spark, root), *ids)
+
 
+@query("SELECT name, value FROM (VALUES ('least', '500000'), ('depth', '10')) t(name, value)")
+def run_parameters(spark, d):
+    """A run's parameters, kept as JSON, as rows."""
     root = workdir(spark, "runs")
-    ids = [registry.save_run(spark, root, {"trees": n}, {"f1": f1, "recall": r}, ["slope_deg"]) for n, f1, r in ((10, 0.5, 0.25), (20, 0.75, 0.5))]
-    return registry.compare_runs(registry.list_runs(spark, root), *ids)
+    registry.save_run(spark, root, {"least": 500_000, "depth": 10}, {}, [])
+    return registry.run_params(registry.list_runs(spark, root)).select("name", "value")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

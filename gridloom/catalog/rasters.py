@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import query
 from gridloom.functions.scores import change_class
-from gridloom.operators import raster
+from gridloom.operators import raster, report
 from gridloom.sources.binding import CELLS, TILES, cells, tiles
 
 
@@ -20,9 +20,11 @@ def exg_index(spark, d):
     return t.select("tile", F.col("pixel").cast("long").alias("pixel"), F.floor(F.col("e") * 1e6 + 0.5).alias("exg6"))
 
 
-@query("SELECT z, x, y, pixels, loss, gain, 100.0::DOUBLE * loss / pixels AS loss_pct FROM tile_change", TILES)
+@query("SELECT t.*, 100.0::DOUBLE * loss / pixels AS loss_pct, before6, after6 FROM tile_change t JOIN (SELECT 3000 + k % 40 AS x, 1900 + k // 40 AS y, CAST(floor(avg(e0) * 1e6 + 0.5) AS BIGINT) AS before6, CAST(floor(avg(e1) * 1e6 + 0.5) AS BIGINT) AS after6 FROM change GROUP BY k) m USING (x, y)", TILES)
 def change_detection(spark, d):
-    return _changed(spark, d).drop("exg_before", "exg_after")
+    both = tiles(spark, d, 0).withColumn("year", F.lit(2018)).unionByName(tiles(spark, d, 1).withColumn("year", F.lit(2019)))
+    six = lambda c: F.floor(F.col(f"exg_{c}") * 1e6 + 0.5).alias(f"{c}6")
+    return raster.change_between(both, 2018, 2019).select("z", "x", "y", "pixels", "loss", "gain", "loss_pct", six("before"), six("after"))
 
 
 @query("SELECT count(*) AS tiles, CAST(sum(pixels) AS BIGINT) AS pixels, CAST(sum(loss) AS BIGINT) AS loss, CAST(sum(gain) AS BIGINT) AS gain, 100.0::DOUBLE * CAST(sum(loss) AS BIGINT) / CAST(sum(pixels) AS BIGINT) AS loss_pct, CAST(sum(loss) AS BIGINT) * 0.1444::DOUBLE AS hectares FROM tile_change", TILES)
@@ -44,11 +46,11 @@ def change_classes(spark, d):
 
 @query("SELECT cell_id, (elev10 % 400 - 200) / 1000.0::DOUBLE < -0.05 AS lost FROM cells", CELLS)
 def predicted_loss(spark, d):
-    return cells(spark, d).select("cell_id", ((F.col("elev10") % 400 - 200) / 1000.0 < -0.05).alias("lost"))
+    return cells(spark, d).select("cell_id", raster.predicted_loss((F.col("elev10") % 400 - 200) / 1000.0).alias("lost"))
 
 
-@query("SELECT i AS point, 8.5::DOUBLE + (i * 2654435761) % 4294967296 / 4294967296.0::DOUBLE * (12.3::DOUBLE - 8.5::DOUBLE) AS lat FROM range(0, 200) t(i)")
+@query("SELECT i AS point, a + ((i * 2 + 16800) * 2654435761) % 4294967296 / 4294967296.0::DOUBLE * (b - a) AS lat, c + ((i * 2 + 16801) * 2654435761) % 4294967296 / 4294967296.0::DOUBLE * (d - c) AS lon FROM range(0, 200) t(i), (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM cells)", CELLS)
 def random_points(spark, d):
-    from gridloom.functions.geo import portable_hash
-
-    return spark.range(200).select(F.col("id").alias("point"), (8.5 + portable_hash(F.col("id")) / 4294967296.0 * (F.lit(12.3) - F.lit(8.5))).alias("lat"))
+    """Points in the box of the cells."""
+    b = report.geo_bounds(cells(spark, d)).first()
+    return raster.random_points(spark, b.lat_min, b.lat_max, b.lon_min, b.lon_max, 200)
\ No newline at end of file

@@ -54,12 +54,13 @@ def protected_area(spark, d):
     return spatial.inside_any(cells(spark, d), binding.areas(spark, d)).select("cell_id", F.col("protected").cast("long"))
 
 
-@query("SELECT way_id, count(*) AS vertices FROM (SELECT w AS way_id, w * 3 + k AS node FROM range(0, 20) t(w), range(0, 6) u(k)) WHERE node % 5 <> 0 GROUP BY 1 HAVING count(*) >= 5")
+@query("SELECT l_orderkey AS way_id, count(*) AS vertices, arg_min(p_partkey, l_linenumber * 1000000 + p_partkey)::DOUBLE AS first_lon FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10 GROUP BY 1 HAVING count(*) >= 4")
 def ring_assembly(spark, d):
-    """Rings from ways and nodes, some of which are unknown; those of under four points go. Here all keep four or five."""
-    ways = spark.range(20).select("id", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.col("id") * 3 + k).alias("nodes"))
-    nodes = spark.range(80).where("id % 5 <> 0").select("id", F.col("id").cast("double").alias("lon"), F.lit(0.0).alias("lat"))
-    return tables.assemble_rings(ways, nodes).select("way_id", F.size("ring").cast("long").alias("vertices")).where("vertices >= 5")
+    """Rings from ways and nodes, some of which are unknown; those of under four points go. An order is a way, its lines' parts are the nodes, of which large ones are known."""
+    lines = binding.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
+    ways = lines.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines")).select("id", F.transform("lines", lambda x: x["l_partkey"]).alias("nodes"))
+    nodes = binding.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("double").alias("lon"), F.col("p_size").cast("double").alias("lat"))
+    return tables.assemble_rings(ways, nodes).select("way_id", F.size("ring").cast("long").alias("vertices"), F.col("ring")[0]["lon"].alias("first_lon"))
 
 
 _SITE = "site AS (SELECT b.name, c.cell_id, c.predicted, c.p6 FROM boxes b LEFT JOIN cells c ON c.lat BETWEEN lat_min AND lat_max AND c.lon BETWEEN lon_min AND lon_max)"
@@ -71,9 +72,11 @@ def multi_site(spark, d):
     return report.site_rollup(cells(spark, d), binding.boxes(spark))
 
 
-@query("SELECT count(*) AS sites, CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(high) AS BIGINT) AS high, 100.0::DOUBLE * CAST(sum(high) AS BIGINT) / CAST(sum(cells) AS BIGINT) AS high_pct, count(*) FILTER (high > 0) AS priority_sites FROM roll", CELLS, BOXES, _SITE, _ROLL)
+@query("SELECT count(*) AS sites, CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(high) AS BIGINT) AS high, 100.0::DOUBLE * CAST(sum(high) AS BIGINT) / CAST(sum(cells) AS BIGINT) AS high_pct, count(*) FILTER (high > 0) AS priority_sites, string_agg(name || ' ' || cells, ',' ORDER BY high_pct DESC, name DESC) AS all_names, string_agg(name || ' ' || high, ',' ORDER BY high_pct DESC, name DESC) FILTER (high > 0) AS priority_names FROM roll", CELLS, BOXES, _SITE, _ROLL)
 def review_summary(spark, d):
-    return report.review_summary(report.site_rollup(cells(spark, d), binding.boxes(spark))).drop("site_json", "priority_json")
+    found = report.review_summary(report.site_rollup(cells(spark, d), binding.boxes(spark)))
+    told = lambda c, n: F.array_join(F.transform(F.from_json(c, "array<struct<name:string,cells:bigint,high:bigint>>"), lambda s: F.concat_ws(" ", s["name"], s[n])), ",")
+    return found.select("sites", "cells", "high", "high_pct", "priority_sites", told("site_json", "cells").alias("all_names"), told("priority_json", "high").alias("priority_names"))
 
 
 @query("SELECT name, high_pct FROM roll WHERE high > 0 ORDER BY high_pct DESC, name", CELLS, BOXES, _SITE, _ROLL)
@@ -111,18 +114,20 @@ def dbscan_clusters(spark, d):
     return cluster.risk_clusters(cells(spark, d).withColumn("p", F.col("p6") / 1e6), 0.5, 5.0, 4).select("cell_id", "cluster")
 
 
-@query("SELECT cluster, count(*) AS cells, min(lat) AS lat_min, max(lon) AS lon_max, max(p6) / 1e6::DOUBLE AS max_risk, CASE WHEN sum(p6) > 700000 * count(*) THEN 'critical' WHEN sum(p6) > 400000 * count(*) THEN 'elevated' ELSE 'moderate' END AS severity FROM clustered JOIN cells USING (cell_id) WHERE cluster IS NOT NULL GROUP BY 1", CELLS, _DB)
+@query("SELECT *, row_number() OVER (ORDER BY mean4 DESC, cluster) AS place FROM (SELECT cluster, count(*) AS cells, CAST(floor(avg(lat) * 1e6 + 0.5) AS BIGINT) AS lat6, CAST(floor(avg(lon) * 1e6 + 0.5) AS BIGINT) AS lon6, min(lat) AS lat_min, max(lon) AS lon_max, max(p6) / 1e6::DOUBLE AS max_risk, CAST(round(avg(p6 / 1e6::DOUBLE) * 10000) AS BIGINT) AS mean4, CAST(floor(greatest((max(lat) - min(lat)) * 111.0 * (max(lon) - min(lon)) * 111.0 * cos(radians(avg(lat))), 1.0) * 1e3 + 0.5) AS BIGINT) AS area3, CASE WHEN sum(p6) > 700000 * count(*) THEN 'critical' WHEN sum(p6) > 400000 * count(*) THEN 'elevated' ELSE 'moderate' END AS severity FROM clustered JOIN cells USING (cell_id) WHERE cluster IS NOT NULL GROUP BY 1)", CELLS, _DB)
 def cluster_summary(spark, d):
     clustered = cluster.risk_clusters(cells(spark, d).withColumn("p", F.col("p6") / 1e6), 0.5, 5.0, 4)
-    return cluster.cluster_summary(clustered).select("cluster", "cells", "lat_min", "lon_max", "max_risk", "severity")
+    part = lambda c, k, name: F.floor(F.col(c) * k + 0.5).alias(name)
+    found = cluster.cluster_summary(clustered).withColumn("place", F.col("place").cast("long"))
+    return found.select("cluster", "cells", part("lat", 1e6, "lat6"), part("lon", 1e6, "lon6"), "lat_min", "lon_max", "max_risk", "mean4", part("area_km2", 1e3, "area3"), "severity", "place")
 
 
-@query("SELECT cell_id, CASE WHEN loss_year > 12 AND cell_id % 2 = 0 THEN loss_year END AS sample FROM cells WHERE loss_year > 0", CELLS)
+@query("SELECT cell_id, CASE WHEN loss_year > 12 AND tc10 > 300 THEN loss_year END AS sample FROM cells WHERE loss_year > 0", CELLS)
 def point_sampling(spark, d):
-    """Values of tiles under cells: each tile a 1 x 1 grid around the even cells' places, so that the answer is known."""
+    """Values of tiles under cells, which are there where trees are: tiles so small that each holds one cell, so that the answer is known."""
     from gridloom.functions.geo import tile_of
 
     c = cells(spark, d).where("loss_year > 0")
     x, y = tile_of(F.col("lat"), F.col("lon"), 22)
-    known = c.where("cell_id % 2 = 0").select(F.lit(22).alias("z"), x.alias("x"), y.alias("y"), F.array_repeat(F.when(F.col("loss_year") > 12, F.col("loss_year")), 65536).alias("v"))
-    return raster.sample_points(c, known, "v", zoom=22).select("cell_id", "sample")
+    known = c.where("tc10 > 300").select(F.lit(22).alias("z"), x.alias("x"), y.alias("y"), F.array_repeat(F.when(F.col("loss_year") > 12, F.col("loss_year")), 65536).alias("v"))
+    return raster.sample_points(c, known, "v", zoom=22).select("cell_id", "sample")
\ No newline at end of file

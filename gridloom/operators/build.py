@@ -10,7 +10,7 @@ from gridloom.functions.scores import population_estimate
 from gridloom.operators.features import annual_loss_rate, frontier_distance, temporal_split
 from gridloom.operators.raster import decode_loss, exg_pixels, sample_points
 from gridloom.operators.spatial import grid, inside_any, nearest
-from gridloom.sources.tables import lookup_rounded
+from gridloom.sources.tables import lookup_population, lookup_rounded
 
 LOSS_YEARS = 19
 
@@ -35,7 +35,7 @@ def stencil_slope(cells: DataFrame, elevation: str, delta: float) -> DataFrame:
 def build_region(spark: SparkSession, region: str, box: tuple[float, float, float, float, float], loss_tiles: DataFrame, elevations: DataFrame, roads: DataFrame, rings: DataFrame, population: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
     """Grid, land mask, losses, height, slope, roads, areas, frontier, loss rate, population and vegetation change of a region; nothing is fetched.
 
-    loss_tiles: z, x, y and arrays alpha, red, blue, cover; elevations and population: lat, lon, elevation_m / population; before, after: raster tiles."""
+    loss_tiles: z, x, y and arrays alpha, red, blue, cover; elevations and population: lat, lon, elevation_m / population a hectare; before, after: raster tiles."""
     cells = grid(spark, *box)
     for name in ("alpha", "red", "blue", "cover"):
         cells = sample_points(cells, loss_tiles, name).withColumn(name, F.coalesce("sample", F.lit(0)).cast("long")).drop("sample")
@@ -46,7 +46,7 @@ def build_region(spark: SparkSession, region: str, box: tuple[float, float, floa
     out = out.join(nearest(land, roads, "cell_id").withColumnRenamed("km", "dist_to_road_km"), "cell_id")
     out = out.join(frontier_distance(land).withColumnRenamed("km", "dist_to_deforestation_frontier_km"), "cell_id")
     out = out.join(inside_any(land, rings).withColumnRenamed("protected", "protected_area"), "cell_id")
-    out = lookup_rounded(out, population, "population", 2)
+    out = lookup_population(out, population)
     out = out.withColumn("population_density_per_km2", population_estimate(F.col("population"), F.col("dist_to_road_km"))).drop("population")
     out = annual_loss_rate(out).withColumnRenamed("rate", "annual_loss_rate_pct")
     if before is None or after is None:
@@ -61,6 +61,19 @@ def _uniform(salt: int) -> Column:
     return (F.pmod(F.xxhash64("cell_id", F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
+# The logistic's weights, and its constant.
+RISK_WEIGHTS = {"annual_loss_rate_pct": 0.3, "dist_to_road_km": -0.01, "population_density_per_km2": 0.005, "elevation_m": -0.003, "protected_area": -0.8, "dist_to_deforestation_frontier_km": -0.01, "slope_deg": 0.02}
+RISK_CONSTANT = -2.0
+
+
+def logistic_risk() -> Column:
+    """The probability of high risk that a cell's features stand for."""
+    logit = F.lit(RISK_CONSTANT)
+    for name, weight in RISK_WEIGHTS.items():
+        logit = logit + weight * F.col(name)
+    return 1.0 / (1.0 + F.exp(-logit))
+
+
 def synthetic_cells(spark: SparkSession, box: tuple[float, float, float, float, float]) -> DataFrame:
     """Cells of plausible features and a label drawn from a logistic of them, all from hashes of the cell."""
     exponential = lambda salt, mean: -mean * F.log(_uniform(salt))
@@ -69,9 +82,4 @@ def synthetic_cells(spark: SparkSession, box: tuple[float, float, float, float,
     c = c.withColumn("dist_to_road_km", exponential(5, 12.0)).withColumn("dist_to_deforestation_frontier_km", exponential(6, 15.0)).withColumn("protected_area", (_uniform(7) < 0.2).cast("int")).withColumn("population_density_per_km2", exponential(8, 10.0))
     rate = exponential(9, 1.5) + 3.0 * F.exp(-F.col("dist_to_road_km") / 10.0) - 1.5 * F.col("protected_area")
     c = c.withColumn("annual_loss_rate_pct", F.greatest(F.lit(0.0), F.least(F.lit(15.0), rate)))
-    # fixed values: the logistic's weights
-    weights = {"annual_loss_rate_pct": 0.3, "dist_to_road_km": -0.01, "population_density_per_km2": 0.005, "elevation_m": -0.003, "protected_area": -0.8, "dist_to_deforestation_frontier_km": -0.01, "slope_deg": 0.02}
-    logit = F.lit(-2.0)
-    for name, weight in weights.items():
-        logit = logit + weight * F.col(name)
-    return c.withColumn("high_risk", (_uniform(10) < 1.0 / (1.0 + F.exp(-logit))).cast("int"))
+    return c.withColumn("high_risk", (_uniform(10) < logistic_risk()).cast("int"))

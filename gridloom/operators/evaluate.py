@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scores import ratio
+from gridloom.operators.raster import predicted_loss
 
 
 def confusion(label: Column, predicted: Column) -> list[Column]:
@@ -62,11 +63,12 @@ def leakage_scan(df: DataFrame, features: list[str], label: str = "high_risk") -
 
 
 def change_validation(df: DataFrame, exg: str, label: str = "high_risk", limit: float = -0.05, least: int = 10) -> DataFrame:
-    """Agreement of a vegetation change with the truth: r, group means, counts, precision, recall, f1; valid is false under ``least`` rows."""
+    """Agreement of a vegetation change with the truth: r, group means, counts, precision, recall, f1; under ``least`` rows valid is false and reason says so."""
     e, y = F.col(exg), F.col(label)
-    row = df.where(e.isNotNull()).agg(F.count("*").alias("n"), correlation(e, y.cast("double")).alias("r"), F.avg(F.when(y == 1, e)).alias("mean_loss"), F.avg(F.when(y == 0, e)).alias("mean_stable"), *confusion(y, (e < limit).cast("int")))
+    row = df.where(e.isNotNull()).agg(F.count("*").alias("n"), correlation(e, y.cast("double")).alias("r"), F.avg(F.when(y == 1, e)).alias("mean_loss"), F.avg(F.when(y == 0, e)).alias("mean_stable"), *confusion(y, predicted_loss(e, limit).cast("int")))
     p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
-    return row.withColumn("valid", F.col("n") >= least).withColumn("precision", p).withColumn("recall", r).withColumn("f1", 2 * p * r / F.greatest(p + r, F.lit(0.001)))
+    row = row.withColumn("valid", F.col("n") >= least).withColumn("reason", F.when(F.col("n") < least, F.format_string("Only %d valid land points found", "n")))
+    return row.withColumn("precision", p).withColumn("recall", r).withColumn("f1", 2 * p * r / F.greatest(p + r, F.lit(0.001)))
 
 
 def class_weights(df: DataFrame, label: str = "high_risk") -> DataFrame:

@@ -87,3 +87,25 @@ def loss_indicator(cells: DataFrame, rate: str) -> DataFrame:
     """1 where ``rate`` is above the frame's median: stands in where the period isn't known."""
     mid = exact_quantile(cells, rate, 0.5, "__mid")
     return cells.crossJoin(F.broadcast(mid)).withColumn("indicator", (F.col(rate) > F.col("__mid")).cast("int")).drop("__mid")  # one row
+
+
+def screening_features(cells: DataFrame, roads: DataFrame, rings: DataFrame, elevation: str = "elev10", step: float = 0.02) -> DataFrame:
+    """``cells`` (cell_id, region, rw, col, lat, lon, loss_year, pre_period_loss, tc10, ...), a written table, with the manifest's features."""
+    from gridloom.functions.scores import population_estimate
+    from gridloom.operators.build import stencil_slope
+    from gridloom.operators.spatial import inside_any
+
+    c = cells.withColumn("tree_cover_2000_pct", F.col("tc10") / 10.0).withColumn("elevation_m", F.col(elevation) / 10.0)
+    out = annual_loss_rate(c).withColumnRenamed("rate", "annual_loss_rate_pct")
+    out = loss_acceleration(out, "annual_loss_rate_pct").withColumnRenamed("acceleration", "loss_acceleration")
+    around = neighbor_features(cells)
+    n = F.col("n")
+    per = lambda c: F.coalesce(F.try_divide(F.col(c), n), F.lit(0.0))
+    around = around.select("cell_id", F.col("loss").alias("neighbor_loss_count"), per("loss").alias("neighbor_loss_density"), (per("tc10_sum") / 10.0).alias("neighbor_mean_tree_cover"))
+    rates = annual_loss_rate(cells).select("cell_id", "lat", "lon", "rate")
+    for more in (
+        around, high_neighbors(rates, "rate").withColumnRenamed("fires", "fire_hotspot_density"), stencil_slope(c, "elevation_m", step), inside_any(cells, rings).withColumnRenamed("protected", "protected_area"),
+        nearest(cells, roads, "cell_id").withColumnRenamed("km", "dist_to_road_km"), frontier_distance(cells).withColumnRenamed("km", "dist_to_deforestation_frontier_km"),
+    ):
+        out = out.join(more, "cell_id")
+    return out.withColumn("population_density_per_km2", population_estimate(F.lit(0.0), F.col("dist_to_road_km")))

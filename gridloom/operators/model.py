@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from math import factorial
+import uuid
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators import evaluate, split
+from gridloom.operators import evaluate, registry, report, split
 from gridloom.sources.schema import available_features, check_features
 
 
@@ -59,14 +59,40 @@ def train(cells: DataFrame, request: TrainRequest) -> dict:
     """Validate, mask to forest, split, fit, evaluate: the model, its test rows scored, metrics, sweep and importances (lazy tables)."""
     features = check_features(request.features or available_features(cells))
     features = [f for f in features if f in cells.columns]
-    forest = cells.where(F.col("tree_cover_2000_pct") >= 10)
+    wooded = report.forest(cells)
     if request.spatial_split:
-        flagged = split.buffer_exclusion(split.spatial(forest, test_tenths=request.test_tenths), request.buffer_km)
+        flagged = split.buffer_exclusion(split.spatial(wooded, test_tenths=request.test_tenths), request.buffer_km)
     else:
-        flagged = split.stratified(forest, test_tenths=request.test_tenths)
+        flagged = split.stratified(wooded, test_tenths=request.test_tenths)
     model = fit(flagged.where("NOT is_test"), features, request)
     tested = score(model, flagged.where("is_test"))
-    return {"model": model, "features": features, "tested": tested, "metrics": evaluate.metrics(tested), "sweep": evaluate.threshold_sweep(tested), "importances": importances(model, features, cells.sparkSession)}
+    return {"model": model, "features": features, "flagged": flagged, "tested": tested, "metrics": evaluate.metrics(tested), "sweep": evaluate.threshold_sweep(tested), "importances": importances(model, features, cells.sparkSession)}
+
+
+def train_run(cells: DataFrame, request: TrainRequest, root: str) -> dict:
+    """``train``, kept: the model and a row of the run table under ``root``, with parameters, metrics, the ids of the test rows, the dataset's hash, the other
+    kind of model on the same split, and which of the two its f1 speaks for. ``cells`` should be a written table, as it is read several times."""
+    run = train(cells, request)
+    other = replace(request, model_type="forest" if request.model_type == "boosted" else "boosted")
+    rival = evaluate.metrics(score(fit(run["flagged"].where("NOT is_test"), run["features"], other), run["flagged"].where("is_test"))).first()
+    names = ("accuracy", "precision", "recall", "f1")
+    own, best = run["metrics"].first(), run["sweep"].where("best").first()
+    found = {n: float(own[n]) for n in names} | {f"other_{n}": float(rival[n]) for n in names} | {"best_threshold": best.threshold / 100 if best else 0.5}
+    recommended = "primary" if own.f1 >= rival.f1 else "alternative"
+    hash_ = registry.fingerprint(report.forest(cells), "cell_id", *run["features"], "high_risk").first().hash
+    path = f"{root}/models/{uuid.uuid4().hex}"
+    save(run["model"], path)
+    ids = sorted(r.cell_id for r in run["tested"].select("cell_id").toLocalIterator())  # a run's own row holds them
+    params = {f.name: getattr(request, f.name) for f in fields(request)} | {"recommended": recommended}
+    run_id = registry.save_run(cells.sparkSession, f"{root}/runs", params, found, run["features"], path, ids, hash_)
+    return run | {"run_id": run_id, "recommended": recommended, "dataset_hash": hash_}
+
+
+def calibrate_run(cells: DataFrame, root: str, run_id: str) -> DataFrame:
+    """(cell_id, p6, outcome) of the rows that a kept run was tested on, scored by its model."""
+    run = registry.get_run(cells.sparkSession, f"{root}/runs", run_id)
+    scored = score(load(run.model_path), registry.test_rows(cells, registry.list_runs(cells.sparkSession, f"{root}/runs"), run_id))
+    return scored.select("cell_id", "p6", evaluate.outcome(F.col("high_risk"), F.col("predicted")).alias("outcome"))
 
 
 def retrain(cells: DataFrame, labelled: DataFrame, request: TrainRequest) -> DataFrame:
@@ -118,36 +144,56 @@ def leaf_paths(model: PipelineModel) -> tuple[list[tuple[float, list[tuple[int,
     return leaves, total, not boosted
 
 
-def shap_values(leaves: list, x: np.ndarray) -> tuple[float, np.ndarray]:
-    """(base, values): path-dependent Shapley values of rows ``x``. A leaf of m features is a product game: with o_j telling whether a row keeps to
-    feature j's bounds and z_j its share, feature i gets value * (o_i - z_i) * sum over k of k! (m-k-1)! / m! times the coefficient of t^k in the
-    product over the others of (z_j + o_j t)."""
-    n, out, base = len(x), np.zeros(x.shape), 0.0
+def group_leaves(leaves: list) -> tuple[float, list[tuple]]:
+    """(base, groups): the leaves by the number of features on their path, as arrays of a group's leaves: values, features, lows, highs, shares."""
+    base, by = 0.0, {}
     for value, path in leaves:
-        share = np.array([p[3] for p in path])
-        base += value * float(np.prod(share))
-        if not path or value == 0:
-            continue
-        m = len(path)
-        keeps = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in path], axis=1).astype(float)
-        weight = np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
-        for i in range(m):
-            poly = np.zeros((n, m))
-            poly[:, 0] = 1.0
-            for j in range(m):
-                if j != i:
-                    shifted = np.zeros_like(poly)
-                    shifted[:, 1:] = poly[:, :-1] * keeps[:, j : j + 1]
-                    poly = poly * share[j] + shifted
-            out[:, path[i][0]] += value * (keeps[:, i] - share[i]) * (poly @ weight)
+        base += value * float(np.prod([p[3] for p in path]))
+        if path and value:
+            by.setdefault(len(path), []).append((value, path))
+    groups = []
+    for found in by.values():
+        part = lambda k: np.array([[p[k] for p in path] for _, path in found])  # noqa: B023, E731
+        groups.append((np.array([v for v, _ in found]), part(0).astype(np.int64), part(1), part(2), np.maximum(part(3), 1e-300)))
+    return base, groups
+
+
+#: Numbers that an array of the explanation has at most.
+EXPLAIN_CELLS = 1 << 21
+
+
+def shap_values(grouped: tuple[float, list[tuple]], x: np.ndarray) -> tuple[float, np.ndarray]:
+    """(base, values): path-dependent Shapley values of rows ``x``. A leaf of m features is a product game: with o_j telling whether a row keeps to
+    feature j's bounds and z_j its share, feature i gets value * (o_i - z_i) times the sum over k of k! (m-k-1)! / m! times the coefficient of t^k in the
+    product over the others of (z_j + o_j t), which is the integral from 0 to 1 of the product over the others of (z_j (1 - t) + o_j t): a polynomial of
+    degree m - 1, so that Gauss's rule with half as many nodes gives it exactly. All of a group's leaves and many rows are done at once."""
+    base, groups = grouped
+    out = np.zeros(x.shape)
+    for value, feature, low, high, share in groups:
+        leaves, m = feature.shape
+        node, weight = np.polynomial.legendre.leggauss(m // 2 + 1)
+        node, weight = (node + 1) / 2, weight / 2
+        to = np.zeros((m, leaves, x.shape[1]))
+        to[np.arange(m)[:, None], np.arange(leaves)[None], feature.T] = 1.0
+        step = max(1, EXPLAIN_CELLS // (leaves * m))
+        for lo in range(0, len(x), step):
+            rows = x[lo : lo + step]
+            keeps = ((rows[:, feature] > low) & (rows[:, feature] <= high)).astype(float)
+            apart = np.zeros_like(keeps)
+            for t, w in zip(node, weight):
+                factor = share * (1 - t) + keeps * t
+                apart += w * factor.prod(axis=2)[:, :, None] / factor
+            apart *= (keeps - share) * value[:, None]
+            for i in range(m):
+                out[lo : lo + step] += apart[:, :, i] @ to[i]
     return base, out
 
 
 def explain(model: PipelineModel, df: DataFrame, features: list[str], key: str = "cell_id") -> DataFrame:
-    """(key, base, drivers): contributions to the probability of high risk (the margin for boosted trees), by falling size. The leaves go to each task;
-    their number is bounded by the model's trees and depth."""
-    leaves, _, _ = leaf_paths(model)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    """(key, predicted, base, drivers): what each feature adds to the probability of the class that the model predicts (to the margin of high risk for boosted
+    trees), by falling size. The leaves go to each task; their number is bounded by the model's trees and depth."""
+    leaves, _, is_probability = leaf_paths(model)
+    shared = df.sparkSession.sparkContext.broadcast(group_leaves(leaves))
 
     def run(batches):
         import pyarrow as pa
@@ -155,13 +201,19 @@ def explain(model: PipelineModel, df: DataFrame, features: list[str], key: str =
         for batch in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]], axis=1) if batch.num_rows else np.empty((0, len(features)))
             base, values = shap_values(shared.value, x)
+            total = base + values.sum(axis=1)
+            high = total > (0.5 if is_probability else 0.0)
+            bases = np.full(len(x), base)
+            if is_probability:  # of the other class, everything turns about
+                values = np.where(high[:, None], values, -values)
+                bases = np.where(high, base, 1 - base)
             order = np.argsort(-np.abs(values), axis=1, kind="stable")
             rows = [[{"feature": features[f], "value": float(x[i, f]), "shap": float(values[i, f])} for f in order[i]] for i in range(len(x))]
             kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64()), ("shap", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([base] * len(x), pa.float64()), pa.array(rows, kind)], names=[key, "base", "drivers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high.astype(np.int32)), pa.array(bases), pa.array(rows, kind)], names=[key, "predicted", "base", "drivers"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, *(F.col(f).cast("double") for f in features)).mapInArrow(run, f"{key} {kind}, base double, drivers array<struct<feature:string,value:double,shap:double>>")
+    return df.select(key, *(F.col(f).cast("double") for f in features)).mapInArrow(run, f"{key} {kind}, predicted int, base double, drivers array<struct<feature:string,value:double,shap:double>>")
 
 
 def site_drivers(explained: DataFrame, sites: DataFrame) -> DataFrame:

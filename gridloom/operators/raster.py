@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import TILE_PIXELS, pixel_of, tile_of
+from gridloom.functions.geo import TILE_PIXELS, pixel_of, portable_hash, tile_of
 from gridloom.functions.scores import excess_green
 
 
@@ -24,6 +24,24 @@ def tile_change(before: DataFrame, after: DataFrame, limit: float = 0.08) -> Dat
     return out.withColumn("loss_pct", 100.0 * F.col("loss") / F.greatest(F.col("pixels"), F.lit(1)))
 
 
+def change_between(tiles: DataFrame, before: int, after: int, limit: float = 0.08) -> DataFrame:
+    """``tile_change`` of two years of one table of tiles (year, z, x, y, r, g, b)."""
+    if after <= before:
+        raise ValueError(f"{after} isn't after {before}")
+    return tile_change(tiles.where(F.col("year") == before), tiles.where(F.col("year") == after), limit)
+
+
+def predicted_loss(change: Column, limit: float = -0.05) -> Column:
+    """Whether a change of vegetation counts as a loss."""
+    return change < limit
+
+
+def random_points(spark: SparkSession, lat_min: float, lat_max: float, lon_min: float, lon_max: float, n: int, seed: int = 42) -> DataFrame:
+    """(point, lat, lon): ``n`` points spread over a box, the same for a seed on any engine."""
+    at = lambda salt: portable_hash(F.col("id") * 2 + F.lit(2 * seed * n + salt)) / 4294967296.0
+    return spark.range(n).select(F.col("id").alias("point"), (F.lit(lat_min) + at(0) * (F.lit(lat_max) - F.lit(lat_min))).alias("lat"), (F.lit(lon_min) + at(1) * (F.lit(lon_max) - F.lit(lon_min))).alias("lon"))
+
+
 def total_change(tiles: DataFrame, pixel_hectares: float = 0.1444) -> DataFrame:
     sums = tiles.agg(F.count("*").alias("tiles"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pixels", "loss", "gain")))
     return sums.withColumn("loss_pct", 100.0 * F.col("loss") / F.greatest(F.col("pixels"), F.lit(1))).withColumn("hectares", F.col("loss") * pixel_hectares)

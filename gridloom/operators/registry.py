@@ -41,3 +41,14 @@ def compare_runs(runs: DataFrame, a: str, b: str) -> DataFrame:
     """(metric, a, b, delta) of two runs."""
     of = lambda run, name: runs.where(F.col("run_id") == run).select(F.explode("metrics").alias("metric", name))
     return of(a, "a").join(of(b, "b"), "metric", "full").withColumn("delta", F.col("b") - F.col("a"))
+
+
+def run_params(runs: DataFrame) -> DataFrame:
+    """(run_id, name, value): the parameters of runs, as text, from their JSON."""
+    return runs.select("run_id", F.explode(F.from_json("params", "map<string,string>")).alias("name", "value"))
+
+
+def test_rows(cells: DataFrame, runs: DataFrame, run_id: str) -> DataFrame:
+    """The rows of ``cells`` that a run was tested on."""
+    ids = runs.where(F.col("run_id") == run_id).select(F.explode("test_ids").alias("cell_id"))
+    return cells.join(ids, "cell_id", "left_semi")

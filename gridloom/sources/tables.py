@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +13,26 @@ FIRE_BOX = {"lat": (5.0, 20.0), "lon": (117.0, 127.0)}
 
 
 def read_cells(spark: SparkSession, root: str | None = None, region: str | None = None, path: str | None = None, fallback: str | None = None) -> DataFrame:
-    """An explicit ``path`` wins over ``region``; without either, all regions below ``root`` (written by ``write_cells``) as one table."""
-    for place in (path, root, fallback):
-        if place:
-            reader = spark.read.schema(CELLS)
-            df = reader.option("header", True).csv(place) if place.endswith(".csv") else reader.parquet(place)
-            if region and place == root:
-                df = df.where(F.col("region") == region)
-                if df.isEmpty():
-                    raise FileNotFoundError(f"no cells of {region} in {place}")
-            return df
-    raise ValueError("a path, a root or a fallback is needed")
+    """An explicit ``path`` wins over ``region``; without either, all regions below ``root`` (written by ``write_cells``) as one table, or the ``fallback`` where there
+    are none. A region that is asked for must be there."""
+
+    def read(place: str) -> DataFrame:
+        reader = spark.read.schema(CELLS)
+        return reader.option("header", True).csv(place) if place.endswith(".csv") else reader.parquet(place)
+
+    if path:
+        return read(path)
+    found = read(root) if root and exists(spark, root) else None
+    if region:
+        mine = None if found is None else found.where(F.col("region") == region)
+        if mine is None or mine.isEmpty():
+            raise FileNotFoundError(f"no cells of {region} in {root}")
+        return mine
+    if found is not None and not (fallback and found.isEmpty()):
+        return found
+    if fallback:
+        return read(fallback)
+    raise FileNotFoundError("a path, a root with regions or a fallback is needed")
 
 
 def union_regions(frames: dict[str, DataFrame]) -> DataFrame:
@@ -59,8 +66,18 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kind).json(path, multiLine=True).select(F.inline("elements"))
 
 
-def road_nodes(elements: DataFrame) -> DataFrame:
-    return elements.where((F.col("type") == "node") & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon")
+#: The classes of roads that count.
+ROAD_CLASSES = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "track")
+
+
+def road_nodes(elements: DataFrame, classes: tuple[str, ...] = ROAD_CLASSES) -> DataFrame:
+    """(lat, lon) of the nodes of roads of ``classes``. Where an answer has ways, only nodes of such ways count; one of nodes alone was filtered by who asked."""
+    nodes = elements.where((F.col("type") == "node") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    ways = elements.where(F.col("type") == "way")
+    if ways.isEmpty():
+        return nodes.select("lat", "lon")
+    used = ways.where(F.col("tags")["highway"].isin(*classes)).select(F.explode("nodes").alias("id")).distinct()
+    return nodes.join(used, "id", "left_semi").select("lat", "lon")
 
 
 def assemble_rings(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -88,16 +105,33 @@ def lookup_rounded(cells: DataFrame, table: DataFrame, value: str, digits: int,
     return joined.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def lookup_population(cells: DataFrame, table: DataFrame, value: str = "population") -> DataFrame:
+    """``cells`` with people a square kilometre, from a table of people a hectare by coordinates to two decimals; 0 where it has none."""
+    return lookup_rounded(cells, table, value, 2).withColumn(value, F.round(F.col(value) * 100, 1))
+
+
 def geocode(gazetteer: DataFrame, name: str) -> DataFrame:
     """(lat, lon, display_name) of a place by name, whatever its case; no row if unknown."""
     return gazetteer.where(F.lower("name") == name.lower()).orderBy("name").limit(1).select("lat", "lon", "display_name")
 
 
-def read_brief(path: str) -> dict | None:
-    file = Path(path)
-    return json.loads(file.read_text()) if file.exists() else None
+def _hadoop(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _hadoop(spark, path)
+    return system.exists(place)
+
+
+def read_brief(spark: SparkSession, path: str) -> dict | None:
+    """A document of one object from any file system, None if there is none."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if exists(spark, path) else None
 
 
-def write_brief(path: str, brief: dict) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(brief))
+def write_brief(spark: SparkSession, path: str, brief: dict) -> None:
+    system, place = _hadoop(spark, path)
+    out = system.create(place, True)
+    out.write(bytearray(json.dumps(brief).encode()))
+    out.close()

@@ -29,7 +29,7 @@ def test_region_from_landed_inputs(spark):
     assert {r.tree_cover_2000_pct for r in rows} == {25.0} and {r.dist_to_deforestation_frontier_km for r in rows} == {0.0}
     assert all(abs(r.annual_loss_rate_pct - 2 * 100 / 19) < 1e-9 for r in rows) and all(r.exg_change_2018_2019 < -1 for r in rows)
     first = next(r for r in rows if r.cell_id == 0)
-    assert first.elevation_m == 50 and first.slope_deg > 0 and first.population_density_per_km2 == 7 and min(r.dist_to_road_km for r in rows) < 1.6
+    assert first.elevation_m == 50 and first.slope_deg > 0 and first.population_density_per_km2 == 700 and min(r.dist_to_road_km for r in rows) < 1.6
     water = build.build_region(spark, "sea", BOX, tiles(spark, alpha=0, red=0, blue=0, cover=0), heights, roads, rings, people)
     assert water.count() == 0
 

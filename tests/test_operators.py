@@ -125,10 +125,11 @@ def test_explanations_add_up(spark, tmp_path, kind):
     request = model.TrainRequest(features=models.FEATURES, model_type=kind, trees=5, depth=4, spatial_split=False)
     run = model.train(table, request)
     told = model.explain(run["model"], run["tested"], run["features"]).join(run["model"].transform(run["tested"].drop("p", "p6", "predicted")), "cell_id").collect()
+    assert len({r.predicted for r in told}) == 2 or kind == "boosted"
     assert told
     for r in told:
         total = r.base + sum(d.shap for d in r.drivers)
-        want = r.probability[1] if kind == "forest" else r.rawPrediction[1]
+        want = r.probability[r.predicted] if kind == "forest" else r.rawPrediction[1]
         assert total == pytest.approx(want, abs=1e-6)
         assert [abs(d.shap) for d in r.drivers] == sorted((abs(d.shap) for d in r.drivers), reverse=True)
     model.save(run["model"], str(tmp_path / "m"))
@@ -148,7 +149,7 @@ def test_shapley_by_brute_force():
     def value(row, known):
         return sum(v * math.prod(float(lo < row[f] <= hi) if f in known else share for f, lo, hi, share in path) for v, path in leaves)
 
-    base, got = model.shap_values(leaves, x)
+    base, got = model.shap_values(model.group_leaves(leaves), x)
     for row, mine in zip(x, got):
         want = np.zeros(3)
         for order in permutations(range(3)):
@@ -192,13 +193,13 @@ def test_sources(spark, tmp_path):
     cells.toPandas().to_csv(tmp_path / "one.csv", index=False)
     assert tables.read_cells(spark, path=str(tmp_path / "one.csv")).first().loss_year == 1
     assert tables.read_cells(spark, fallback=str(tmp_path / "all")).count() == 1
-    (tmp_path / "map.json").write_text('{"elements": [{"type": "node", "id": 1, "lat": 1.0, "lon": 2.0}, {"type": "node", "id": 2}, {"type": "way", "id": 3, "nodes": [1, 2]}]}')
+    (tmp_path / "map.json").write_text('{"elements": [{"type": "node", "id": 1, "lat": 1.0, "lon": 2.0}, {"type": "node", "id": 2}, {"type": "way", "id": 3, "nodes": [1, 2], "tags": {"highway": "track"}}]}')
     elements = tables.read_elements(spark, str(tmp_path / "map.json"))
     assert elements.count() == 3 and tables.road_nodes(elements).count() == 1
     (tmp_path / "fires.csv").write_text("latitude,longitude,confidence,frp\n10,120,h,5.5\n50,120,h,1\n")
     assert tables.read_fires(spark, str(tmp_path / "fires.csv")).count() == 1
-    tables.write_brief(str(tmp_path / "b" / "x.json"), {"narrative": "N"})
-    assert tables.read_brief(str(tmp_path / "b" / "x.json")) == {"narrative": "N"} and tables.read_brief(str(tmp_path / "no.json")) is None
+    tables.write_brief(spark, str(tmp_path / "b" / "x.json"), {"narrative": "N"})
+    assert tables.read_brief(spark, str(tmp_path / "b" / "x.json")) == {"narrative": "N"} and tables.read_brief(spark, str(tmp_path / "no.json")) is None
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -225,3 +226,93 @@ def test_stream_of_verdicts_settles(spark, tmp_path):
     want = feedback.latest(annotation_log(spark))
     columns = ["cell_id", "run_id", "event_id", "verdict"]
     assert {tuple(r) for r in settled.select(columns).collect()} == {tuple(r) for r in want.select(columns).collect()}
+
+
+def test_shapley_of_deep_trees_by_brute_force():
+    """Random leaves of up to six features, all orders, a small bound on the arrays."""
+    from itertools import permutations
+
+    rng = np.random.default_rng(8)
+    leaves = []
+    for _ in range(12):
+        features_ = rng.permutation(6)[: rng.integers(1, 7)]
+        path = []
+        for f in features_:
+            lo, hi = sorted(rng.uniform(-2, 2, 2))
+            path.append((int(f), float(lo), float(hi), float(rng.uniform(0.05, 0.95))))
+        leaves.append((float(rng.uniform(-1, 1)), path))
+    x = rng.uniform(-2, 2, (5, 6))
+
+    def value(row, known):
+        return sum(v * math.prod(float(lo < row[f] <= hi) if f in known else share for f, lo, hi, share in path) for v, path in leaves)
+
+    bound, model.EXPLAIN_CELLS = model.EXPLAIN_CELLS, 1
+    try:
+        base, got = model.shap_values(model.group_leaves(leaves), x)
+    finally:
+        model.EXPLAIN_CELLS = bound
+    orders = list(permutations(range(6)))
+    for row, mine in zip(x, got):
+        want = np.zeros(6)
+        for order in orders:
+            before = value(row, ())
+            for k, f in enumerate(order):
+                after = value(row, order[: k + 1])
+                want[f] += (after - before) / len(orders)
+                before = after
+        assert mine == pytest.approx(want, abs=1e-9) and base == pytest.approx(value(row, ()))
+
+
+def test_a_run_is_kept_and_calibrated(spark, tmp_path):
+    from pathlib import Path
+
+    table = models.grid_table(spark, SF)
+    request = model.TrainRequest(features=models.FEATURES, trees=4, depth=3, spatial_split=False)
+    run = model.train_run(table, request, f"file://{tmp_path}")
+    kept = registry.get_run(spark, f"file://{tmp_path}/runs", run["run_id"])
+    tested = {r.cell_id: (r.p6, r.high_risk, r.predicted) for r in run["tested"].collect()}
+    assert set(kept.test_ids) == set(tested) and len(kept.dataset_hash) == 16 and kept.features == models.FEATURES
+    assert {"f1", "other_f1", "best_threshold"} <= set(kept.metrics) and run["recommended"] in ("primary", "alternative")
+    params = {r.name: r.value for r in registry.run_params(registry.list_runs(spark, f"file://{tmp_path}/runs")).collect()}
+    assert params["trees"] == "4" and params["recommended"] == run["recommended"]
+    outcomes = {r.cell_id: (r.p6, r.outcome) for r in model.calibrate_run(table, f"file://{tmp_path}", run["run_id"]).collect()}
+    word = {(1, 1): "tp", (0, 1): "fp", (1, 0): "fn", (0, 0): "tn"}
+    assert outcomes == {i: (p6, word[label, said]) for i, (p6, label, said) in tested.items()}
+    assert Path(kept.model_path.removeprefix("file://")).exists()
+
+
+def test_fallback_and_roads(spark, tmp_path):
+    cells = spark.createDataFrame([("palawan", 9.0, 118.0)], "region string, lat double, lon double")
+    for f in schema.CELLS.fields[3:]:
+        cells = cells.withColumn(f.name, F.lit(1).cast(f.dataType))
+    tables.write_cells(cells, str(tmp_path / "spare"))
+    assert tables.read_cells(spark, str(tmp_path / "none"), fallback=str(tmp_path / "spare")).count() == 1
+    for bad in ({"root": str(tmp_path / "none")}, {"root": str(tmp_path / "none"), "region": "palawan", "fallback": str(tmp_path / "spare")}):
+        with pytest.raises(FileNotFoundError):
+            tables.read_cells(spark, **bad)
+    (tmp_path / "map.json").write_text('{"elements": [{"type": "node", "id": 1, "lat": 1.0, "lon": 2.0}, {"type": "node", "id": 2, "lat": 3.0, "lon": 4.0}, {"type": "node", "id": 5, "lat": 9.0, "lon": 9.0}, {"type": "way", "id": 3, "nodes": [1], "tags": {"highway": "track"}}, {"type": "way", "id": 4, "nodes": [1, 2], "tags": {"highway": "footway"}}]}')
+    assert [tuple(r) for r in tables.road_nodes(tables.read_elements(spark, str(tmp_path / "map.json"))).collect()] == [(1.0, 2.0)]
+    people = spark.createDataFrame([(9.0, 118.0, 1.234)], "lat double, lon double, population double")
+    assert tables.lookup_population(cells, people).first().population == pytest.approx(123.4)
+
+
+def test_years_must_follow(spark):
+    from gridloom.operators import raster
+
+    with pytest.raises(ValueError):
+        raster.change_between(spark.createDataFrame([], "year int, z int, x int, y int, r array<double>, g array<double>, b array<double>"), 2019, 2019)
+
+
+def test_validation_of_few_points_says_why(spark):
+    few = spark.createDataFrame([(-0.1, 1), (0.2, 0)], "e double, high_risk int")
+    row = evaluate.change_validation(few, "e").first()
+    assert not row.valid and row.reason == "Only 2 valid land points found"
+
+
+def test_random_points_spread_over_the_box(spark):
+    from gridloom.operators import raster
+
+    rows = raster.random_points(spark, 8.0, 10.0, 117.0, 121.0, 400).collect()
+    assert all(8 <= r.lat <= 10 and 117 <= r.lon <= 121 for r in rows)
+    assert abs(np.mean([r.lat for r in rows]) - 9) < 0.1 and abs(np.mean([r.lon for r in rows]) - 119) < 0.2
+    assert rows != raster.random_points(spark, 8.0, 10.0, 117.0, 121.0, 400, seed=7).collect()
