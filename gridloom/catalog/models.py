@@ -104,8 +104,9 @@ def region_report(spark, d):
 @query()
 def region_brief(spark, d):
     """The report as one document, with a model's drivers and a cached narrative."""
-    run = model.train(feature_table(spark, d), REQUEST)
-    scored = model.score(run["model"], feature_table(spark, d).where("region = 'ASIA'"))
+    table = feature_table(spark, d)
+    run = model.train(table, REQUEST)
+    scored = model.score(run["model"], table.where("region = 'ASIA'"))
     return report.region_report(scored, "ASIA", run["importances"], {"narrative": "A cached brief."})
 
 

@@ -10,10 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import evaluate, registry, report, split
+from gridloom.plans.shared import drop_path, workdir
 from gridloom.sources.schema import available_features, check_features
 
 
@@ -118,29 +119,35 @@ def hold_out_region(cells: DataFrame, region: str, request: TrainRequest) -> Dat
 
 def leaf_paths(model: PipelineModel) -> tuple[list[tuple[float, list[tuple[int, float, float, float]]]], float, bool]:
     """Every leaf as (value, path), its path one (feature, low, high, share) for each feature on it: the leaf holds low < x <= high, and ``share`` of the rows
-    that reach the feature's splits go its way. Also the sum of tree weights, and whether values are probabilities."""
-    stage = model.stages[-1]
+    that reach the feature's splits go its way. Also the sum of tree weights, and whether values are probabilities. The nodes are read from the model as it is
+    saved: one table instead of a call for each."""
+    stage, spark = model.stages[-1], SparkSession.active()
     boosted = "GBT" in type(stage).__name__
-    trees = list(stage._java_obj.trees()) if hasattr(stage, "_java_obj") else []
     weights = list(stage.treeWeights)
     total = 1.0 if boosted else float(sum(weights))
+    path = workdir(spark, "model")
+    stage.write().save(path)
+    node = "nodeData."
+    saved = spark.read.parquet(f"{path}/data").select("treeID", *(F.col(node + c).alias(c) for c in ("id", "prediction", "impurityStats", "leftChild", "rightChild")), F.col("nodeData.split.featureIndex").alias("feature"), F.col("nodeData.split.leftCategoriesOrThreshold").alias("at"))
+    nodes = {(r.treeID, r.id): r for r in saved.collect()}
+    drop_path(spark, path)
     leaves = []
 
-    def walk(node, scale: float, path: dict[int, tuple[float, float, float]]) -> None:
-        if node.subtreeDepth() == 0:
-            stats = node.impurityStats().stats()
-            value = node.prediction() if boosted else stats[1] / max(stats[0] + stats[1], 1e-300)
+    def reached(r) -> float:
+        return r.impurityStats[0] if boosted else sum(r.impurityStats)
+
+    def walk(tree: int, r, scale: float, path: dict[int, tuple[float, float, float]]) -> None:
+        if r.leftChild < 0:
+            value = r.prediction if boosted else r.impurityStats[1] / max(sum(r.impurityStats), 1e-300)
             leaves.append((scale * value, [(f, *b) for f, b in path.items()]))
             return
-        at, f = node.split().threshold(), node.split().featureIndex()
-        whole = node.impurityStats().count() if boosted else sum(node.impurityStats().stats())
+        at, f = r["at"][0], r.feature
         low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, lo, hi in ((node.leftChild(), low, min(high, at)), (node.rightChild(), max(low, at), high)):
-            own = child.impurityStats().count() if boosted else sum(child.impurityStats().stats())
-            walk(child, scale, path | {f: (lo, hi, share * own / whole)})
+        for child, lo, hi in ((nodes[tree, r.leftChild], low, min(high, at)), (nodes[tree, r.rightChild], max(low, at), high)):
+            walk(tree, child, scale, path | {f: (lo, hi, share * reached(child) / reached(r))})
 
-    for tree, weight in zip(trees, weights):
-        walk(tree.rootNode(), weight / total, {})
+    for tree, weight in enumerate(weights):
+        walk(tree, nodes[tree, 0], weight / total, {})
     return leaves, total, not boosted
 
 

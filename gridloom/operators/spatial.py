@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import haversine_km, point_in_ring, project_km
+from gridloom.plans.shared import BROADCAST_BYTES, materialize
 
 MISSING_KM = 999.0
 
@@ -45,6 +46,8 @@ def _sphere(lat: str, lon: str) -> dict[str, Column]:
 
 
 _AXES = ("u", "v", "w")
+#: How many times a cube's side holds that of the cubes inside it.
+TIMES = 8
 
 
 def _cube(axis: str, side: float) -> Column:
@@ -61,12 +64,10 @@ def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> D
     """``left``'s key with ``km``, the haversine distance to the nearest of ``right`` (lat, lon), MISSING_KM if there is none.
 
     Places become points of the unit sphere, in cubes of ``step`` degrees. A row whose nearest among the 27 cubes around it is closer than a cube's side has its answer. The
-    others descend from cubes as large as the globe, four times smaller at each level: of the occupied cubes inside those that are left, a row keeps those that begin
+    others descend from cubes as large as the globe, TIMES smaller at each level: of the occupied cubes inside those that are left, a row keeps those that begin
     no further off than the nearest point that it knows, each cube having one that stands for it. So a row's candidates depend on how many cubes are about as far as
     its answer, not on how many points there are. Haversine distances are taken of the last candidates alone. ``left``'s keys are unique.
     """
-    from gridloom.plans.shared import materialize, small_side
-
     right = materialize(right.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).distinct(), "nearest")
     if right.isEmpty():
         return left.select(key, F.lit(MISSING_KM).alias("km"))
@@ -83,23 +84,26 @@ def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> D
     # without an answer in sight, a row has none of these
     found = around.join(points, "cube").groupBy(key).agg(F.min(F.struct(chord.alias("chord"), km.alias("km"))).alias("best"), F.min(km).alias("km"))
     done = materialize(found.where(F.col("best.chord") <= side * (1 - 1e-9)).select(key, "km"), "nearest")
-    todo = todo.join(done.select(key), key, "left_anti")
+    todo = materialize(todo.join(done.select(key), key, "left_anti"), "nearest")
+    if todo.isEmpty():
+        return done
 
+    few = points.count() * 64 <= BROADCAST_BYTES  # and so are the occupied cubes of any size
+    small = F.broadcast if few else (lambda level: level)
     levels = [points.groupBy("cube").agg(*(F.first(f"c_{a}").alias(f"c_{a}") for a in _AXES), F.min(F.struct(*(f"r_{a}" for a in _AXES))).alias("rep"))]
     sides = [side]
-    while sides[-1] < 1.0:  # the largest cubes are 64 at most
-        up = [F.floor(F.col(f"c_{a}") / 4).alias(f"c_{a}") for a in _AXES]
+    while sides[-1] < 1.0:
+        up = [F.floor(F.col(f"c_{a}") / TIMES).alias(f"c_{a}") for a in _AXES]
         above = levels[-1].select(*up, "rep").groupBy(*(f"c_{a}" for a in _AXES)).agg(F.min("rep").alias("rep"))
         levels.append(above.withColumn("cube", _id(*(F.col(f"c_{a}") for a in _AXES))))
-        sides.append(4 * sides[-1])
-    kept = [small_side(materialize(level.withColumn("parent", _id(*(F.floor(F.col(f"c_{a}") / 4) for a in _AXES))), "nearest-level")) for level in levels]
-    top = [r.parent for r in kept[-1].select("parent").distinct().collect()]  # a handful: their sides are 4 or more, the globe's 2
-    rows = todo.withColumn("parent", F.explode(F.array(*(F.lit(x).cast("long") for x in top))))
-    for level, width in zip(reversed(kept), reversed(sides)):
+        sides.append(TIMES * sides[-1])
+    rows = todo.withColumn("parent", F.lit(0).cast("long"))  # the largest cubes, 27 at most, have one parent
+    for k in range(len(levels) - 1, -1, -1):
+        width, level = sides[k], levels[k].withColumn("parent", _id(*(F.floor(F.col(f"c_{a}") / TIMES) for a in _AXES)))
         rep = F.sqrt(sum((F.col(a) - F.col(f"rep.r_{a}")) ** 2 for a in _AXES))
-        gap = lambda a: F.greatest(F.lit(0.0), F.col(f"c_{a}") * width - 1.0 - F.col(a), F.col(a) - ((F.col(f"c_{a}") + 1) * width - 1.0))
+        gap = lambda a: F.greatest(F.lit(0.0), F.col(f"c_{a}") * width - 1.0 - F.col(a), F.col(a) - ((F.col(f"c_{a}") + 1) * width - 1.0))  # noqa: B023, E731
         begins = F.sqrt(sum(gap(a) ** 2 for a in _AXES))
-        rows = rows.join(level, "parent").withColumn("rep_d", rep).withColumn("begins", begins)
+        rows = rows.join(F.broadcast(level) if k == len(levels) - 1 else small(level), "parent").withColumn("rep_d", rep).withColumn("begins", begins)
         rows = rows.withColumn("known", F.min("rep_d").over(Window.partitionBy(key))).where(F.col("begins") <= F.col("known") + 1e-9)
         rows = rows.select(key, "lat", "lon", *_AXES, F.col("cube").alias("parent"))
     last = rows.withColumnRenamed("parent", "cube").join(points, "cube").groupBy(key).agg(F.min(km).alias("km"))
