@@ -22,7 +22,7 @@ from gridloom.llm.minhash_join import near_duplicates
 from gridloom.llm.mixing import mixed_documents, plan_mix
 from gridloom.llm.pii import sanitise
 from gridloom.llm.sentencepiece_sa import encode_pieces
-from gridloom.plans.shared import materialize
+from gridloom.plans.shared import materialize, release
 
 MIN_SCORE = 0.1
 
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
