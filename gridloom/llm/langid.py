@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.files import limit_batches, tidied
-from gridloom.plans.shared import materialize
+from gridloom.plans.shared import materialize, release
 
 MAX_N, TOP = 3, 400
 #: More languages than this is a mistake in the label column.
@@ -104,6 +104,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     # a rank below a limit: each task keeps its own best ``top`` of a language before any of them move
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     best = materialize(counts.withColumn("place", rank - 1).where(F.col("place") < top), "ngram-profiles")
+    release(counts)
     if best.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
     return best

@@ -31,64 +31,87 @@ from gridloom.llm.files import small_side, text_batches, tidied
 from gridloom.plans.components import connected_components
 from gridloom.plans.shared import materialize, release
 
-COORDINATES, DEPTH, SMALL, CHUNK, PIVOTS, LONG_WORD = 128, 6, 64, 256, 4, 64
+COORDINATES, DEPTH, SMALL, CHUNK, PIVOTS = 128, 6, 64, 256, 4
+#: Bytes of text that are hashed at once, and of a word that is hashed with the others.
+PIECE, LONG_WORD = 1 << 17, 64
 #: Share of the pairs at the threshold that the trees bring together, if all of a pair's nodes are crowded down to DEPTH.
 RECALL = 0.999
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
-    """Texts to sorted arrays of 64-bit shingle hashes. Words are hashed once and remembered, up to ``max_words`` of LONG_WORD bytes at most."""
-
-    def __init__(self, k: int, max_words: int = 120_000):
-        self.k, self.max_words = k, max_words
-        self.known: dict[bytes, int] = {}
-
-    def words(self, text: str | None) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        tokens = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space alone
-        known = self.known
-        try:
-            return np.array([known[t] for t in tokens], np.uint64)
-        except KeyError:
-            if len(known) > self.max_words:
-                known.clear()
-            long: dict[bytes, int] = {}
-            for t in tokens:
-                if t not in known:
-                    (known if len(t) <= LONG_WORD else long)[t] = xxh3_64_intdigest(t)
-            return np.array([known[t] if t in known else long[t] for t in tokens], np.uint64)
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        w = self.words(text)
-        if not len(w):
-            return w
-        k = min(self.k, len(w))
-        h = np.full(len(w) - k + 1, np.uint64(k))
-        for i in range(k):
-            h = (h ^ w[i : len(w) - k + 1 + i]) * _MIX
-            h ^= h >> np.uint64(29)
-        return np.unique(h)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 @cache
-def shingler(k: int) -> Shingler:
-    return Shingler(k)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, powers of an odd number modulo 2^64, and their inverses."""
+    base = 0x9E3779B97F4A7C15
+    whole = np.random.default_rng(77).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    powers, inverse = np.full(PIECE, np.uint64(base)), np.full(PIECE, np.uint64(pow(base, -1, 1 << 64)))
+    powers[0] = inverse[0] = 1
+    return whole, np.cumprod(powers), np.cumprod(inverse)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z in lower case. A word's bytes are the digits of a number that is read off running sums over the whole text; words that are
+    longer than LONG_WORD are hashed one by one."""
+    from xxhash import xxh3_64_intdigest
+
+    raw = (text or "").encode().lower()  # of bytes: A-Z alone
+    whole, powers, inverse = _tables()
+    data, found, lo = np.frombuffer(raw, np.uint8), [], 0
+    while lo < len(data):  # a piece of bounded size at a time, cut at a blank or, if need be, behind its word
+        hi = min(len(data), lo + PIECE)
+        if hi < len(data):
+            blanks = np.flatnonzero(_SPACE[data[lo:hi]])
+            if not len(blanks):
+                later = np.flatnonzero(_SPACE[data[hi:]])
+                end = hi + int(later[0]) if len(later) else len(data)
+                found.append(np.array([xxh3_64_intdigest(raw[lo:end])], np.uint64))
+                lo = end
+                continue
+            hi = lo + int(blanks[-1]) + 1
+        piece = data[lo:hi]
+        edge = np.diff(np.concatenate(([True], _SPACE[piece], [True])).astype(np.int8))
+        starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(whole[piece] * powers[: len(piece)])))
+        h = (sums[ends] - sums[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64) * _MIX
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            h[i] = xxh3_64_intdigest(raw[lo + starts[i] : lo + ends[i]])
+        found.append(h)
+        lo = hi
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """A text's set as sorted 64-bit hashes of runs of ``k`` words, or of all words if there are fewer."""
+    w = word_hashes(text)
+    if not len(w):
+        return w
+    k = min(k, len(w))
+    h = np.full(len(w) - k + 1, np.uint64(k))
+    for i in range(k):
+        h = (h ^ w[i : len(w) - k + 1 + i]) * _MIX
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
 @cache
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_231)
-    return rng.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, COORDINATES, np.uint64)
+    return rng.integers(0, 1 << 31, COORDINATES, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, COORDINATES, np.uint64).astype(np.uint32)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The least of COORDINATES functions over a set."""
     a, b = _functions()
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max)
-    for lo in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[lo : lo + 2048, None] * a + b).min(axis=0))
-    return (least >> np.uint64(32)).astype("<u4")
+    x, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
+    for lo in range(0, len(x), 512):
+        least = np.minimum(least, (x[lo : lo + 512, None] * a + b).min(axis=0))
+    return least.astype("<u4")
 
 
 def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,11 +120,10 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = shingler(k)
         for batch in batches:
             sizes, digests, sigs, lows, ends = [], [], [], [], [0]
             for text in batch.column(1):
-                s = own.shingles(text.as_py())
+                s = shingles(text.as_py(), k)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig = signature(s) if len(s) else np.empty(0, "<u4")
@@ -269,9 +291,8 @@ def full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_col
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = shingler(k)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([own.shingles(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())], names=[*batch.schema.names[1:], "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([shingles(t.as_py(), k).tobytes() for t in batch.column(0)], pa.binary())], names=[*batch.schema.names[1:], "shingles"])
 
     from pyspark.sql import types as T
 
@@ -295,22 +316,27 @@ def exact_links(docs: DataFrame, groups: DataFrame, k: int, threshold: tuple[int
     links = materialize(confirm_blocks(sets.withColumn("chunk", F.explode(to)), threshold), "mh-links")
     many = sets.where("chunks > 1")
     if many.isEmpty():
+        release(members, sets)
         return links
     # what isn't joined to the largest component of its group meets every block of it
     labels = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
-    many = materialize(many.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "mh-labelled")
-    parts = many.groupBy("component", "label").agg(F.count("*").alias("n"))
+    labelled = materialize(many.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "mh-labelled")
+    release(members, sets)
+    parts = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
     main = materialize(parts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("largest")).where("total > largest"), "mh-main")
     if main.isEmpty():
+        release(labelled, main)
         return links
-    many = many.join(main, "component").withColumn("rest", F.col("label") != F.col("main"))
+    many = labelled.join(main, "component").withColumn("rest", F.col("label") != F.col("main"))
     n_parts = F.ceil((F.col("total") - F.col("largest")) / CHUNK).cast("int")
     part = F.pmod(F.xxhash64("rep", F.lit(7)), n_parts).cast("int")
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     columns = ("component", "rep", "label", "shingles")
     blocks = many.select(*columns, F.lit(False).alias("rest"), chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"))
     rest = many.where("rest").select(*columns, F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part.alias("part"))
-    return links.unionAll(materialize(confirm_rest(blocks.unionAll(rest), threshold), "mh-links"))
+    more = materialize(confirm_rest(blocks.unionAll(rest), threshold), "mh-links")
+    release(labelled, main)
+    return links.unionAll(more)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
