@@ -117,3 +117,23 @@ def test_recall_where_every_node_is_crowded(spark):
     assert ends.select(F.size("nodes")).distinct().collect() == [(M.DEPTH,)]
     met = ends.groupBy("i", F.element_at("nodes", -1)).agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("i").distinct().count()
     assert met / n >= 0.995
+
+
+def test_words_are_told_apart_as_strings_are(monkeypatch):
+    """Equal hashes for equal words, others for others; pieces of any size, words that are longer than a piece."""
+    rng = random.Random(6)
+    texts = ["", None, " \t\n", "one", "a b\x0bc\x0cd\r\ne", "É é İ ı ẞ", "x" * 300 + " y " + "x" * 300, "\x1c\x85 a\u00a0b", "ab ba aab aba " * 50]
+    texts += [" ".join("".join(rng.choice("abAB1é") for _ in range(rng.randint(1, 90))) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    whole = [M.word_hashes(t) for t in texts]
+    seen, back = {}, {}
+    for t, found in zip(texts, whole):
+        words = (t or "").encode().lower().split()
+        assert len(words) == len(found)
+        for w, h in zip(words, found.tolist()):
+            assert seen.setdefault(w, h) == h and back.setdefault(h, w) == w
+    monkeypatch.setattr(M, "PIECE", 70)
+    M._tables.cache_clear()
+    try:
+        assert all((M.word_hashes(t) == w).all() for t, w in zip(texts, whole))
+    finally:
+        M._tables.cache_clear()
