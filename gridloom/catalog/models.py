@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.catalog import query
 from gridloom.operators import features, feedback, model, report
 from gridloom.plans.shared import materialize, workdir
-from gridloom.sources import binding, schema
+from gridloom.sources import binding, schema, tables
 from gridloom.sources.binding import CELLS, cells
 
 _FOUND = """found AS (SELECT {by} AS region, printf('Highest risk cell at (%.2f, %.2f) with %.0f%% probability', arg_max(lat, p6 * 1000000 - cell_id) FILTER (predicted = 1), arg_max(lon, p6 * 1000000 - cell_id) FILTER (predicted = 1), arg_max(p, p6 * 1000000 - cell_id) FILTER (predicted = 1) * 100) AS finding FROM cells GROUP BY 1 HAVING count(*) FILTER (predicted = 1) > 0
@@ -27,11 +27,18 @@ def grid_table(spark, d) -> DataFrame:
     return c.withColumn("tree_cover_2000_pct", F.col("tc10") / 10.0).withColumn("elevation_m", F.col("elev10") / 10.0).withColumn("annual_loss_rate_pct", rate).withColumn("high_risk", F.col("high_risk").cast("int"))
 
 
+#: Feature tables that this application has written, by the tables' folder.
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def feature_table(spark, d) -> DataFrame:
-    """Cells with all of the manifest's features that the tables give, written once."""
-    c = materialize(cells(spark, d).drop("p", "p6", "predicted"), "cells")
-    full = features.screening_features(c, binding.roads(spark, d), binding.areas(spark, d))
-    return materialize(full.withColumn("high_risk", F.col("high_risk").cast("int")), "features")
+    """Cells with all of the manifest's features that the tables give, written once for all queries of an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WRITTEN or not tables.exists(spark, _WRITTEN[key]._written_at):
+        c = materialize(cells(spark, d).drop("p", "p6", "predicted"), "cells")
+        full = features.screening_features(c, binding.roads(spark, d), binding.areas(spark, d))
+        _WRITTEN[key] = materialize(full.withColumn("high_risk", F.col("high_risk").cast("int")), "features")
+    return _WRITTEN[key]
 
 
 @query()
@@ -65,7 +72,7 @@ def retrain(spark, d):
 
 @query()
 def cross_region(spark, d):
-    return model.hold_out_region(grid_table(spark, d), "ASIA", SMALL)
+    return model.hold_out_region(feature_table(spark, d), "ASIA", REQUEST)
 
 
 @query()
