@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.plans.shared import materialize, release
@@ -13,11 +13,10 @@ FEW_EDGES = 500_000
 
 
 def _written(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
-    """``edges`` written, and a digest of them that the writing job takes: their number and a sum of hashes."""
-    seen = Observation()
-    digest = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
-    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("s")), "cc-edges", rows)
-    return table, (seen.get["n"], seen.get["s"])
+    """``edges`` written, and a digest of them: their number and a sum of hashes."""
+    table = materialize(edges, "cc-edges", rows)
+    row = table.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
+    return table, (row.n, row.s)
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
