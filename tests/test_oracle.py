@@ -42,3 +42,10 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_queries_without_sql_run(spark, name):
+    """What models learn has no SQL; their properties are tested elsewhere, that the queries run is tested here."""
+    found = catalog.queries()[name](spark, SF)
+    assert found.columns and found.count() >= 0
