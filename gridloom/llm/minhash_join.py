@@ -34,6 +34,8 @@ from gridloom.plans.shared import materialize, release
 COORDINATES, DEPTH, SMALL, CHUNK, PIVOTS = 128, 6, 64, 256, 4
 #: Bytes of text that are hashed at once, and of a word that is hashed with the others.
 PIECE, LONG_WORD = 1 << 17, 64
+#: Rows of small nodes that are compared at once.
+COMPARED = 1 << 14
 #: Share of the pairs at the threshold that the trees bring together, if all of a pair's nodes are crowded down to DEPTH.
 RECALL = 0.999
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -172,11 +174,6 @@ def _edges(pairs: list) -> object:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
 
-def _alike(mine: np.ndarray, all_: np.ndarray) -> np.ndarray:
-    """Estimated similarity of an 8-bit signature to others; chance agreement is taken off."""
-    return ((all_ == mine).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
-
-
 def trees_for(threshold: float) -> int:
     """The least number of trees that miss a pair at the threshold with probability 1 - RECALL or less, however crowded its nodes are."""
     once = threshold**DEPTH
@@ -211,21 +208,50 @@ def loose_edges(classes: DataFrame, threshold: float) -> DataFrame:
     return materialize(found, "mh-loose-edges")
 
 
+def alike_neighbours(node: np.ndarray, low: np.ndarray, loose: float) -> Iterator[tuple[int, int]]:
+    """Positions of a spanning forest of the alike pairs inside nodes, of rows in order of node: every row with the first, second, third ... behind it, all rows at once."""
+    forest, at, lag = Forest(len(node)), np.arange(len(node)), 0
+    while True:
+        lag += 1
+        at = at[: np.searchsorted(at, len(node) - lag)]
+        at = at[node[at] == node[at + lag]]
+        if not len(at):
+            return
+        for lo in range(0, len(at), 1 << 15):
+            mine = at[lo : lo + (1 << 15)]
+            same = (low[mine] == low[mine + lag]).mean(axis=1)
+            for i in mine[(same - 1 / 256) / (1 - 1 / 256) >= loose].tolist():  # chance agreement is taken off
+                if forest.join(i, i + lag):
+                    yield i, i + lag
+
+
 def _compare_small(rows: DataFrame, loose: float) -> DataFrame:
-    def run(table):
+    """(a, b): the alike pairs of rows (rep, node, low) inside nodes, as spanning forests."""
+
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        n = table.num_rows
-        reps = table.column("rep").to_pylist()
-        sig = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(n, COORDINATES)
-        forest, pairs = Forest(n), []
-        for i in range(1, n):
-            for j in np.flatnonzero(_alike(sig[i], sig[:i]) >= loose).tolist():
-                if forest.join(i, j):
-                    pairs.append((reps[i], reps[j]))
-        return pa.Table.from_batches([_edges(pairs)])
+        def edges(table):
+            node, rep = (table.column(c).to_numpy() for c in ("node", "rep"))
+            low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            return _edges([(rep[i], rep[j]) for i, j in alike_neighbours(node, low, loose)])
 
-    return rows.select("node", "rep", "low").groupBy("node").applyInArrow(run, "a long, b long")
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= COMPARED:  # the last node may go on
+                table = pa.Table.from_batches(held)
+                node = table.column("node").to_numpy()
+                whole = int(np.searchsorted(node, node[-1]))
+                yield edges(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+                size -= whole
+        if size:
+            yield edges(pa.Table.from_batches(held))
+
+    ordered = rows.select("node", "rep", "low").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(tidied(run), "a long, b long")
 
 
 def _intersections(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:

@@ -57,7 +57,7 @@ def test_links_by_brute_force(spark, tmp_path, k, threshold):
 
 def test_large_group_is_cut_into_blocks(spark, tmp_path, monkeypatch):
     """Small limits drive a group through deep trees, several blocks with pivots, and the pass over what pivots don't reach."""
-    for name, value in (("SMALL", 4), ("DEPTH", 2), ("CHUNK", 8), ("PIVOTS", 1)):
+    for name, value in (("SMALL", 4), ("DEPTH", 2), ("CHUNK", 8), ("PIVOTS", 1), ("COMPARED", 3)):
         monkeypatch.setattr(M, name, value)
     rows = near_rows(3, 40, seed=2)
     bridge = [(len(rows) + i, t) for i, (_, t) in enumerate(rows[:40:9])]
@@ -137,3 +137,23 @@ def test_words_are_told_apart_as_strings_are(monkeypatch):
         assert all((M.word_hashes(t) == w).all() for t, w in zip(texts, whole))
     finally:
         M._tables.cache_clear()
+
+
+def test_alike_neighbours_by_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    node = np.sort(rng.integers(0, 40, 300))
+    base = rng.integers(0, 256, (8, M.COORDINATES))
+    low = np.where(rng.random((300, M.COORDINATES)) < 0.12, rng.integers(0, 256, (300, M.COORDINATES)), base[rng.integers(0, 8, 300)]).astype(np.uint8)
+
+    def groups(pairs):
+        forest = M.Forest(300)
+        for i, j in pairs:
+            forest.join(i, j)
+        return [forest.root(i) for i in range(300)]
+
+    every = [(i, j) for j in range(300) for i in range(j) if node[i] == node[j] and ((low[i] == low[j]).mean() - 1 / 256) / (1 - 1 / 256) >= 0.7]
+    got = list(M.alike_neighbours(node, low, 0.7))
+    assert every and len(got) < len(every) and groups(got) == groups(every)
+    assert list(M.alike_neighbours(node[:0], low[:0], 0.7)) == []
