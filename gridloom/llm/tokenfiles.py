@@ -17,7 +17,6 @@ import os
 import re
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import cache
 
@@ -86,10 +85,9 @@ class ByteLevelEncoder:
         if not missing:
             return b"".join(map(known.__getitem__, pieces))
         new = self._learn(list(set(missing)))
-        if len(self.known) < self.max_cache:
-            self.known |= {x: ids for x, ids in new.items() if len(x) <= LONG_PIECE}
-        new = ChainMap(new, self.known)
-        return b"".join(map(new.__getitem__, pieces))
+        if len(known) < self.max_cache:
+            known |= {x: ids for x, ids in new.items() if len(x) <= LONG_PIECE}
+        return b"".join([known.get(x) or new[x] for x in pieces])  # no piece is without ids
 
 
 @cache
