@@ -16,6 +16,7 @@ MODULES = {
     "op7_media_avi": ("media_avi", "op7_media_avi"),
     "op1_warc": ("warc", "op1_warc"),
     "op5_token_files": ("tokenfiles", "op5_token_files"),
+    "op12_token_counts": ("token_counts", "op12_token_counts"),
 }
 
 

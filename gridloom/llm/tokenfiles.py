@@ -44,6 +44,11 @@ def _odd(text: str) -> bool:
     return any(c in text for c in _ODD_ASCII) if text.isascii() else bool(_ODD.search(text))
 
 
+def cut_by_pattern(text: str) -> list[str] | None:
+    """The pre-tokenizer's pieces of a text, or None where only the library can tell them."""
+    return None if _odd(text) else _PIECE.findall(text)
+
+
 class ByteLevelEncoder:
     """Texts to little-endian uint32 ids. A byte-level model never merges across the pieces that its pre-tokenizer cuts,
     but it looks for added tokens in the whole text first, so a text that holds one goes to the library whole. Of others,
