@@ -16,7 +16,9 @@ MODULES = {
     "op7_media_avi": ("media_avi", "op7_media_avi"),
     "op1_warc": ("warc", "op1_warc"),
     "op5_token_files": ("tokenfiles", "op5_token_files"),
+    "op11_turn_repair": ("turn_repair", "op11_turn_repair"),
     "op12_token_counts": ("token_counts", "op12_token_counts"),
+    "op13_source_divergence": ("divergence", "op13_source_divergence"),
 }
 
 
@@ -25,6 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridloom.llm import minhash_join, vector_join, warc
+    from gridloom.llm import divergence, minhash_join, turn_repair, vector_join, warc
 
-    return {"op1_warc": warc.OP1_SQL, "op6_vector_join": vector_join.OP6_SQL, "op9_minhash": minhash_join.OP9_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_vector_join": vector_join.OP6_SQL, "op9_minhash": minhash_join.OP9_SQL, "op11_turn_repair": turn_repair.OP11_SQL, "op13_source_divergence": divergence.OP13_SQL}
