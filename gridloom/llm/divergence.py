@@ -8,40 +8,67 @@ time, so a row's memory grows with the number of sources and not with its square
 A language's list of sources is one row's array; the report has a row for each ordered pair of them, so their number bounds both.
 
 Defined results: a null text, language or source is the empty string, and such groups are groups like others; a group without terms gives every term count 0; a language without common terms has pairs of value 0
-and no terms; repeated rows, and rows that share an id, are documents each; equal values go by the item's UTF-8 bytes; a very long text is one row's array of terms; an empty table gives none; other columns, whatever their
+and no terms; repeated rows, and rows that share an id, are documents each; equal values go by the item's UTF-8 bytes; a very long text is read whole by one task; an empty table gives none; other columns, whatever their
 names, aren't looked at.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.files import text_batches, tidied
 from gridloom.plans.shared import materialize, small_side
 
 #: Documents of a language that must hold a term; the shares' unit; what each count is raised by; terms reported of a group.
 MIN_DOCS, UNIT, SMOOTH, TOP_TERMS = 10, 1_000_000_000, 2, 10
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms_of(text: Column) -> Column:
-    """All terms of a text, in order; only A-Z change their case."""
-    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(lower, F.lit(_TERM), F.lit(0))
-
-
-def term_vectors(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, total, counts array<struct<source, n>>) of the terms that at least ``min_docs`` documents of the language hold. A document's terms are laid out once for each
-    occurrence and once, behind a NUL, which no term has, for the document; so one count gives both numbers."""
-    mark = F.lit("\0")
-    found = docs.select("lang", "source", terms_of(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    keys = found.select("lang", "source", F.explode(F.concat("terms", F.transform(F.array_distinct("terms"), lambda t: F.concat(mark, t)))).alias("key"))
-    counted = keys.groupBy("lang", "source", "key").agg(F.count("*").alias("n"))
-    is_doc = F.startswith("key", mark)
-    term = F.when(is_doc, F.substring("key", 2, 1 << 30)).otherwise(F.col("key"))
-    counts = F.collect_list(F.when(~is_doc, F.struct("source", "n")))
-    wide = counted.groupBy("lang", term.alias("term")).agg(F.sum(F.when(is_doc, F.col("n")).otherwise(0)).alias("docs"), F.sum(F.when(is_doc, 0).otherwise(F.col("n"))).alias("total"), counts.alias("counts"))
+#: A term's bytes in UTF-8, A-Z in lower case: ASCII letters, and all bytes of characters beyond ASCII.
+_TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Terms that a task holds before it hands their counts on.
+HELD = 250_000
+COUNTS = "lang string, source string, term string, n long, docs long"
+
+
+def _count_terms(batches: Iterator, most: int) -> Iterator:
+    """(lang, source, term, occurrences, documents) of batches (lang, source, text as bytes), as often as ``most`` terms have come together."""
+    import pyarrow as pa
+
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def flush() -> Iterator:
+        for (lang, source), (n, docs) in held.items():
+            terms = list(n)
+            columns = [pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, terms), pa.int64())]
+            for at in range(0, len(terms), 50_000):
+                part = [c.slice(at, 50_000) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part[0])), pa.repeat(source, len(part[0])), *part], names=["lang", "source", "term", "n", "docs"])
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+            terms = _TERM.findall(text.lower())  # of bytes: A-Z alone
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            size -= len(n)
+            n.update(terms)
+            docs.update(set(terms))
+            size += len(n)
+            if size >= most:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def term_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, held: int = HELD) -> DataFrame:
+    """(lang, term, total, counts array<struct<source, n>>) of the terms that at least ``min_docs`` documents of the language hold."""
+    found = text_batches(docs.select("lang", "source", F.encode("text", "UTF-8")), tidied(partial(_count_terms, most=held)), COUNTS)
+    counted = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    wide = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("counts"))
     return wide.where(F.col("docs") >= min_docs).select("lang", "term", "total", "counts")
 
 
@@ -64,12 +91,12 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
+def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, held: int = HELD) -> DataFrame:
     """(lang, source, part, item, value, rank). ``pair``: the item is another source of the language, the value their divergence over all terms.
     ``term``: the item is a term that the source uses more than its language does, the value its contribution; the ``top_terms`` largest."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     docs = docs.select(blank("lang"), blank("source"), blank("text"))
-    vectors = materialize(term_vectors(docs, min_docs), "terms")
+    vectors = materialize(term_vectors(docs, min_docs, held), "terms")
     facts = materialize(language_facts(docs, vectors), "term-facts")
     bytes_ = F.aggregate("sources", F.lit(0), lambda s, x: s + 48 + F.octet_length(x["source"]))
     rows = vectors.join(small_side(facts, bytes_), "lang")

@@ -7,7 +7,7 @@ import pytest
 from gridloom.llm import divergence
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans(divergence._UPPER, divergence._LOWER)
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def brute(rows, min_docs, top=10):
@@ -66,6 +66,11 @@ def test_case_and_characters(spark):
     assert {r.term for r in divergence.term_vectors(docs, min_docs=2).collect()} == {"É", "é", "kelvin", "K", "ß", "ab", "c", "d"}
 
 
+def test_counts_handed_on_in_parts(spark, edge_dir, edge_rows):
+    got = divergence.source_divergence(spark.read.parquet(f"{edge_dir}/documents.parquet"), 2, held=50)
+    assert sorted(map(tuple, got.collect())) == brute([(t, lang, s) for _, t, lang, s in edge_rows], 2)
+
+
 def test_empty(spark, empty_dir):
     assert divergence.op13_source_divergence(spark, empty_dir).count() == 0
 
