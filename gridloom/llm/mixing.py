@@ -106,14 +106,26 @@ def number_words(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     rows = sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["name"])).drop("name")
     # rows of no words take no place, so they are dealt out freely
     spread = F.when(F.col("size") > 0, F.xxhash64("doc_id", "size", "tie")).otherwise(F.xxhash64("row"))
-    rows = rows.withColumn("bucket", F.pmod(spread, F.col("buckets")))
-    crowded = rows.groupBy("src", "bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > 8 * BUCKET)
-    crowded = materialize(crowded.select("src", "bucket", F.ceil(F.col("rows") / BUCKET).alias("parts")), "mix-crowded", 1)
-    rows = rows.join(small_side(crowded), ["src", "bucket"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))).drop("parts")
-    sums = rows.groupBy("src", "bucket", "part").agg(F.sum("size").alias("sum"))
-    base = sums.withColumn("base", F.coalesce(F.sum("sum").over(Window.partitionBy("src").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
-    own = Window.partitionBy("src", "bucket", "part").orderBy("doc_id", "size", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum("size").over(own), F.lit(0))).join(base, ["src", "bucket", "part"]).withColumn("start", F.col("start") + F.col("base")).drop("bucket", "part", "base", "buckets")
+    rows = rows.withColumns({"spread": spread, "bucket": F.pmod(spread, F.col("buckets"))})
+    # what crowds a bucket is rows that are equal in all that counts; which buckets and rows those are doesn't depend on how rows are numbered
+    filled = rows.where("size > 0")
+    crowded = materialize(filled.groupBy("src", "bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > 8 * BUCKET).select("src", "bucket"), "mix-crowded", 1)
+    key = ["src", "bucket", "spread", "doc_id", "size", "tie"]
+    heavy = filled.join(small_side(crowded), ["src", "bucket"], "left_semi").groupBy(*key).agg(F.count("*").alias("copies")).where(F.col("copies") > BUCKET)
+    heavy = materialize(heavy.select(*(F.col(c).alias(f"h_{c}") for c in key), F.ceil(F.col("copies") / BUCKET).alias("parts")), "mix-heavy", 1)
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"h_{c}"))
+    # a heavy row's copies have a run of their own, cut into parts; they are alike, so it doesn't matter which copy stands in which part
+    rows = rows.join(small_side(heavy), same, "left")
+    rows = rows.withColumns({"run": F.when(F.col("parts").isNotNull(), F.col("spread")).otherwise(0), "part": F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")) + 1, F.lit(0))})
+    rows = rows.drop("parts", "spread", *(f"h_{c}" for c in key))
+    place = ["src", "bucket", "run", "part"]
+    sums = rows.groupBy(*place).agg(F.sum("size").alias("sum"))
+    base = sums.withColumn("base", F.coalesce(F.sum("sum").over(Window.partitionBy("src").orderBy(*place[1:]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
+    own = Window.partitionBy(*place).orderBy("doc_id", "size", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("size").over(own), F.lit(0))).join(base, place).withColumn("start", F.col("start") + F.col("base"))
+    return rows.drop(*place[1:], "base", "buckets")
 
 
 def draw_shard(slots: list[int], shards: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,17 +232,22 @@ class Mix:
     numbered: DataFrame
     slots: DataFrame
     block: int
+    rows: DataFrame | None
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, seed: int = 42) -> Mix:
-    """Plan the mix of ``docs`` (doc_id, source, text)."""
-    spark = docs.sparkSession
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, seed: int = 42, sizes_only: bool = False) -> Mix:
+    """Plan the mix of ``docs`` (doc_id, source, text). The rows are written with their numbers, for ``mixed_documents``; with ``sizes_only`` their sizes alone are."""
+    spark, rows = docs.sparkSession, None
+    number = F.monotonically_increasing_id()
+    if not sizes_only:
+        rows = materialize(docs.select(F.struct("*").alias("whole"), number.alias("number")), "mix-rows")
+        docs, number = rows.select(*(F.col("whole")[c].alias(c) for c in ("doc_id", "source", "text")), "number"), F.col("number")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("text").alias("tie"))
-    sizes = materialize(sizes.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")  # written: a row keeps its number
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("text").alias("tie"), number.alias("row"))
+    sizes = materialize(sizes, "mix-sizes")  # written: a row keeps its number
     sources = read_sources(sizes, weights, share, cap, block)
     table = spark.createDataFrame([(i, s.name, s.size, s.target, -(-s.rows // BUCKET)) for i, s in enumerate(sources)], "src int, name string, source_size long, target double, buckets long")
-    return Mix(sources, number_words(sizes, table), map_slots(spark, sources, seed), block)
+    return Mix(sources, number_words(sizes, table), map_slots(spark, sources, seed), block, rows)
 
 
 def mixture(mix: Mix) -> DataFrame:
@@ -255,20 +272,18 @@ def taken_words(mix: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    """Rows of ``docs``, one for each pass over a document: a whole pass keeps the text as it is, a partial pass keeps the words that it takes,
-    each run of words as it stands in the text, runs joined by a line end. Rows that agree in id, source and text share their cuts."""
+    """Rows of ``docs``, which ``mix`` was planned for, one for each pass over a document: a whole pass keeps the text as it is, a partial pass keeps the words that it takes,
+    each run of words as it stands in the text, runs joined by a line end. Rows that repeat have cuts of their own."""
+    if mix.rows is None:
+        raise ValueError("the mix was planned for sizes only")
     passes = [s.words // s.size if s.size else 0 for s in mix.sources]
-    table = docs.sparkSession.createDataFrame([(i, s.name, p) for i, (s, p) in enumerate(zip(mix.sources, passes))], "__src int, __name string, __passes int")
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("__source"), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__tie"))
-    rows = rows.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__name")))
-    limits = docs.sparkSession.createDataFrame(list(enumerate(passes)), "src int, passes int")
-    partial = mix.slots.join(F.broadcast(limits), "src").where(F.col("pass") >= F.col("passes")).select("src", "block", "take")
-    pieces = cut_blocks(mix.numbered.where("size > 0"), mix.block, "tie").join(partial, ["src", "block"])
+    table = docs.sparkSession.createDataFrame([(i, s.name, p) for i, (s, p) in enumerate(zip(mix.sources, passes))], "src int, name string, passes int")
+    rows = mix.rows.join(F.broadcast(table), F.col("whole.source").eqNullSafe(F.col("name"))).select(F.col("whole").alias("row"), "number", F.col("passes").alias("__passes"))
+    partial = mix.slots.join(F.broadcast(table.select("src", "passes")), "src").where(F.col("pass") >= F.col("passes")).select("src", "block", "take")
+    pieces = cut_blocks(mix.numbered.where("size > 0"), mix.block).join(partial, ["src", "block"])
     n = F.least("n", F.col("take") - F.col("at"))
-    cuts = pieces.where(n > 0).groupBy("src", "doc_id", "tie", "start").agg(F.sort_array(F.collect_list(F.struct("first", n.alias("n")))).alias("cuts"))
-    cuts = materialize(cuts.groupBy("src", "doc_id", "tie").agg(F.min_by("cuts", "start").alias("__cuts")), "mix-cuts")
-    cuts = cuts.select(F.col("src").alias("__s"), F.col("doc_id").alias("__d"), F.col("tie").alias("__t"), "__cuts")
-    joined = rows.join(cuts, (F.col("__src") == F.col("__s")) & F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__tie") == F.col("__t")), "left")
+    cuts = pieces.where(n > 0).groupBy(F.col("row").alias("of")).agg(F.sort_array(F.collect_list(F.struct("first", n.alias("n")))).alias("__cuts"))
+    joined = rows.join(cuts, F.col("number") == F.col("of"), "left")
 
     def run(batches: Iterator) -> Iterator:
         import re
@@ -307,4 +322,4 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return taken_words(plan_mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return taken_words(plan_mix(docs, sizes_only=True)).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -140,3 +140,33 @@ def test_crowded_buckets_are_cut(spark, monkeypatch):
     assert [s for s, _ in starts] == np.concatenate(([0], np.cumsum([n for _, n in starts])[:-1])).tolist()
     got = mixing.taken_words(mix).collect()
     assert len(got) == 250 and sum(r.taken for r in got) == round(1.5 * sum(n for _, n in starts))
+
+
+def test_reruns_agree_however_rows_are_split(spark, monkeypatch):
+    """Crowded buckets hold other rows beside the crowd; neither splits nor order may tell what is taken of them."""
+    monkeypatch.setattr(mixing, "BUCKET", 4)
+    rows = [(None, "the same text", "a")] * 300 + [(3, "three words here", "a")] * 90 + [(i % 40, " ".join(["w"] * (i % 7)), "a") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    results = []
+    for parts in (1, 5, 16):
+        mix = mixing.plan_mix(docs.repartition(parts), share=0.7, block=16)
+        results.append(Counter((r.doc_id, r["size"], r.taken) for r in mixing.taken_words(mix).collect()))
+        starts = sorted((r.start, r["size"]) for r in mix.numbered.where("size > 0").collect())
+        assert [s for s, _ in starts] == np.concatenate(([0], np.cumsum([n for _, n in starts])[:-1])).tolist()
+    assert results[0] == results[1] == results[2] and len(results[0]) > 30
+
+
+@pytest.mark.parametrize("ids", [None, 5])
+def test_repeated_rows_are_mixed_to_the_target(spark, ids):
+    """Rows alike in all have cuts of their own: a partial pass takes the target's words, not each copy's share of the first's."""
+    rows = [(ids, " ".join(f"{s}{j}" for j in range(100)), s) for s in "ab" for _ in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.plan_mix(docs, weights=(1, 1), share=0.5)
+    sums = Counter()
+    for r in mixing.mixed_documents(docs, mix).collect():
+        sums[r.source] += size(r.text)
+    assert sums == {"a": 300, "b": 300}
+    taken = Counter()
+    for r in mixing.taken_words(mix).collect():
+        taken[r.source] += r.taken
+    assert taken == sums
