@@ -9,7 +9,7 @@ from gridloom.functions import geo, scores
 from gridloom.operators import build, features, registry, report, spatial
 from gridloom.plans.shared import materialize, workdir
 from gridloom.sources import binding, schema, tables
-from gridloom.sources.binding import CELLS, cells
+from gridloom.sources.binding import AREAS, CELLS, cells
 
 
 @query("SELECT n.region, count(*) AS cells, CAST(sum(c.predicted) AS BIGINT) AS high, CAST(sum(n.loss) AS BIGINT) AS neighbor_losses FROM (SELECT a.region, a.cell_id, CAST(coalesce(sum(b.pre_period_loss), 0) AS BIGINT) AS loss FROM km a LEFT JOIN km b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 15.0 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 0 GROUP BY 1, 2) n JOIN cells c USING (cell_id) GROUP BY 1", CELLS)
@@ -71,15 +71,23 @@ def tile_center(spark, d):
     return cells(spark, d).select(x.alias("x"), y.alias("y")).distinct().select("x", "y", F.round(lat * 1e4).cast("long").alias("lat4"), F.round(lon * 1e4).cast("long").alias("lon4"))
 
 
-@query("SELECT x, y FROM (SELECT CAST(trunc((117.2 + 180.0) / 360.0 * 4096.0) AS BIGINT) AS x0, CAST(trunc((120.3 + 180.0) / 360.0 * 4096.0) AS BIGINT) AS x1, CAST(trunc((1.0 - ln(tan(radians(12.3)) + 1.0 / cos(radians(12.3))) / pi()) / 2.0 * 4096.0) AS BIGINT) AS y0, CAST(trunc((1.0 - ln(tan(radians(8.5)) + 1.0 / cos(radians(8.5))) / pi()) / 2.0 * 4096.0) AS BIGINT) AS y1), LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) ORDER BY x, y LIMIT 100")
+_TILE_X = "CAST(trunc(({0} + 180.0) / 360.0 * 4096.0) AS BIGINT)"
+_TILE_Y = "CAST(trunc((1.0 - ln(tan(radians({0})) + 1.0 / cos(radians({0}))) / pi()) / 2.0 * 4096.0) AS BIGINT)"
+
+
+@query(f"SELECT way_id AS name, x, y FROM (SELECT way_id, {_TILE_X.format('x0')} AS a, {_TILE_X.format('x1')} AS b, {_TILE_Y.format('y1')} AS c, {_TILE_Y.format('y0')} AS d FROM area_boxes), LATERAL (SELECT unnest(range(a, b + 1)) AS x), LATERAL (SELECT unnest(range(c, d + 1)) AS y) QUALIFY row_number() OVER (PARTITION BY way_id ORDER BY x, y) <= 100", AREAS)
 def tile_cover(spark, d):
-    return spatial.tiles_of_box(spark, 8.5, 12.3, 117.2, 120.3)
+    """Tiles of each protected area's box."""
+    lon, lat = (F.transform("ring", lambda p: p[c]) for c in ("lon", "lat"))
+    boxes = binding.areas(spark, d).select(F.col("way_id").alias("name"), F.array_min(lat).alias("lat_min"), F.array_max(lat).alias("lat_max"), F.array_min(lon).alias("lon_min"), F.array_max(lon).alias("lon_max"))
+    return spatial.tiles_of_boxes(boxes)
 
 
-@query("SELECT i AS cell_id, i // 75 AS rw, i % 75 AS col, 15.5::DOUBLE + (i // 75) * 0.02::DOUBLE AS lat, 121.0::DOUBLE + (i % 75) * 0.02::DOUBLE AS lon FROM range(0, 7500) t(i)")
+@query("SELECT region AS name, rw, col, lat0 + rw * 0.04::DOUBLE AS lat, lon0 + col * 0.04::DOUBLE AS lon FROM (SELECT region, min(lat) AS lat0, min(lon) AS lon0, CAST(ceil((max(lat) - min(lat)) / 0.04::DOUBLE) AS BIGINT) AS n, CAST(ceil((max(lon) - min(lon)) / 0.04::DOUBLE) AS BIGINT) AS m FROM cells GROUP BY 1), LATERAL (SELECT unnest(range(0, n)) AS rw), LATERAL (SELECT unnest(range(0, m)) AS col)", CELLS)
 def grid_generate(spark, d):
-    name, *box = schema.REGIONS[1]
-    return spatial.grid(spark, *box)
+    """A coarser grid over each region's bounds."""
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("lat", "lon") for f in (F.min, F.max)]
+    return spatial.grids_of_boxes(cells(spark, d).groupBy(F.col("region").alias("name")).agg(*ends), 0.04)
 
 
 @query("""SELECT cell_id, CAST(floor(degrees(atan(sqrt(zx * zx + zy * zy))) * 100 + 0.5) AS BIGINT) AS slope100 FROM (SELECT c.cell_id, coalesce((coalesce(e.elev10, c.elev10) - coalesce(w.elev10, c.elev10)) / 10.0 / (2.0 * 2226.4 * cos(radians(c.lat))), 0.0) AS zx, (coalesce(n.elev10, c.elev10) - coalesce(s.elev10, c.elev10)) / 10.0 / (2.0 * 2226.4) AS zy
@@ -125,9 +133,10 @@ def cell_rectangle(spark, d):
     return report.cell_rectangle(cells(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('palawan', 'Palawan'), ('sierra_madre', 'Sierra Madre'), ('mindanao_bukidnon', 'Mindanao Bukidnon')) t(region, title)")
+@query("SELECT replace(n_name, ' ', '_') AS region, list_aggregate(list_transform(string_split(lower(replace(n_name, '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS title FROM nation")
 def region_names(spark, d):
-    return schema.regions(spark).select("region", scores.display_name(F.col("region")).alias("title"))
+    regions = binding.table(spark, d, "nation").select(F.translate("n_name", " ", "_").alias("region"))
+    return regions.select("region", scores.display_name(F.col("region")).alias("title"))
 
 
 @query("SELECT cell_id, CAST(floor(1.0::DOUBLE / (1.0::DOUBLE + exp(-(-2.0::DOUBLE + 0.3::DOUBLE * (loss_year / 4.0::DOUBLE) + -0.01::DOUBLE * rw + 0.005::DOUBLE * col + -0.003::DOUBLE * (elev10 / 10.0::DOUBLE) + -0.8::DOUBLE * (block % 2) + -0.01::DOUBLE * (tc10 / 100.0::DOUBLE) + 0.02::DOUBLE * (rw / 10.0::DOUBLE)))) * 1e6 + 0.5) AS BIGINT) AS score6 FROM cells", CELLS)
@@ -188,9 +197,11 @@ def temporal_totals(spark, d):
     return report.loss_totals(cells(spark, d), "tc10").select("total_losses", "high_risk", F.floor(F.col("mean_rate") * 1e4 + 0.5).alias("rate4"))
 
 
-@query("SELECT y + 2000 AS year, greatest(0, CAST(trunc(1.25 / 100.0 * 1500 * (1.0 + 0.02 * (y - 1))) AS BIGINT)) AS losses FROM (SELECT i::DOUBLE AS yd, i AS y FROM range(1, 23) t(i))")
+@query("SELECT region, y + 2000 AS year, greatest(0, CAST(trunc(rate / 100.0::DOUBLE * n * (1.0::DOUBLE + 0.02::DOUBLE * (y - 1))) AS BIGINT)) AS losses FROM (SELECT region, 100.0::DOUBLE * CAST(sum(pre_period_loss) AS BIGINT) / count(*) / 19.0::DOUBLE AS rate, count(*) AS n FROM cells GROUP BY 1), range(1, 23) t(y)", CELLS)
 def temporal_estimate(spark, d):
-    return report.estimated_losses(spark, 1.25, 1500)
+    """Each region's history as its rate and number of cells would have it."""
+    lost = cells(spark, d).groupBy("region").agg(F.sum("pre_period_loss").alias("lost"), F.count("*").alias("cells"))
+    return report.estimated_losses(lost.select("region", (100.0 * F.col("lost") / F.col("cells") / 19.0).alias("rate_pct"), "cells"))
 
 
 @query("SELECT region, count(*) AS cells, CAST(sum(predicted) AS BIGINT) AS high, CAST(count(*) - sum(predicted) AS BIGINT) AS low, 100.0::DOUBLE * CAST(sum(predicted) AS BIGINT) / count(*) AS high_pct, CAST(sum(predicted) AS BIGINT) * (2.2::DOUBLE * 2.2::DOUBLE * 100.0::DOUBLE) AS hectares FROM cells GROUP BY 1", CELLS)
@@ -208,11 +219,11 @@ def top_cell(spark, d):
     return cells(spark, d).groupBy("region").agg(F.max_by("cell_id", F.struct(F.col("p6"), -F.col("cell_id"))).alias("cell_id"), F.max("p6").alias("p6"))
 
 
-@query("SELECT CAST(place AS BIGINT) AS place, feature FROM (VALUES (0, 'tree_cover_2000_pct'), (1, 'elevation_m'), (2, 'slope_deg'), (7, 'annual_loss_rate_pct')) t(place, feature)")
+@query("SELECT cell_id, tc10 / 10.0::DOUBLE AS tree_cover_2000_pct, elev10 / 10.0::DOUBLE AS elevation_m, pre_period_loss * 2 + 0.5::DOUBLE AS annual_loss_rate_pct FROM cells", CELLS)
 def manifest_projection(spark, d):
-    """Allowed features that a table has, in manifest order."""
-    names = schema.available_features(spark.createDataFrame([], "slope_deg double, loss_year int, elevation_m double, high_risk int, tree_cover_2000_pct double, annual_loss_rate_pct double"))
-    return schema.manifest(spark).where(F.col("feature").isin(names)).select("place", "feature")
+    """Cells with the allowed features that their table has, in manifest order; the table has features of the target's time too."""
+    c = cells(spark, d).withColumns({"annual_loss_rate_pct": F.col("pre_period_loss") * 2 + F.lit(0.5), "elevation_m": F.col("elev10") / 10.0, "tree_cover_2000_pct": F.col("tc10") / 10.0})
+    return schema.project_features(c, "cell_id")
 
 
 @query("SELECT cell_id, land, has_loss, year AS loss_year, CASE WHEN cover > 0 THEN 450 + cell_id % 500 WHEN alpha > 0 THEN 250 ELSE 0 END AS tc10 FROM (SELECT *, alpha > 0 OR cover > 0 AS land, alpha > 0 AND red > 0 AS has_loss, CASE WHEN alpha > 0 AND red > 0 THEN loss_year ELSE 0 END AS year FROM (SELECT cell_id, loss_year, cell_id % 3 AS alpha, CASE WHEN loss_year > 0 THEN 255 ELSE 0 END AS red, cell_id % 4 AS cover FROM cells)) WHERE land", CELLS)
@@ -233,9 +244,9 @@ def column_rewrite(spark, d):
 
 @query("SELECT c.rw, c.cell_id, coalesce(s.elev10, 0) AS elev10 FROM cells c LEFT JOIN cells s ON c.cell_id = s.cell_id AND s.tc10 > 300", CELLS)
 def elevation_lookup(spark, d):
-    """A batch service's answers by rounded coordinates, 0 where it has none: it knows the places of some tree cover."""
+    """A batch service's answers by rounded coordinates, 0 where it has none: of places of little tree cover it knows no elevation."""
     c = cells(spark, d)
-    served = c.where("tc10 > 300").select("lat", "lon", F.col("elev10").alias("elev"))
+    served = c.select("lat", "lon", F.when(F.col("tc10") > 300, F.col("elev10")).alias("elev"))
     return tables.lookup_rounded(c.select("rw", "cell_id", "lat", "lon"), served, "elev", 3).select("rw", "cell_id", F.col("elev").cast("long").alias("elev10"))
 
 
@@ -243,7 +254,7 @@ def elevation_lookup(spark, d):
 def population_lookup(spark, d):
     """People a hectare by rounded coordinates, told by the square kilometre."""
     c = cells(spark, d)
-    served = c.where("tc10 > 300").select("lat", "lon", F.col("tc10").cast("double").alias("population"))
+    served = c.select("lat", "lon", F.when(F.col("tc10") > 300, F.col("tc10").cast("double")).alias("population"))
     return tables.lookup_population(c.select("cell_id", "lat", "lon"), served).select("cell_id", F.col("population").cast("long").alias("people"))
 
 

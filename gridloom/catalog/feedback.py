@@ -101,12 +101,11 @@ def run_compare(spark, d):
     return registry.compare_runs(registry.list_runs(spark, root), *ids)
 
 
-@query("SELECT name, value FROM (VALUES ('least', '500000'), ('depth', '10')) t(name, value)")
+@query("SELECT p_partkey AS run_id, name, value FROM (SELECT p_partkey, CAST(p_size AS VARCHAR) AS depth, p_brand AS model FROM part) UNPIVOT (value FOR name IN (depth, model))")
 def run_parameters(spark, d):
-    """A run's parameters, kept as JSON, as rows."""
-    root = workdir(spark, "runs")
-    registry.save_run(spark, root, {"least": 500_000, "depth": 10}, {}, [])
-    return registry.run_params(registry.list_runs(spark, root)).select("name", "value")
+    """The parameters of runs, kept as JSON, as rows: a run for each part."""
+    runs = binding.table(spark, d, "part").select(F.col("p_partkey").alias("run_id"), F.to_json(F.struct(F.col("p_size").alias("depth"), F.col("p_brand").alias("model"))).alias("params"))
+    return registry.run_params(runs)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -27,13 +27,14 @@ def grid_table(spark, d) -> DataFrame:
     return c.withColumn("tree_cover_2000_pct", F.col("tc10") / 10.0).withColumn("elevation_m", F.col("elev10") / 10.0).withColumn("annual_loss_rate_pct", rate).withColumn("high_risk", F.col("high_risk").cast("int"))
 
 
-#: Feature tables that this application has written, by the tables' folder.
+#: Feature tables that this application has written, by the state of the tables that they come from.
 _WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_FROM = ("customer", "orders", "nation", "region", "supplier")
 
 
 def feature_table(spark, d) -> DataFrame:
-    """Cells with all of the manifest's features that the tables give, written once for all queries of an application."""
-    key = (spark.sparkContext.applicationId, d)
+    """Cells with all of the manifest's features that the tables give, written once for all queries of an application. Tables whose files change are read anew."""
+    key = (spark.sparkContext.applicationId, tables.state(spark, *(f"{d}/{t}.parquet" for t in _FROM)))
     if key not in _WRITTEN or not tables.exists(spark, _WRITTEN[key]._written_at):
         c = materialize(cells(spark, d).drop("p", "p6", "predicted"), "cells")
         full = features.screening_features(c, binding.roads(spark, d), binding.areas(spark, d))

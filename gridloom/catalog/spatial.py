@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import query
 from gridloom.operators import cluster, features, raster, report, spatial, split
-from gridloom.sources import binding, tables
+from gridloom.plans.shared import workdir
+from gridloom.sources import binding, layout, tables
 from gridloom.sources.binding import AREAS, BOXES, CELLS, FIRES, ROADS, cells
 
 _METRES = "CAST(round(6371000.0 * 2 * asin(sqrt(sin(radians({b}.lat - {a}.lat) / 2) ** 2 + cos(radians({a}.lat)) * cos(radians({b}.lat)) * sin(radians({b}.lon - {a}.lon) / 2) ** 2))) AS BIGINT)"
@@ -122,12 +123,30 @@ def cluster_summary(spark, d):
     return found.select("cluster", "cells", part("lat", 1e6, "lat6"), part("lon", 1e6, "lon6"), "lat_min", "lon_max", "max_risk", "mean4", part("area_km2", 1e3, "area3"), "severity", "place")
 
 
-@query("SELECT cell_id, CASE WHEN loss_year > 12 AND tc10 > 300 THEN loss_year END AS sample FROM cells WHERE loss_year > 0", CELLS)
+@query("SELECT cell_id, CASE WHEN loss_year > 12 AND tc10 > 300 THEN loss_year END AS sample FROM cells", CELLS)
 def point_sampling(spark, d):
-    """Values of tiles under cells, which are there where trees are: tiles so small that each holds one cell, so that the answer is known."""
+    """Values of tiles under all cells, which say nothing where trees are few: tiles so small that each holds one cell, so that the answer is known."""
     from gridloom.functions.geo import tile_of
 
-    c = cells(spark, d).where("loss_year > 0")
+    c = cells(spark, d)
     x, y = tile_of(F.col("lat"), F.col("lon"), 22)
-    known = c.where("tc10 > 300").select(F.lit(22).alias("z"), x.alias("x"), y.alias("y"), F.array_repeat(F.when(F.col("loss_year") > 12, F.col("loss_year")), 65536).alias("v"))
-    return raster.sample_points(c, known, "v", zoom=22).select("cell_id", "sample")
\ No newline at end of file
+    known = c.select(F.lit(22).alias("z"), x.alias("x"), y.alias("y"), F.array_repeat(F.when((F.col("loss_year") > 12) & (F.col("tc10") > 300), F.col("loss_year")), 65536).alias("v"))
+    return raster.sample_points(c, known, "v", zoom=22).select("cell_id", "sample")
+
+
+def _laid_out(spark, d, name: str) -> str:
+    path = workdir(spark, name)
+    layout.write_layout(cells(spark, d), path)
+    return path
+
+
+@query("SELECT cell_id, lat, lon FROM cells WHERE lat BETWEEN 8.9 AND 9.2 AND lon BETWEEN 117.3 AND 117.6", CELLS)
+def box_of_layout(spark, d):
+    """A box read from a table laid out by place."""
+    return layout.read_box(spark, _laid_out(spark, d, "layout-box"), 8.9, 9.2, 117.3, 117.6).select("cell_id", "lat", "lon")
+
+
+@query("SELECT cell_id FROM cells ORDER BY (lat - 9.123) ** 2 + (lon - 117.456) ** 2, cell_id LIMIT 1", CELLS)
+def nearest_of_layout(spark, d):
+    """The cell nearest to a point, looked for in boxes of a table laid out by place."""
+    return layout.read_nearest(spark, _laid_out(spark, d, "layout-point"), 9.123, 117.456, "cell_id").select("cell_id")

@@ -69,10 +69,11 @@ def loss_totals(cells: DataFrame, rate: str) -> DataFrame:
     return cells.agg(F.count_if(F.col("loss_year") > 0).alias("total_losses"), F.coalesce(F.sum("high_risk"), F.lit(0)).alias("high_risk"), F.coalesce(F.avg(rate), F.lit(0.0)).alias("mean_rate"))
 
 
-def estimated_losses(spark, rate_pct: float, cells: int, last: int = 22) -> DataFrame:
-    """What stands in for a history that isn't known: a rate that grows by 2 % of itself a year."""
-    y = F.col("id")
-    return spark.range(1, last + 1).select((y + 2000).alias("year"), F.greatest(F.lit(0), (F.lit(rate_pct) / 100.0 * F.lit(cells) * (1.0 + 0.02 * (y - 1))).cast("long")).alias("losses"))
+def estimated_losses(regions: DataFrame, last: int = 22) -> DataFrame:
+    """(region, year, losses): what stands in for a history that isn't known of ``regions`` (region, rate_pct, cells): a rate that grows by 2 % of itself a year."""
+    years = regions.withColumn("y", F.explode(F.sequence(F.lit(1), F.lit(last))))
+    losses = (F.col("rate_pct") / 100.0 * F.col("cells") * (1.0 + 0.02 * (F.col("y") - 1))).cast("long")
+    return years.select("region", (F.col("y") + 2000).cast("long").alias("year"), F.greatest(F.lit(0), losses).alias("losses"))
 
 
 def site_rollup(cells: DataFrame, boxes: DataFrame) -> DataFrame:

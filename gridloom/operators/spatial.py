@@ -66,18 +66,21 @@ def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> D
     Places become points of the unit sphere, in cubes of ``step`` degrees. A row whose nearest among the 27 cubes around it is closer than a cube's side has its answer. The
     others descend from cubes as large as the globe, TIMES smaller at each level: of the occupied cubes inside those that are left, a row keeps those that begin
     no further off than the nearest point that it knows, each cube having one that stands for it. So a row's candidates depend on how many cubes are about as far as
-    its answer, not on how many points there are. Haversine distances are taken of the last candidates alone. ``left``'s keys are unique.
+    its answer, not on how many points there are. Haversine distances are taken of the last candidates alone. ``left``'s keys are unique. A row of ``left``
+    without a latitude or longitude stays, its km null; such rows of ``right`` are no points.
     """
-    right = materialize(right.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).distinct(), "nearest")
+    right = materialize(right.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).where("r_lat IS NOT NULL AND r_lon IS NOT NULL").distinct(), "nearest")
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     if right.isEmpty():
-        return left.select(key, F.lit(MISSING_KM).alias("km"))
+        return left.select(key, F.when(placed, MISSING_KM).alias("km"))
+    nowhere = left.where(~placed).select(key, F.lit(None).cast("double").alias("km"))
     side = 2 * math.sin(math.radians(step) / 2)
     points = right.withColumns({f"r_{a}": c for a, c in _sphere("r_lat", "r_lon").items()}).withColumns({f"c_{a}": _cube(f"r_{a}", side) for a in _AXES})
     points = points.select("r_lat", "r_lon", *(f"r_{a}" for a in _AXES), *(f"c_{a}" for a in _AXES), _id(*(F.col(f"c_{a}") for a in _AXES)).alias("cube"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
     chord = F.sqrt(sum((F.col(a) - F.col(f"r_{a}")) ** 2 for a in _AXES))
 
-    todo = left.select(key, "lat", "lon").withColumns(_sphere("lat", "lon"))
+    todo = left.where(placed).select(key, "lat", "lon").withColumns(_sphere("lat", "lon"))
     near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     around = todo.withColumns({f"n_{a}": F.explode(near) for a in ("u",)}).withColumn("n_v", F.explode(near)).withColumn("n_w", F.explode(near))
     around = around.withColumn("cube", _id(*(_cube(a, side) + F.col(f"n_{a}") for a in _AXES)))
@@ -86,7 +89,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> D
     done = materialize(found.where(F.col("best.chord") <= side * (1 - 1e-9)).select(key, "km"), "nearest")
     todo = materialize(todo.join(done.select(key), key, "left_anti"), "nearest")
     if todo.isEmpty():
-        return done
+        return done.unionByName(nowhere)
 
     few = points.count() * 64 <= BROADCAST_BYTES  # and so are the occupied cubes of any size
     small = F.broadcast if few else (lambda level: level)
@@ -107,7 +110,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> D
         rows = rows.withColumn("known", F.min("rep_d").over(Window.partitionBy(key))).where(F.col("begins") <= F.col("known") + 1e-9)
         rows = rows.select(key, "lat", "lon", *_AXES, F.col("cube").alias("parent"))
     last = rows.withColumnRenamed("parent", "cube").join(points, "cube").groupBy(key).agg(F.min(km).alias("km"))
-    return done.unionByName(last)
+    return done.unionByName(last).unionByName(nowhere)
 
 
 def in_box(df: DataFrame, lat_min=None, lat_max=None, lon_min=None, lon_max=None) -> DataFrame:
@@ -143,15 +146,24 @@ def nearest_cell(cells: DataFrame, lat: float, lon: float, key: str = "cell_id")
     return cells.orderBy(d2, key).limit(1)
 
 
-def tiles_of_box(spark, lat_min: float, lat_max: float, lon_min: float, lon_max: float, zoom: int = 12, limit: int | None = 100) -> DataFrame:
-    """(x, y) of the tiles that cover a box, x first; ``limit`` tiles, as shown."""
+def tiles_of_boxes(boxes: DataFrame, zoom: int = 12, limit: int | None = 100) -> DataFrame:
+    """(name, x, y) of the tiles that cover each of ``boxes`` (name, lat_min .. lon_max); of a box the first ``limit`` tiles, by x, then y, as shown."""
     from gridloom.functions.geo import tile_of
 
-    box = spark.range(1)
-    x0, y1 = tile_of(F.lit(lat_min), F.lit(lon_min), zoom)
-    x1, y0 = tile_of(F.lit(lat_max), F.lit(lon_max), zoom)
-    tiles = box.select(F.explode(F.sequence(x0, x1)).alias("x"), F.sequence(y0, y1).alias("ys")).select("x", F.explode("ys").alias("y"))
-    return tiles.orderBy("x", "y").limit(limit) if limit else tiles
+    x0, y1 = tile_of(F.col("lat_min"), F.col("lon_min"), zoom)
+    x1, y0 = tile_of(F.col("lat_max"), F.col("lon_max"), zoom)
+    columns = boxes.select("name", F.sequence(y0, y1).alias("ys"), F.posexplode(F.sequence(x0, x1)).alias("i", "x"))
+    tiles = columns.select("name", "x", "i", F.size("ys").alias("n"), F.posexplode("ys").alias("j", "y"))
+    return (tiles.where(F.col("i") * F.col("n") + F.col("j") < limit) if limit else tiles).select("name", "x", "y")
+
+
+def grids_of_boxes(boxes: DataFrame, step: float) -> DataFrame:
+    """(name, rw, col, lat, lon) of the cells of each of ``boxes`` (name, lat_min .. lon_max), ends exclusive. A box's rows are dealt out before they become cells."""
+    count = lambda lo, hi: F.ceil((F.col(hi) - F.col(lo)) / step)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))
+    rows = boxes.withColumns({"rw": F.explode(upto(count("lat_min", "lat_max")))}).repartition("name", "rw")
+    cells = rows.withColumn("col", F.explode(upto(count("lon_min", "lon_max"))))
+    return cells.select("name", "rw", "col", (F.col("lat_min") + F.col("rw") * F.lit(step)).alias("lat"), (F.col("lon_min") + F.col("col") * F.lit(step)).alias("lon"))
 
 
 def grid(spark, lat_min: float, lat_max: float, lon_min: float, lon_max: float, step: float) -> DataFrame:

@@ -46,6 +46,11 @@ def available_features(df: DataFrame) -> list[str]:
     return [name for name in ALLOWED if name in df.columns]
 
 
+def project_features(df: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and the allowed features that ``df`` has, in manifest order."""
+    return df.select(*keys, *available_features(df))
+
+
 def check_features(names: list[str]) -> list[str]:
     """Refuse features whose window overlaps the target's; unknown names pass, as the caller may bring their own."""
     banned = [n for n, _, _, allowed in MANIFEST if not allowed and n in names]

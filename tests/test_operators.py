@@ -316,3 +316,18 @@ def test_random_points_spread_over_the_box(spark):
     assert all(8 <= r.lat <= 10 and 117 <= r.lon <= 121 for r in rows)
     assert abs(np.mean([r.lat for r in rows]) - 9) < 0.1 and abs(np.mean([r.lon for r in rows]) - 119) < 0.2
     assert rows != raster.random_points(spark, 8.0, 10.0, 117.0, 121.0, 400, seed=7).collect()
+
+
+def test_feature_table_follows_its_tables(spark, tmp_path):
+    """Tables that are replaced between two queries of an application give other features."""
+    import shutil
+
+    from gridloom.catalog import models
+
+    for t in ("customer", "orders", "nation", "region", "supplier"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    assert models.feature_table(spark, str(tmp_path)).count() == 150
+    few = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").limit(40).toPandas()
+    (tmp_path / "customer.parquet").unlink()
+    few.to_parquet(f"{tmp_path}/customer.parquet")
+    assert models.feature_table(spark, str(tmp_path)).count() == 40

@@ -56,6 +56,14 @@ def test_nearest_far_away_and_of_nothing(spark):
     assert {r.km for r in none} == {spatial.MISSING_KM}
 
 
+@pytest.mark.parametrize("right", [[(9, 10.2, 120.2), (8, None, 1.0)], [(9, 80.0, 20.0)], [(8, None, None)]])
+def test_nearest_keeps_rows_without_a_place(spark, right):
+    left = [(1, 10.0, 120.0), (2, None, 120.0), (3, 10.0, None)]
+    got = {r.cell_id: r.km for r in spatial.nearest(frame(spark, left), frame(spark, right), "cell_id").collect()}
+    near = [b for b in right if None not in b]
+    assert got == {1: pytest.approx(haversine(left[0], near[0]) if near else spatial.MISSING_KM), 2: None, 3: None}
+
+
 def test_boxes(spark):
     cells = frame(spark, points(200, 4, spread=3.0))
     boxes = spark.createDataFrame([("a", 10.0, 11.0, 120.0, 121.0), ("b", 10.5, 12.9, 119.0, 122.0), ("none", 0.0, 1.0, 0.0, 1.0)], "name string, lat_min double, lat_max double, lon_min double, lon_max double")
