@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import query
-from gridloom.operators import cluster, features, raster, report, spatial, split
+from gridloom.operators import cluster, features, polygons, raster, report, selection, spatial, split
 from gridloom.plans.shared import workdir
 from gridloom.sources import binding, layout, tables
 from gridloom.sources.binding import AREAS, BOXES, CELLS, FIRES, ROADS, cells
@@ -150,3 +150,23 @@ def box_of_layout(spark, d):
 def nearest_of_layout(spark, d):
     """The cell nearest to a point, looked for in boxes of a table laid out by place."""
     return layout.read_nearest(spark, _laid_out(spark, d, "layout-point"), 9.123, 117.456, "cell_id").select("cell_id")
+
+
+@query("SELECT region, quantile_cont(tc10, 0.75) AS p75, quantile_cont(tc10, 0.5) AS median FROM cells GROUP BY 1", CELLS)
+def region_quantiles(spark, d):
+    """Each region's exact upper quartile and median, by counting."""
+    return selection.exact_quantiles(cells(spark, d), "tc10", {"p75": 0.75, "median": 0.5}, by=("region",))
+
+
+_DIAMONDS = "diamonds AS (SELECT n_nationkey AS k, 117.6137::DOUBLE + ((n_nationkey * 7) % 25) * 0.2::DOUBLE AS cx, 8.9171::DOUBLE + ((n_nationkey * 3) % 10) * 0.1::DOUBLE AS cy FROM nation)"
+
+
+@query("SELECT cell_id, EXISTS (SELECT 1 FROM diamonds WHERE abs(lon - cx) / 0.31 + abs(lat - cy) / 0.23 < 1 AND abs(lon - cx) / 0.31 + abs(lat - cy) / 0.23 > 0.4) AS inside FROM cells", CELLS, _DIAMONDS)
+def diamond_areas(spark, d):
+    """Cells in slanted areas with holes: a diamond for each nation, without a smaller one in its middle."""
+    k = F.col("n_nationkey")
+    cx, cy = 117.6137 + ((k * 7) % 25) * 0.2, 8.9171 + ((k * 3) % 10) * 0.1
+    at = lambda dx, dy: F.struct((cx + dx).alias("lon"), (cy + dy).alias("lat"))
+    ring = lambda s: F.array(at(-0.31 * s, 0.0), at(0.0, -0.23 * s), at(0.31 * s, 0.0), at(0.0, 0.23 * s), at(-0.31 * s, 0.0))
+    rings = binding.table(spark, d, "nation").select(k.cast("long").alias("way_id"), F.explode(F.array(ring(1.0), ring(0.4))).alias("ring"))
+    return polygons.inside_areas(cells(spark, d), polygons.edges_of_rings(rings), step=0.1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scores import high_risk, pre_period_loss
+from gridloom.operators.selection import exact_quantiles
 from gridloom.operators.spatial import nearest, radius_pairs, with_km
 
 NEIGHBOR_KM, FIRE_KM = 15.0, 10.0
@@ -27,22 +28,9 @@ def neighbor_features(cells: DataFrame, radius: float = NEIGHBOR_KM) -> DataFram
     return filled.select("cell_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "loss", "tc10_sum")))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, name: str = "quantile", within: float = 0.001) -> DataFrame:
-    """One row, the exact quantile of a column by linear interpolation. An approximate percentile on both sides brackets it; only the bracket's distinct values, some
-    share ``2 * within`` of all, are put in order, so no buffer holds a frame's values. Nulls don't count; of no values it is null."""
-    x = F.col(value).cast("double")
-    ends = df.agg(F.percentile_approx(x, F.array(F.lit(max(0.0, q - within)), F.lit(min(1.0, q + within))), F.lit(10_000)).alias("ends"))
-    ends = ends.select(F.col("ends")[0].alias("lo"), F.col("ends")[1].alias("hi"))
-    rows = df.select(x.alias("x")).where("x IS NOT NULL").crossJoin(F.broadcast(ends))  # one row
-    # what lies below or above counts as its value nearest to the bracket: the places in question are at most one off it
-    part = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
-    counts = rows.withColumn("part", part).groupBy("part", F.when(F.col("part") == 0, F.col("x")).alias("inside")).agg(F.count("*").alias("n"), F.max("x").alias("most"), F.min("x").alias("least"))
-    counts = counts.select("n", F.when(F.col("part") < 0, F.col("most")).otherwise(F.col("least")).alias("x"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    at = F.lit(q) * (F.col("total") - 1)
-    first = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))  # noqa: E731  the smallest value of that place or a later one
-    row = upto.agg(first(F.floor(at)).alias("a"), first(F.ceil(at)).alias("b"), F.max(at - F.floor(at)).alias("part"))
-    return row.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(name))
+def exact_quantile(df: DataFrame, value: str, q: float, name: str = "quantile") -> DataFrame:
+    """One row, the exact quantile of a column by linear interpolation, found by counting. Nulls don't count; of no values it is null."""
+    return exact_quantiles(df, value, {name: q})
 
 
 def high_neighbors(cells: DataFrame, value: str, quantile: float = 0.75, radius: float = NEIGHBOR_KM) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geo import haversine_km, point_in_ring, project_km
+from gridloom.functions.geo import haversine_km, project_km
 from gridloom.plans.shared import BROADCAST_BYTES, materialize
 
 MISSING_KM = 999.0
@@ -130,14 +130,10 @@ def join_boxes(boxes: DataFrame, cells: DataFrame, step: float = 1.0) -> DataFra
 
 
 def inside_any(cells: DataFrame, rings: DataFrame, key: str = "cell_id", step: float = 0.5) -> DataFrame:
-    """(key, protected 0/1): whether a cell lies in any ring; rings (way_id, ring) are binned by their boxes."""
-    lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
-    boxed = rings.where(F.size("ring") >= 4).select("ring", F.array_min(lon).alias("x0"), F.array_max(lon).alias("x1"), F.array_min(lat).alias("y0"), F.array_max(lat).alias("y1"))
-    parts = boxed.withColumn("by", F.explode(F.sequence(F.floor(F.col("y0") / step), F.floor(F.col("y1") / step)))).withColumn("bx", F.explode(F.sequence(F.floor(F.col("x0") / step), F.floor(F.col("x1") / step))))
-    spots = cells.select(key, "lat", "lon", F.floor(F.col("lat") / step).alias("by"), F.floor(F.col("lon") / step).alias("bx"))
-    hits = spots.join(parts, ["by", "bx"]).where("lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1").where(point_in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
-    flags = hits.select(key).distinct().withColumn("protected", F.lit(1))
-    return cells.select(key).join(flags, key, "left").select(key, F.coalesce("protected", F.lit(0)).alias("protected"))
+    """(key, protected 0/1): whether a cell lies in any ring; ``rings`` (way_id, ring) of under four points don't count, and open ones are closed."""
+    from gridloom.operators.polygons import edges_of_rings, inside_areas
+
+    return inside_areas(cells, edges_of_rings(rings), key, step).select(key, F.col("inside").cast("int").alias("protected"))
 
 
 def nearest_cell(cells: DataFrame, lat: float, lon: float, key: str = "cell_id") -> DataFrame:
