@@ -2,19 +2,34 @@
 
 A group's values between the least and the largest are counted in equal buckets, in each task first; the bucket that holds the place has its own least and largest value, between which
 the next round counts, until they are one value. The least and the largest of a round fall into different buckets, so that every round narrows; whole numbers of up to some ten thousand different
-values take one round. What a round sorts are a group's ``buckets``, however many rows there are.
+values take one round, and any values about ten. What a round sorts are a group's ``buckets``, however many rows there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.plans.shared import materialize, release, small_side
 
 #: Buckets of a round for one group, and for each of many.
 WIDE, NARROW = 65_536, 512
-MAX_ROUNDS = 200
+MAX_ROUNDS = 100
+
+
+def _part(first: bool) -> Column:
+    """Where ``x`` lies between ``lo`` and ``hi``, from 0 to 1 and in order. After the first round spans of both signs are parted by sign, and those of very different sizes by
+    logarithms, so that values near zero are told apart as fast as others."""
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    span = hi - lo
+    halves = (x / 2 - lo / 2) / (hi / 2 - lo / 2)  # where the span is beyond the largest double
+    part = F.when(span < F.lit(float("inf")), (x - lo) / span).otherwise(halves)
+    if first:
+        return part
+    signs = F.when(x < 0, 0.0).when(x == 0, 0.5).otherwise(1.0)
+    ups = (F.log(x) - F.log(lo)) / (F.log(hi) - F.log(lo))
+    downs = (F.log(-lo) - F.log(-x)) / (F.log(-lo) - F.log(-hi))
+    return F.when((lo < 0) & (hi >= 0) | (lo == 0), signs).when((lo > 0) & (hi / 1024 > lo), ups).when((hi < 0) & (lo / 1024 < hi), downs).otherwise(part)
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
@@ -30,6 +45,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: tuple[s
     places = F.explode(F.array(*(F.struct(F.lit(name).alias("q"), F.lit(q).alias("share"), F.lit(up).alias("up")) for name, q in qs.items() for up in (0, 1))))
     targets = ends.select(*keys, "n", "lo", "hi", places.alias("t")).select(*keys, "lo", "hi", "t.q", "t.share", "t.up", (F.col("t.share") * (F.col("n") - 1)).alias("at"))
     targets = materialize(targets.withColumn("rank", F.when(F.col("up") == 1, F.ceil("at")).otherwise(F.floor("at"))), "quantile-targets")
+    first = True
     for _ in range(MAX_ROUNDS):
         if targets.where("lo < hi").isEmpty():
             break
@@ -40,10 +56,9 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: tuple[s
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"s_{k}"))
         inside = rows.join(F.broadcast(held) if not keys else small_side(materialize(held, "quantile-spans")), same)
-        span = F.col("hi") - F.col("lo")  # beyond the largest double for ends of either sign
-        halves = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        part = F.when(span < F.lit(float("inf")), (F.col("x") - F.col("lo")) / span).otherwise(halves)
-        counted = inside.groupBy(*keys, "lo", "hi", F.least(F.floor(part * buckets), F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        bucket = F.least(F.floor(_part(first) * buckets), F.lit(buckets - 1))
+        first = False
+        counted = inside.groupBy(*keys, "lo", "hi", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
         upto = F.sum("n").over(Window.partitionBy(*keys, "lo", "hi").orderBy("bucket"))
         counted = counted.withColumn("upto", upto).select(*(F.col(k).alias(f"c_{k}") for k in keys), F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"), "n", "least", "most", "upto")
         match = (F.col("lo") == F.col("c_lo")) & (F.col("hi") == F.col("c_hi")) & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))

@@ -18,20 +18,17 @@ def cases():
     yield np.repeat([1.0, 1.0 + 2**-52, 2.0], 50)
 
 
-@pytest.mark.parametrize("buckets", [2, 16, None])
+@pytest.mark.parametrize("buckets", [32, None])
 def test_groups(spark, buckets):
     groups = {None if i == 2 else f"g{i}": v for i, v in enumerate(cases())}
     rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("g0", None), ("g1", float("nan")), ("g1", float("inf")), ("none", None)]
-    if buckets == 2:  # each round halves a range, and 600 powers of ten take many
-        rows = [r for r in rows if r[0] not in ("g3", "g4")]
     df = spark.createDataFrame(rows, "g string, x double")
     got = {r.g: r for r in exact_quantiles(df, "x", QS, by=("g",), buckets=buckets).collect()}
     for g, v in groups.items():
-        if any(r[0] == g for r in rows):
-            for name, q in QS.items():
-                a, b = np.sort(v)[[int(np.floor(q * (len(v) - 1))), int(np.ceil(q * (len(v) - 1)))]]
-                part = q * (len(v) - 1) - np.floor(q * (len(v) - 1))
-                assert got[g][name] == a + (b - a) * part
+        for name, q in QS.items():
+            a, b = np.sort(v)[[int(np.floor(q * (len(v) - 1))), int(np.ceil(q * (len(v) - 1)))]]
+            part = q * (len(v) - 1) - np.floor(q * (len(v) - 1))
+            assert got[g][name] == a + (b - a) * part
     assert all(got["none"][name] is None for name in QS)
 
 
