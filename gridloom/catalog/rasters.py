@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from gridloom.catalog import query
 from gridloom.functions.scores import change_class
 from gridloom.operators import raster, report
-from gridloom.sources.binding import CELLS, TILES, cells, tiles
+from gridloom.plans.shared import workdir
+from gridloom.sources.binding import CELLS, TILES, cells, table, tiles
+from gridloom.sources.tile_source import scan_tiles, write_tiles
 
 
 def _changed(spark, d):
@@ -53,4 +55,18 @@ def predicted_loss(spark, d):
 def random_points(spark, d):
     """Points in the box of the cells."""
     b = report.geo_bounds(cells(spark, d)).first()
-    return raster.random_points(spark, b.lat_min, b.lat_max, b.lon_min, b.lon_max, 200)
\ No newline at end of file
+    return raster.random_points(spark, b.lat_min, b.lat_max, b.lon_min, b.lon_max, 200)
+
+
+@query("SELECT v.vec_id AS tile, 3000 + vec_id % 40 AS x, 1900 + vec_id // 40 AS y, CAST(sum(floor(abs(embedding[i]::DOUBLE) * 255.0::DOUBLE)) AS BIGINT) AS red, CAST(sum(floor(abs(embedding[i + 16]::DOUBLE) * 255.0::DOUBLE)) AS BIGINT) AS green FROM embeddings v, range(1, 17) t(i) WHERE 3000 + vec_id % 40 BETWEEN 3005 AND 3011 GROUP BY vec_id")
+def tile_files(spark, d):
+    """Tiles of four by four pixels, one for each vector, written as image files, and those of some columns read back through the tile source."""
+    e = F.col("embedding")
+    channel = lambda k: F.transform(F.slice(e, 1 + 16 * k, 16), lambda v: F.floor(F.abs(v.cast("double")) * 255.0).cast("double"))
+    k = F.col("vec_id")
+    made = table(spark, d, "embeddings").select(F.lit("made").alias("layer"), F.lit(12).alias("z"), (3000 + k % 40).alias("x"), (1900 + F.floor(k / 40)).alias("y"), channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))
+    root = workdir(spark, "tiles")
+    write_tiles(made, root).write.format("noop").mode("overwrite").save()
+    found = scan_tiles(spark, root, damaged="fail").where("layer = 'made' AND z = 12 AND x BETWEEN 3005 AND 3011")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v).cast("long")
+    return found.select((F.col("x") - 3000 + (F.col("y") - 1900) * 40).alias("tile"), "x", "y", total("r").alias("red"), total("g").alias("green"))

@@ -71,12 +71,38 @@ def _unfilter(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
     return out
 
 
+def encode_png(pixels: np.ndarray) -> bytes:
+    """An eight-bit PNG of (height, width, channels), rows as they are."""
+    height, width, n = pixels.shape
+    colour = {channels: kind for kind, channels in CHANNELS.items()}[n]
+    rows = np.concatenate((np.zeros((height, 1), np.uint8), pixels.astype(np.uint8).reshape(height, width * n)), 1)
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def decode_tile(data: bytes) -> np.ndarray:
+    """(height, width, channels) of a PNG or JPEG image, told by its first bytes; anything else is a ValueError."""
+    from gridloom.sources.jpeg import decode_jpeg
+
+    return decode_png(data) if data.startswith(PNG) else decode_jpeg(data)
+
+
+def bands_of(pixels: np.ndarray) -> list[np.ndarray | None]:
+    """Red, green, blue and alpha, row by row; grey repeats its channel, and alpha may be none."""
+    bands = np.moveaxis(pixels, 2, 0).reshape(pixels.shape[2], -1).astype(np.float32)
+    colour, alpha = (bands[:-1], bands[-1]) if len(bands) in (2, 4) else (bands, None)
+    return [colour[k % len(colour)] for k in range(3)] + [alpha]
+
+
 def read_tiles(spark: SparkSession, root: str) -> DataFrame:
-    """(layer, z, x, y, r, g, b, a) of the PNG tiles at ``root``/layer/z/x/y.png, channels row by row; a is null where an image has no alpha, and grey images repeat their one channel.
+    """(layer, z, x, y, r, g, b, a) of the PNG and JPEG tiles at ``root``/layer/z/x/y.png (.jpg, .jpeg), channels row by row; a is null where an image has no alpha, and grey images repeat their one channel.
     A file that can't be read, or stands elsewhere, gives no row, as a tile that a server doesn't have."""
-    place = r"/([^/]+)/(\d+)/(\d+)/(\d+)\.png$"
+    place = r"/([^/]+)/(\d+)/(\d+)/(\d+)\.(?:png|jpe?g)$"
     part = lambda i: F.regexp_extract("path", place, i)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root).where(F.col("path").rlike(place))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg}").load(root).where(F.col("path").rlike(place))
     files = files.select(part(1).alias("layer"), part(2).cast("int").alias("z"), part(3).cast("long").alias("x"), part(4).cast("long").alias("y"), "content")
 
     def decode(batches: Iterator) -> Iterator:
@@ -85,12 +111,9 @@ def read_tiles(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for i, content in enumerate(batch.column(4)):  # a tile at a time: arrays are large
                 try:
-                    pixels = decode_png(content.as_py())
+                    found = bands_of(decode_tile(content.as_py()))
                 except ValueError:
                     continue
-                bands = np.moveaxis(pixels, 2, 0).reshape(pixels.shape[2], -1).astype(np.float32)
-                colour, alpha = (bands[:-1], bands[-1]) if len(bands) in (2, 4) else (bands, None)
-                found = [colour[k % len(colour)] for k in range(3)] + [alpha]
                 arrays = [pa.array([None if v is None else v], pa.list_(pa.float32())) for v in found]
                 yield pa.RecordBatch.from_arrays([c.slice(i, 1) for c in batch.columns[:4]] + arrays, names=["layer", "z", "x", "y", "r", "g", "b", "a"])
 
