@@ -71,7 +71,7 @@ def train(cells: DataFrame, request: TrainRequest) -> dict:
 
 
 def train_run(cells: DataFrame, request: TrainRequest, root: str) -> dict:
-    """``train``, kept: the model and a row of the run table under ``root``, with parameters, metrics, the ids of the test rows, the dataset's hash, the other
+    """``train``, kept: the model and a row of the run table under ``root``, with parameters, metrics, the dataset's hash, the table of its test rows, the other
     kind of model on the same split, and which of the two its f1 speaks for. ``cells`` should be a written table, as it is read several times."""
     run = train(cells, request)
     other = replace(request, model_type="forest" if request.model_type == "boosted" else "boosted")
@@ -83,16 +83,15 @@ def train_run(cells: DataFrame, request: TrainRequest, root: str) -> dict:
     hash_ = registry.fingerprint(report.forest(cells), "cell_id", *run["features"], "high_risk").first().hash
     path = f"{root}/models/{uuid.uuid4().hex}"
     save(run["model"], path)
-    ids = sorted(r.cell_id for r in run["tested"].select("cell_id").toLocalIterator())  # a run's own row holds them
     params = {f.name: getattr(request, f.name) for f in fields(request)} | {"recommended": recommended}
-    run_id = registry.save_run(cells.sparkSession, f"{root}/runs", params, found, run["features"], path, ids, hash_)
+    run_id = registry.save_run(cells.sparkSession, f"{root}/runs", params, found, run["features"], path, run["tested"].select("cell_id"), hash_)
     return run | {"run_id": run_id, "recommended": recommended, "dataset_hash": hash_}
 
 
 def calibrate_run(cells: DataFrame, root: str, run_id: str) -> DataFrame:
     """(cell_id, p6, outcome) of the rows that a kept run was tested on, scored by its model."""
     run = registry.get_run(cells.sparkSession, f"{root}/runs", run_id)
-    scored = score(load(run.model_path), registry.test_rows(cells, registry.list_runs(cells.sparkSession, f"{root}/runs"), run_id))
+    scored = score(load(run.model_path), registry.test_rows(cells, f"{root}/runs", run_id))
     return scored.select("cell_id", "p6", evaluate.outcome(F.col("high_risk"), F.col("predicted")).alias("outcome"))
 
 

@@ -271,7 +271,8 @@ def test_a_run_is_kept_and_calibrated(spark, tmp_path):
     run = model.train_run(table, request, f"file://{tmp_path}")
     kept = registry.get_run(spark, f"file://{tmp_path}/runs", run["run_id"])
     tested = {r.cell_id: (r.p6, r.high_risk, r.predicted) for r in run["tested"].collect()}
-    assert set(kept.test_ids) == set(tested) and len(kept.dataset_hash) == 16 and kept.features == models.FEATURES
+    rows = registry.test_rows(table, f"file://{tmp_path}/runs", run["run_id"])
+    assert kept.test_ids is None and {r.cell_id for r in rows.collect()} == set(tested) and len(kept.dataset_hash) == 16 and kept.features == models.FEATURES
     assert {"f1", "other_f1", "best_threshold"} <= set(kept.metrics) and run["recommended"] in ("primary", "alternative")
     params = {r.name: r.value for r in registry.run_params(registry.list_runs(spark, f"file://{tmp_path}/runs")).collect()}
     assert params["trees"] == "4" and params["recommended"] == run["recommended"]
