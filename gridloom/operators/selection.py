@@ -40,11 +40,16 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: tuple[s
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     keys = [f"g{i}" for i in range(len(by))]
     rows = materialize(df.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.when(finite, x).alias("x")), "quantile-values")
+
+    def settled(df: DataFrame) -> DataFrame:
+        """Targets between rounds: of one group they are a few rows by number of ``qs``, of many a table."""
+        return materialize(df, "quantile-targets") if keys else df.sparkSession.createDataFrame(df.collect(), df.schema)
+
     # a target is a place in a group's order: of each quantile the two places that it lies between
     ends = rows.groupBy(*keys).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     places = F.explode(F.array(*(F.struct(F.lit(name).alias("q"), F.lit(q).alias("share"), F.lit(up).alias("up")) for name, q in qs.items() for up in (0, 1))))
     targets = ends.select(*keys, "n", "lo", "hi", places.alias("t")).select(*keys, "lo", "hi", "t.q", "t.share", "t.up", (F.col("t.share") * (F.col("n") - 1)).alias("at"))
-    targets = materialize(targets.withColumn("rank", F.when(F.col("up") == 1, F.ceil("at")).otherwise(F.floor("at"))), "quantile-targets")
+    targets = settled(targets.withColumn("rank", F.when(F.col("up") == 1, F.ceil("at")).otherwise(F.floor("at"))))
     first = True
     for _ in range(MAX_ROUNDS):
         if targets.where("lo < hi").isEmpty():
@@ -70,7 +75,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: tuple[s
             *keys, F.when(known, F.col("least")).otherwise(F.col("lo")).alias("lo"), F.when(known, F.col("most")).otherwise(F.col("hi")).alias("hi"), "q", "share", "up", "at",
             F.when(known, F.col("rank") - (F.col("upto") - F.col("n"))).otherwise(F.col("rank")).alias("rank"),
         )
-        before, targets = targets, materialize(new, "quantile-targets")
+        before, targets = targets, settled(new)
         release(before)
     else:
         raise RuntimeError(f"quantiles did not settle in {MAX_ROUNDS} rounds")
