@@ -130,10 +130,12 @@ def join_boxes(boxes: DataFrame, cells: DataFrame, step: float = 1.0) -> DataFra
 
 
 def inside_any(cells: DataFrame, rings: DataFrame, key: str = "cell_id", step: float = 0.5) -> DataFrame:
-    """(key, protected 0/1): whether a cell lies in any ring; ``rings`` (way_id, ring) of under four points don't count, and open ones are closed."""
+    """(key, protected 0/1): whether a cell lies in any ring; ``rings`` (ring) of under four points don't count, and open ones are closed. Each ring is an area of its own."""
     from gridloom.operators.polygons import edges_of_rings, inside_areas
 
-    return inside_areas(cells, edges_of_rings(rings), key, step).select(key, F.col("inside").cast("int").alias("protected"))
+    numbered = rings.select(F.monotonically_increasing_id().alias("way_id"), "ring")
+    edges = materialize(edges_of_rings(numbered), "ring-edges")  # written: a ring keeps its number
+    return inside_areas(cells, edges, key, step).select(key, F.col("inside").cast("int").alias("protected"))
 
 
 def nearest_cell(cells: DataFrame, lat: float, lon: float, key: str = "cell_id") -> DataFrame:

@@ -42,6 +42,14 @@ def test_rings_on_the_grids_own_lines(spark):
     assert got == {i: casts(ring, lon, lat) for i, lat, lon in points}
 
 
+def test_rings_that_repeat_or_lie_in_each_other(spark):
+    """Any ring will do: neither a second copy nor a ring around it takes a place out."""
+    box = lambda s: [(-s, -s), (s, -s), (s, s), (-s, s), (-s, -s)]
+    rings = spark.createDataFrame([(1, box(1.0)), (1, box(1.0)), (2, box(2.0))], RINGS)
+    got = spatial.inside_any(spark.createDataFrame([(1, 0.1, 0.1), (2, 1.5, 0.1), (3, 2.5, 0.1)], POINTS), rings)
+    assert dict(map(tuple, got.collect())) == {1: 1, 2: 1, 3: 0}
+
+
 def test_open_and_short_rings(spark):
     rings = spark.createDataFrame([(1, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), (2, [(5.0, 5.0), (6.0, 5.0), (5.0, 5.0)])], RINGS)
     got = spatial.inside_any(spark.createDataFrame([(1, 1.0, 1.0), (2, 5.1, 5.1), (3, 3.0, 3.0)], POINTS), rings)
