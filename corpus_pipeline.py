@@ -8,7 +8,8 @@ Parquet and read again as the next one's docs; all but the last return the colum
 5. tokens: SentencePiece ids, with a check that they decode to the text.
 
 Defined results: rows of null id stay in stage 2, as nothing can be said of them; a text that stage 3 or 4 leaves empty stays a row; empty
-tables give empty results.
+tables give empty results. Very long texts go through every stage whole. Of near duplicates the smallest id stays; rows that share an id share its fate, and of those with the same text one stays;
+other ties are those of the operators. Extra columns are carried along, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
