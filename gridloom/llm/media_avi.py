@@ -9,7 +9,8 @@ A shot ends where the histogram distance of neighbouring frames exceeds ``floor`
 deviations of the distances around it.
 
 Defined results: a null or empty text is a payload of 64 zero bytes, one frame and one clip; a null id stays null; repeated
-rows give equal values; an empty table gives none. A clip row's times are in milliseconds, its end exclusive.
+rows give equal values; a very long text is one medium of as many frames as it fills, made whole by one task; a distance that equals its bound ends no shot; an empty table gives none; other
+columns, whatever their names, aren't looked at. A clip row's times are in milliseconds, its end exclusive.
 """
 
 from __future__ import annotations
