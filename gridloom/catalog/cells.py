@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import query
-from gridloom.functions import geo, scores
+from gridloom.functions import geo, rounding, scores
 from gridloom.operators import build, features, registry, report, spatial
 from gridloom.plans.shared import materialize, workdir
 from gridloom.sources import binding, schema, tables
@@ -264,3 +264,11 @@ def geocode_lookup(spark, d):
     name = nation.agg(F.min("n_name")).first()[0]
     gazetteer = nation.select(F.col("n_name").alias("name"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.col("n_name").alias("display_name"))
     return tables.geocode(gazetteer, name.lower()).select("display_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(printf('%.2f', l_extendedprice * l_discount) AS DOUBLE) AS saved, CAST(printf('%.4f', l_discount * l_tax) AS DOUBLE) AS share, CAST(printf('%.1f', l_extendedprice / 8.0::DOUBLE) AS DOUBLE) AS eighth FROM lineitem")
+def presented_rounding(spark, d):
+    """Presented values, rounded half to even on their binary value."""
+    price, discount = F.col("l_extendedprice"), F.col("l_discount")
+    lines = binding.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (price * discount).alias("saved"), (discount * F.col("l_tax")).alias("share"), (price / 8.0).alias("eighth"))
+    return rounding.present(lines, {"saved": 2, "share": 4, "eighth": 1})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import query
-from gridloom.operators import cluster, features, polygons, raster, report, selection, spatial, split
+from gridloom.operators import cluster, discs, features, polygons, raster, report, selection, spatial, split
 from gridloom.plans.shared import workdir
 from gridloom.sources import binding, layout, tables
 from gridloom.sources.binding import AREAS, BOXES, CELLS, FIRES, ROADS, cells
@@ -24,6 +24,15 @@ def fire_proxy(spark, d):
     return features.high_neighbors(cells(spark, d), "tc10")
 
 
+@query("SELECT cell_id, CAST(count(*) FILTER (d > 0 AND d < 15.0) AS BIGINT) AS n, CAST(coalesce(sum(loss) FILTER (d > 0 AND d < 15.0), 0) AS BIGINT) AS loss, CAST(coalesce(sum(tc10) FILTER (d > 0 AND d < 15.0), 0) AS BIGINT) AS tc10_sum, CAST(count(*) FILTER (d > 0 AND d < 15.0 AND tc10 > (SELECT quantile_cont(tc10, 0.75) FROM cells)) AS BIGINT) AS fires FROM pairs GROUP BY 1", CELLS, _PAIRS)
+def grid_neighbors(spark, d):
+    """What neighbor_features and fire_proxy say, of all cells' discs at once and without pairs."""
+    c = cells(spark, d)
+    flagged = c.crossJoin(F.broadcast(features.exact_quantile(c, "tc10", 0.75, "__limit"))).withColumn("over", (F.col("tc10") > F.col("__limit")).cast("long"))  # one row
+    sums = discs.disc_sums(flagged, ["pre_period_loss", "tc10", "over"], features.NEIGHBOR_KM, 0.02)
+    return sums.select("cell_id", "n", F.col("pre_period_loss").alias("loss"), F.col("tc10").alias("tc10_sum"), F.col("over").alias("fires"))
+
+
 @query(f"SELECT c.cell_id, min({_METRES.format(a='c', b='r')}) AS metres FROM cells c, roads r GROUP BY 1", CELLS, ROADS)
 def nearest_road(spark, d):
     near = spatial.nearest(cells(spark, d), binding.roads(spark, d), "cell_id")

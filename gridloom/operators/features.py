@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scores import high_risk, pre_period_loss
+from gridloom.operators.discs import disc_sums
 from gridloom.operators.selection import exact_quantiles
 from gridloom.operators.spatial import nearest, radius_pairs, with_km
 
@@ -86,13 +87,14 @@ def screening_features(cells: DataFrame, roads: DataFrame, rings: DataFrame, ele
     c = cells.withColumn("tree_cover_2000_pct", F.col("tc10") / 10.0).withColumn("elevation_m", F.col(elevation) / 10.0)
     out = annual_loss_rate(c).withColumnRenamed("rate", "annual_loss_rate_pct")
     out = loss_acceleration(out, "annual_loss_rate_pct").withColumnRenamed("acceleration", "loss_acceleration")
-    around = neighbor_features(cells)
-    n = F.col("n")
-    per = lambda c: F.coalesce(F.try_divide(F.col(c), n), F.lit(0.0))
-    around = around.select("cell_id", F.col("loss").alias("neighbor_loss_count"), per("loss").alias("neighbor_loss_density"), (per("tc10_sum") / 10.0).alias("neighbor_mean_tree_cover"))
-    rates = annual_loss_rate(cells).select("cell_id", "lat", "lon", "rate")
+    rates = annual_loss_rate(cells)
+    over = rates.crossJoin(F.broadcast(exact_quantile(rates, "rate", 0.75, "__limit"))).withColumn("over", (F.col("rate") > F.col("__limit")).cast("long"))  # one row
+    around = disc_sums(over, ["pre_period_loss", "tc10", "over"], NEIGHBOR_KM, step)
+    per = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))
+    loss = F.col("pre_period_loss").alias("neighbor_loss_count")
+    around = around.select("cell_id", loss, per("pre_period_loss").alias("neighbor_loss_density"), (per("tc10") / 10.0).alias("neighbor_mean_tree_cover"), F.col("over").alias("fire_hotspot_density"))
     for more in (
-        around, high_neighbors(rates, "rate").withColumnRenamed("fires", "fire_hotspot_density"), stencil_slope(c, "elevation_m", step), inside_any(cells, rings).withColumnRenamed("protected", "protected_area"),
+        around, stencil_slope(c, "elevation_m", step), inside_any(cells, rings).withColumnRenamed("protected", "protected_area"),
         nearest(cells, roads, "cell_id").withColumnRenamed("km", "dist_to_road_km"), frontier_distance(cells).withColumnRenamed("km", "dist_to_deforestation_frontier_km"),
     ):
         out = out.join(more, "cell_id")
