@@ -10,6 +10,7 @@ from gridloom.operators import evaluate, feedback, registry, report
 from gridloom.plans.shared import workdir
 from gridloom.sources import binding, schema
 from gridloom.sources.binding import CELLS, VERDICTS, cells, verdicts
+from gridloom.sources.versions import VersionedLog
 from gridloom.streaming import events
 
 _LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, run_id ORDER BY updated_at DESC, event_id DESC) AS k, min(updated_at) OVER (PARTITION BY cell_id, run_id) AS created_at FROM verdicts) WHERE k = 1)"
@@ -20,6 +21,16 @@ def annotation_upsert(spark, d):
     return feedback.latest(verdicts(spark, d)).select("cell_id", "run_id", "event_id", "verdict", "updated_at", "created_at")
 
 
+@query("SELECT cell_id, run_id, event_id, verdict, updated_at, created_at FROM latest", VERDICTS, _LATEST)
+def annotation_compacted(spark, d):
+    """The state of a log with versions: rejects come after accepts, a compaction between them and one at the end."""
+    log, v = VersionedLog(spark, workdir(spark, "verdict-log"), buckets=8), verdicts(spark, d)
+    for verdict in ("accept", "reject"):
+        log.append(v.where(F.col("verdict") == verdict))
+        log.compact()
+    return log.read().select("cell_id", "run_id", "event_id", "verdict", "updated_at", "created_at")
+
+
 @query("SELECT run_id, count(*) FILTER (verdict = 'accept') AS accepted, count(*) FILTER (verdict = 'reject') AS rejected, count(*) AS total FROM latest GROUP BY 1", VERDICTS, _LATEST)
 def annotation_stats(spark, d):
     return feedback.stats(feedback.latest(verdicts(spark, d)))

@@ -6,8 +6,9 @@ import uuid
 from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ class TrainRequest:
     trees: int = 100
     depth: int = 10
     min_leaf: int = 2
+    min_split: int = 5
     test_tenths: int = 2
     spatial_split: bool = True
     buffer_km: float = 0.0
@@ -41,7 +43,48 @@ def fit(train: DataFrame, features: list[str], request: TrainRequest, label: str
         model = GBTClassifier(maxIter=request.trees, maxDepth=min(request.depth, 6), stepSize=0.1, **common)
     else:
         model = RandomForestClassifier(numTrees=request.trees, maxDepth=request.depth, featureSubsetStrategy="sqrt", impurity="gini", **common)
-    return Pipeline(stages=[assembled, model]).fit(train.withColumn("__weight", weight))
+    fitted = Pipeline(stages=[assembled, model]).fit(train.withColumn("__weight", weight))
+    return fitted if request.model_type == "boosted" else PipelineModel([fitted.stages[0], least_split(fitted.stages[1], request.min_split)])
+
+
+def _kept_nodes(tree: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of one tree that are left once splits marked ``cut`` are leaves, numbered anew in the order that a saved tree has: a node, its left side, its right side."""
+    nodes = {r.id: r for r in tree.itertuples()}
+    order, below = [], [0]
+    while below:
+        node = nodes[below.pop()]
+        order.append(node.id)
+        if node.left >= 0 and not node.cut:
+            below += [node.right, node.left]
+    new = {old: k for k, old in enumerate(order)}
+    child = lambda n, side: -1 if n.cut or getattr(n, side) < 0 else new[getattr(n, side)]
+    return pd.DataFrame([(nodes[i].treeID, i, new[i], child(nodes[i], "left"), child(nodes[i], "right")) for i in order], columns=["treeID", "id", "new", "left", "right"])
+
+
+def least_split(forest: RandomForestClassificationModel, least: int) -> RandomForestClassificationModel:
+    """``forest`` without splits that fewer than ``least`` rows of their tree's sample (repeats counted) reach. Spark's learner has no such limit; as trees grow
+    from the top and a node's rows depend on the splits above it alone, it would have left out these splits and what is below them, and nothing else. The saved node
+    table is rewritten, a task a tree (a tree has 2^(depth + 1) nodes at most), and loaded as a model."""
+    if least <= 2:
+        return forest
+    spark = SparkSession.active()
+    source, target = workdir(spark, "forest"), workdir(spark, "forest")
+    forest.write().save(source)
+    forest.write().save(target)
+    nodes = spark.read.parquet(f"{source}/data")
+    cut = (F.col("nodeData.leftChild") >= 0) & (F.col("nodeData.rawCount") < least)
+    flat = nodes.select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"), cut.alias("cut"))
+    kept = flat.groupBy("treeID").applyInPandas(_kept_nodes, "treeID int, id int, new int, left int, right int")
+    leaf = F.struct(F.lit(-1).alias("featureIndex"), F.array().cast("array<double>").alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories"))
+    data, gone = F.col("nodeData"), F.col("left") < 0
+    data = data.withField("id", F.col("new")).withField("leftChild", F.col("left")).withField("rightChild", F.col("right"))
+    data = data.withField("split", F.when(gone, leaf).otherwise(F.col("nodeData.split"))).withField("gain", F.when(gone, -1.0).otherwise(F.col("nodeData.gain")))
+    joined = nodes.withColumn("id", F.col("nodeData.id")).join(kept, ["treeID", "id"])
+    joined.select("treeID", data.alias("nodeData")).write.mode("overwrite").parquet(f"{target}/data")
+    pruned = RandomForestClassificationModel.load(target)
+    for path in (source, target):
+        drop_path(spark, path)
+    return pruned
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
