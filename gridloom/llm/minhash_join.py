@@ -7,9 +7,11 @@ tokens in common goes on as one group. This gives loose groups, wide enough that
 most with probability 1 - threshold ** depth, and in all trees with that to the power of their number. ``trees_for`` takes as many trees as keep this at
 1 - ``RECALL`` or less at ``DEPTH``: 15 at threshold 0.85, 23 at 0.8.
 
-Inside a loose group links are confirmed on full sets: by blocks of ``CHUNK`` classes which all get the group's pivots, then, where a group has more
-than one block, by holding what isn't joined to the group's largest component against every block. Linked pairs leave as spanning forests, never as
-all pairs; components of them are exact.
+Inside a loose group links are confirmed on full sets: by blocks of ``CHUNK`` classes, or ``CHUNK_SHINGLES`` shingles, which all get the group's pivots. Where
+a group has more than one block, what isn't joined to its largest component goes by prefixes: shingles are ordered by how many of the group's sets hold them, and
+of a linked pair the smaller set's first ``size - least overlap + 1`` shingles meet the larger one's (exact, for the least overlap that any set of its size or more
+leaves). Only rows that meet so, by sizes and places that allow the link, go to the blocks where it is confirmed. Linked pairs leave as spanning forests, never
+as all pairs; components of them are exact.
 
 Defined results: null and empty texts have the empty set, linked with nothing; fewer words than a shingle are one shingle; a row of null id
 has a null component and isn't kept; rows that share an id are one node; ties go to the smallest id; a very long text is one set of all its shingles; an
@@ -32,6 +34,8 @@ from gridloom.plans.components import connected_components
 from gridloom.plans.shared import materialize, release
 
 COORDINATES, DEPTH, SMALL, CHUNK, PIVOTS = 128, 6, 64, 256, 4
+#: Shingles of a block, on average, where its sets are long.
+CHUNK_SHINGLES = 1 << 20
 #: Bytes of text that are hashed at once, and of a word that is hashed with the others.
 PIECE, LONG_WORD = 1 << 17, 64
 #: Rows of small nodes that are compared at once.
@@ -311,6 +315,76 @@ def confirm_rest(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return rows.groupBy("component", "chunk", "part").applyInArrow(run, "a long, b long")
 
 
+def group_counts(sets: DataFrame) -> DataFrame:
+    """(component, chunk, shingle, n): in how many sets of its whole group each shingle of a block stands, if in more than one; counted in blocks first."""
+
+    def run(table):
+        import pyarrow as pa
+
+        values, counts = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in table.column("shingles").to_pylist()]), return_counts=True)
+        same = [pa.array(np.full(len(values), table.column(c)[0].as_py())) for c in ("component", "chunk")]
+        return pa.Table.from_arrays([same[0], same[1].cast(pa.int32()), pa.array(values), pa.array(counts)], names=["component", "chunk", "shingle", "n"])
+
+    blocks = sets.select("component", "chunk", "shingles").groupBy("component", "chunk")
+    partial = materialize(blocks.applyInArrow(run, "component long, chunk int, shingle long, n long"), "mh-partial")
+    total = partial.groupBy("component", "shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    out = materialize(partial.drop("n").join(total, ["component", "shingle"]).select("component", "chunk", "shingle", "n"), "mh-counts")
+    release(partial)
+    return out
+
+
+def prefixes(sets: DataFrame, counts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(component, shingle, rep, size, at, first): the rarest shingles of each set, by the group's counts and then by value, that a link of the set with a smaller one needs;
+    ``first`` are those that one with a larger set needs. Shingles of one set alone have places but no rows."""
+    num, den = threshold
+
+    def run(rows, ranked):
+        import pyarrow as pa
+
+        known, n = (ranked.column(c).to_numpy() for c in ("shingle", "n"))
+        order = np.argsort(known)
+        known, n = known[order], n[order]
+        found: list[list[np.ndarray]] = [[], [], [], [], []]
+        for rep, raw in zip(rows.column("rep").to_pylist(), rows.column("shingles").to_pylist()):
+            s = np.frombuffer(raw, "<i8")
+            often = np.ones(len(s), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                often = np.where(known[at] == s, n[at], 1)
+            smaller = len(s) + (-num * len(s)) // den + 1  # size - ceil(size * threshold) + 1
+            larger = len(s) + (-2 * num * len(s)) // (num + den) + 1
+            place = np.lexsort((s, often))[:smaller]
+            at = np.flatnonzero(often[place] > 1)
+            for column, values in zip(found, (s[place[at]], np.full(len(at), rep), np.full(len(at), len(s)), at, at < larger)):
+                column.append(values)
+        columns = [np.concatenate(c) for c in found]
+        component = np.full(len(columns[0]), rows.column("component")[0].as_py() if rows.num_rows else 0)
+        return pa.Table.from_arrays([pa.array(component), *(pa.array(c) for c in columns)], names=["component", "shingle", "rep", "size", "at", "first"])
+
+    key = ("component", "chunk")
+    grouped = sets.select(*key, "rep", "shingles").groupBy(*key).cogroup(counts.groupBy(*key))
+    return grouped.applyInArrow(run, "component long, shingle long, rep long, size long, at long, first boolean")
+
+
+def meetings(entries: DataFrame, facts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(component, chunk, part, rep, rest): the rows that a link across labels may have, and the blocks where it would be confirmed. ``facts`` (rep, label, rest, chunk, part)."""
+    num, den = threshold
+    rows = entries.join(facts, ["component", "rep"])
+    side = lambda c: rows.select("component", "shingle", *(F.col(x).alias(f"{c}_{x}") for x in ("rep", "size", "at", "first", "label", "rest", "chunk", "part")))
+    least = side("y").where("y_first")
+    overlap = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))  # at most, from the shingle they share on
+    may = (F.col("y_label") != F.col("x_label")) & (F.struct("y_size", "y_rep") < F.struct("x_size", "x_rep")) & (F.col("y_size") * den >= F.col("x_size") * num)
+    may &= overlap * (num + den) >= (F.col("x_size") + F.col("y_size")) * num
+    on = ["component", "shingle"]
+    met = []
+    for ys, xs, own, other in ((least.where("y_rest"), side("x"), "y", "x"), (least.where("NOT y_rest"), side("x").where("x_rest"), "x", "y")):
+        both = ys.join(xs, on).where(may)
+        rested = F.struct(F.col(f"{own}_rep").alias("rep"), F.lit(True).alias("rest"))
+        held = F.struct(F.col(f"{other}_rep").alias("rep"), F.lit(False).alias("rest"))
+        met.append(both.select("component", F.col(f"{other}_chunk").alias("chunk"), F.col(f"{own}_part").alias("part"), F.explode(F.array(rested, held)).alias("row")))
+    return met[0].unionAll(met[1]).select("component", "chunk", "part", "row.rep", "row.rest").distinct()
+
+
 def full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """``members`` (rep, ...), a written table, with their shingles from their texts."""
 
@@ -328,40 +402,44 @@ def full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_col
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, k: int, threshold: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """(a, b): a spanning forest of the links inside ``groups`` (node, component)."""
+    """(a, b): a spanning forest of the links inside ``groups`` (node, component, n_shingles)."""
     pivots = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
-    facts = materialize(groups.groupBy("component").agg(F.count("*").alias("n"), *pivots), "mh-groups")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    blocks_of = lambda n, size: F.ceil(F.greatest(n / CHUNK, size / CHUNK_SHINGLES)).cast("int")
+    facts = materialize(groups.groupBy("component").agg(blocks_of(F.count("*"), F.sum("n_shingles")).alias("chunks"), *pivots), "mh-groups")
     is_pivot = F.array_contains(F.array(*(F.col(f"p{i}") for i in range(PIVOTS))), F.col("node"))
-    members = groups.join(facts, "component").select("component", F.col("node").alias("rep"), chunks.alias("chunks"), F.when(chunks > 1, is_pivot).otherwise(F.lit(False)).alias("pivot"))
+    members = groups.join(facts, "component").select("component", F.col("node").alias("rep"), "chunks", F.when(F.col("chunks") > 1, is_pivot).otherwise(F.lit(False)).alias("pivot"))
     members = materialize(members, "mh-members")
     sets = materialize(full_sets(docs, members, k, id_col, text_col), "mh-sets")
     release(facts)
-    own = F.array(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    to = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    to = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     links = materialize(confirm_blocks(sets.withColumn("chunk", F.explode(to)), threshold), "mh-links")
     many = sets.where("chunks > 1")
     if many.isEmpty():
         release(members, sets)
         return links
-    # what isn't joined to the largest component of its group meets every block of it
+    # what isn't joined to the largest component of its group meets others by prefixes
     labels = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
-    labelled = materialize(many.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "mh-labelled")
-    release(members, sets)
-    parts = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
-    main = materialize(parts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("largest")).where("total > largest"), "mh-main")
+    size = (F.length("shingles") / 8).cast("long").alias("size")
+    placed = many.select("component", "rep", own.alias("chunk"), size).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    placed = materialize(placed, "mh-labelled")
+    parts = placed.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = parts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("size").alias("size"), F.max_by("size", F.struct("n", "label")).alias("main_size"))
+    n_parts = blocks_of(F.col("n") - F.col("most"), F.col("size") - F.col("main_size"))
+    main = materialize(main.where("n > most").select("component", "main", n_parts.alias("parts")), "mh-main")
     if main.isEmpty():
-        release(labelled, main)
+        release(members, sets, placed, main)
         return links
-    many = labelled.join(main, "component").withColumn("rest", F.col("label") != F.col("main"))
-    n_parts = F.ceil((F.col("total") - F.col("largest")) / CHUNK).cast("int")
-    part = F.pmod(F.xxhash64("rep", F.lit(7)), n_parts).cast("int")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    columns = ("component", "rep", "label", "shingles")
-    blocks = many.select(*columns, F.lit(False).alias("rest"), chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"))
-    rest = many.where("rest").select(*columns, F.lit(True).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), part.alias("part"))
-    more = materialize(confirm_rest(blocks.unionAll(rest), threshold), "mh-links")
-    release(labelled, main)
+    part = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")
+    rows = materialize(placed.join(main, "component").select("component", "rep", "chunk", "label", (F.col("label") != F.col("main")).alias("rest"), part.alias("part")), "mh-rows")
+    split = many.join(small_side(main).select("component"), "component").select("component", own.alias("chunk"), "rep", "shingles")
+    counts = group_counts(split)
+    entries = materialize(prefixes(split, counts, threshold), "mh-prefixes")
+    met = materialize(meetings(entries, rows, threshold), "mh-met")
+    release(placed, main, counts, entries)
+    candidates = met.join(rows.select("rep", "label"), "rep").join(many.select("rep", "shingles"), "rep").select("component", "chunk", "part", "rep", "rest", "label", "shingles")
+    more = materialize(confirm_rest(candidates, threshold), "mh-links")
+    release(members, sets, rows, met)
     return links.unionAll(more)
 
 
@@ -369,9 +447,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; links are similarities of threshold[0] / threshold[1] or more."""
     sketched = materialize(sketch(docs, k, id_col, text_col), "mh-sketch")
     some = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")), "mh-classes")
+    classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("low").alias("low")), "mh-classes")
     edges = loose_edges(classes, threshold[0] / threshold[1])
-    groups = materialize(connected_components(edges), "mh-loose")
+    sizes = classes.select(F.col("rep").alias("node"), "n_shingles")
+    groups = materialize(connected_components(edges).join(sizes, "node"), "mh-loose")
     release(edges)
     found = materialize(connected_components(exact_links(docs, groups, k, threshold, id_col, text_col)), "mh-components")
     release(groups)

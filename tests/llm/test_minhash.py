@@ -65,6 +65,45 @@ def test_large_group_is_cut_into_blocks(spark, tmp_path, monkeypatch):
     assert run(spark, tmp_path, rows, k=3, threshold=(85, 100)) == sorted(brute(rows, 3, 85, 100), key=repr)
 
 
+def template_rows(n, shared, own, seed=3):
+    """Pages of a template: ``shared`` words of all, ``own`` words of one."""
+    rng = random.Random(seed)
+    words = [f"t{rng.randint(0, 10**6)}" for _ in range(shared)]
+    return [(i, " ".join(words + [f"o{i}x{j}" for j in range(own)])) for i in range(n)]
+
+
+def test_template_pages_with_links_across_blocks(spark, tmp_path, monkeypatch):
+    """Unlinked pages of a template, of sizes that differ, and some near copies of them that only prefixes bring together."""
+    for name, value in (("SMALL", 4), ("DEPTH", 1), ("CHUNK", 8), ("PIVOTS", 1)):
+        monkeypatch.setattr(M, name, value)
+    rows = template_rows(60, 100, 24) + [(60 + i, t) for i, (_, t) in enumerate(template_rows(20, 100, 30, seed=3))]
+    rows += [(80 + i, " ".join(t.split()[: -1 - i % 4])) for i, (_, t) in enumerate(rows[:40:3])]
+    assert run(spark, tmp_path, rows, k=3, threshold=(85, 100)) == sorted(brute(rows, 3, 85, 100), key=repr)
+
+
+def test_template_pages_ship_no_sets_to_each_other(spark, tmp_path, monkeypatch):
+    """Pages of one loose group whose similarity is just below the threshold: what is shipped to confirm links doesn't grow with the square of the group."""
+    monkeypatch.setattr(M, "CHUNK", 16)
+    shipped = []
+    monkeypatch.setattr(M, "confirm_rest", lambda rows, threshold, real=M.confirm_rest: shipped.append(rows.count()) or real(rows, threshold))
+    spark.createDataFrame(template_rows(200, 200, 22), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    sizes = {len(shingles(r.text, 3)) for r in docs.collect()}
+    group = docs.select(docs.doc_id.alias("node")).selectExpr("node", "0L AS component", f"{max(sizes)}L AS n_shingles")
+    assert M.exact_links(docs, M.materialize(group, "t"), 3, (85, 100), "doc_id", "text").count() == 0
+    assert shipped == [0]
+    links = connected_components(M.exact_links(docs, M.materialize(group, "t"), 3, (80, 100), "doc_id", "text"))
+    assert {(r.node, r.component) for r in links.collect()} == {(i, 0) for i in range(200)}
+
+
+def test_long_sets_are_cut_into_blocks_by_their_shingles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK_SHINGLES", 400)
+    for name, value in (("SMALL", 4), ("DEPTH", 1)):
+        monkeypatch.setattr(M, name, value)
+    rows = near_rows(2, 20, seed=5)
+    assert run(spark, tmp_path, rows, k=3, threshold=(85, 100)) == sorted(brute(rows, 3, 85, 100), key=repr)
+
+
 def test_contract_on_edge_cases(spark, edge_dir, edge_rows):
     got = sorted(map(tuple, M.op9_minhash(spark, edge_dir).collect()), key=repr)
     assert got == sorted(brute([(i, t) for i, t, *_ in edge_rows], 3, 85, 100), key=repr)
