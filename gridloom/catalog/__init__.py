@@ -21,7 +21,7 @@ def query(sql: str | None = None, *ctes: str):
 
 
 def _load() -> None:
-    from gridloom.catalog import cells, evaluation, feedback, models, rasters, spatial  # noqa: F401
+    from gridloom.catalog import cells, evaluation, feedback, landing, models, rasters, spatial  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
