@@ -42,6 +42,16 @@ def round_binary(x: Column, digits: int = 0) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(p) >= _WHOLE), x).otherwise(signed / scale)
 
 
+def exact_mean(x: Column) -> Column:
+    """An aggregate: the mean of doubles, their sum rounded once, so that the order of rows has no say in it. Values are parted into two integers, in units of 2^-26 and 2^-62; their sums
+    are exact for values of under 4,096 (degrees, probabilities) and 30 million rows a group, and keep all of a value's bits from 2^-10 on."""
+    x = x.cast("double")
+    scaled = x * float(2**26)
+    high = F.rint(scaled)
+    low = F.rint((scaled - high) * float(2**36))
+    return (F.sum(high.cast("long")) + F.sum(low.cast("long")) / float(2**36)) / float(2**26) / F.count(x)
+
+
 def present(df, digits: dict[str, int]):
     """``df`` with each named column rounded for presentation."""
     return df.withColumns({c: round_binary(df[c], d) for c, d in digits.items()})

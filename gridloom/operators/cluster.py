@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.rounding import exact_mean
 from gridloom.functions.scores import severity
 from gridloom.operators.spatial import with_km
 from gridloom.plans.components import connected_components
@@ -68,11 +69,11 @@ def risk_clusters(cells: DataFrame, threshold: float = 0.5, eps: float = 15.0, m
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:
     """One row a cluster: cells, centre, bounds, mean and largest risk, area (1 km2 at least), severity by the unrounded mean; mean4, the mean in ten-thousandths, and
-    place, from 1 by falling mean4, then by cluster."""
+    place, from 1 by falling mean4, then by cluster. Means don't depend on the order of rows; a mean within 5e-13 of a severity's limit counts as that limit."""
     rows = clustered.where("cluster IS NOT NULL").groupBy("cluster").agg(
-        F.count("*").alias("cells"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"),
-        F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.avg("p").alias("mean_risk"), F.max("p").alias("max_risk"),
+        F.count("*").alias("cells"), exact_mean(F.col("lat")).alias("lat"), exact_mean(F.col("lon")).alias("lon"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"),
+        F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), exact_mean(F.col("p")).alias("mean_risk"), F.max("p").alias("max_risk"),
     )
     area = (F.col("lat_max") - F.col("lat_min")) * 111.0 * (F.col("lon_max") - F.col("lon_min")) * 111.0 * F.cos(F.radians("lat"))
-    rows = rows.withColumn("area_km2", F.greatest(area, F.lit(1.0))).withColumn("severity", severity(F.col("mean_risk"))).withColumn("mean4", F.round(F.col("mean_risk") * 10_000).cast("long"))
+    rows = rows.withColumn("area_km2", F.greatest(area, F.lit(1.0))).withColumn("severity", severity(F.round("mean_risk", 12))).withColumn("mean4", F.round(F.col("mean_risk") * 10_000).cast("long"))
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean4"), "cluster"))).orderBy("place")  # a row for each cluster
