@@ -80,13 +80,13 @@ def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> D
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
     chord = F.sqrt(sum((F.col(a) - F.col(f"r_{a}")) ** 2 for a in _AXES))
 
-    todo = left.where(placed).select(key, "lat", "lon").withColumns(_sphere("lat", "lon"))
+    todo = left.where(placed).select(key, "lat", "lon").repartition(key).withColumns(_sphere("lat", "lon"))  # dealt out before they meet points: pairs need no exchange
     near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     around = todo.withColumns({f"n_{a}": F.explode(near) for a in ("u",)}).withColumn("n_v", F.explode(near)).withColumn("n_w", F.explode(near))
     around = around.withColumn("cube", _id(*(_cube(a, side) + F.col(f"n_{a}") for a in _AXES)))
     # without an answer in sight, a row has none of these
-    found = around.join(points, "cube").groupBy(key).agg(F.min(F.struct(chord.alias("chord"), km.alias("km"))).alias("best"), F.min(km).alias("km"))
-    done = materialize(found.where(F.col("best.chord") <= side * (1 - 1e-9)).select(key, "km"), "nearest")
+    found = around.join(points, "cube").groupBy(key).agg(F.min(chord).alias("chord"), F.min(km).alias("km"))  # plain numbers: a least struct would sort all pairs
+    done = materialize(found.where(F.col("chord") <= side * (1 - 1e-9)).select(key, "km"), "nearest")
     todo = materialize(todo.join(done.select(key), key, "left_anti"), "nearest")
     if todo.isEmpty():
         return done.unionByName(nowhere)

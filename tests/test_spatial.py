@@ -184,3 +184,18 @@ def test_exact_quantiles(spark):
         for q in (0.0, 0.25, 0.5, 0.75, 1.0):
             assert features.exact_quantile(df, "v", q).first()[0] == pytest.approx(float(np.percentile(values, q * 100)), rel=1e-12)
     assert features.exact_quantile(df.where("v IS NULL"), "v", 0.5).first()[0] is None
+
+
+def test_nearest_never_sorts_pairs(spark, monkeypatch):
+    """Pairs of rows and points around them are reduced by hash: a sort of them all took 9 GB of one task's memory at a million rows."""
+    plans, real = [], spatial.materialize
+
+    def watched(df, name, rows=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, rows)
+
+    monkeypatch.setattr(spatial, "materialize", watched)
+    left = spark.range(300).select(F.col("id").alias("cell_id"), (F.col("id") % 20 * 0.02).alias("lat"), (F.col("id") / 20 * 0.02).alias("lon"))
+    found = {r.cell_id: r.km for r in spatial.nearest(left, left.where("cell_id % 7 = 0").select("lat", "lon"), "cell_id").collect()}
+    assert len(found) == 300 and found[7] == 0
+    assert len(plans) > 1 and not any("SortAggregate" in p for p in plans)
