@@ -53,11 +53,12 @@ def worst_tiles(tiles: DataFrame, n: int = 10) -> DataFrame:
 
 
 def sample_points(cells: DataFrame, tiles: DataFrame, values: str, zoom: int = 12, side: int = TILE_PIXELS) -> DataFrame:
-    """``cells`` with ``sample``, the value of array column ``values`` of the tile under them, null where there is none."""
+    """``cells`` with ``sample``, the value of array column ``values`` of the tile under them, null where there is none. Cells are what is hashed: tiles pass by one at
+    a time, so their arrays are never sorted or kept."""
     x, y = tile_of(F.col("lat"), F.col("lon"), zoom)
     px, py = pixel_of(F.col("lat"), F.col("lon"), zoom)
     at = cells.withColumn("x", x).withColumn("y", y).withColumn("__i", (py * side + px).cast("int"))
-    return at.join(tiles.where(F.col("z") == zoom).select("x", "y", F.col(values).alias("__v")), ["x", "y"], "left").withColumn("sample", F.get("__v", "__i")).drop("x", "y", "__v", "__i")
+    return at.hint("shuffle_hash").join(tiles.where(F.col("z") == zoom).select("x", "y", F.col(values).alias("__v")), ["x", "y"], "left").withColumn("sample", F.get("__v", "__i")).drop("x", "y", "__v", "__i")
 
 
 def decode_loss(loss_alpha: Column, red: Column, blue: Column, cover_alpha: Column, seed: Column) -> Column:

@@ -65,3 +65,19 @@ def test_tiles_from_files(spark, tmp_path):
     assert joined[3, 5].blue == got["loss", 3, 5].b and joined[3, 5].cover == got["cover", 3, 5].a
     before = tiles.where("layer = '2018'")
     assert raster.tile_change(before, before).first().loss == 0
+
+
+def test_tiles_are_neither_exchanged_nor_sorted(spark):
+    """Tiles of half a MB for each cell: one passes by at a time."""
+    from gridloom import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()["point_sampling"](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert df.count() == 150
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    made = [k for k, line in enumerate(plan) if "array_repeat" in line]
+    assert made and all(not any(step in plan[k - 1] for step in ("Exchange", "Sort ")) for k in made)
+    assert any("ShuffledHashJoin" in line and "BuildLeft" in line for line in plan)
