@@ -207,47 +207,99 @@ def group_leaves(leaves: list) -> tuple[float, list[tuple]]:
     return base, groups
 
 
-#: Numbers that an array of the explanation has at most.
-EXPLAIN_CELLS = 1 << 21
+#: Numbers that an array of the explanation has at most, and rows that are explained at once (their codes are 16 bits).
+EXPLAIN_CELLS, EXPLAIN_ROWS = 1 << 19, 1 << 14
 
 
-def shap_values(grouped: tuple[float, list[tuple]], x: np.ndarray) -> tuple[float, np.ndarray]:
-    """(base, values): path-dependent Shapley values of rows ``x``. A leaf of m features is a product game: with o_j telling whether a row keeps to
-    feature j's bounds and z_j its share, feature i gets value * (o_i - z_i) times the sum over k of k! (m-k-1)! / m! times the coefficient of t^k in the
+def _adds(value: np.ndarray, share: np.ndarray, keeps: list[np.ndarray]) -> np.ndarray:
+    """(features, leaves, cases): what each feature of a leaf's path adds in each case, ``keeps`` telling by feature whether the case keeps to its bounds. A leaf of m features is
+    a product game: with o_j for that and z_j for feature j's share, feature i gets value * (o_i - z_i) times the sum over k of k! (m-k-1)! / m! times the coefficient of t^k in the
     product over the others of (z_j + o_j t), which is the integral from 0 to 1 of the product over the others of (z_j (1 - t) + o_j t): a polynomial of
-    degree m - 1, so that Gauss's rule with half as many nodes gives it exactly. All of a group's leaves and many rows are done at once."""
+    degree m - 1, so that Gauss's rule with half as many nodes gives it exactly."""
+    m, shares = share.shape[1], [share[:, j, None] for j in range(share.shape[1])]
+    node, weight = np.polynomial.legendre.leggauss(m // 2 + 1)
+    out = np.zeros((m, len(value), keeps[0].shape[-1]))
+    for t, w in zip((node + 1) / 2, weight / 2):
+        factors = [z * (1 - t) + o * t for z, o in zip(shares, keeps)]
+        whole = factors[0] * w
+        for factor in factors[1:]:
+            whole = whole * factor
+        for j, factor in enumerate(factors):
+            out[j] += whole / factor
+    for j, (z, o) in enumerate(zip(shares, keeps)):
+        out[j] *= (o - z) * value[:, None]
+    return out
+
+
+def shap_values(grouped: tuple[float, list[tuple]], x: np.ndarray) -> tuple[float, np.ndarray]:
+    """(base, values): path-dependent Shapley values of rows ``x``. What a leaf's features add depends on nothing but which of its bounds a row keeps to: of a path of m features
+    that is one of 2^m cases, worked out once for all rows that are explained together, or row by row where rows are fewer. Every value is the same sum in the same order either way."""
     base, groups = grouped
-    out = np.zeros(x.shape)
-    for value, feature, low, high, share in groups:
-        leaves, m = feature.shape
-        node, weight = np.polynomial.legendre.leggauss(m // 2 + 1)
-        node, weight = (node + 1) / 2, weight / 2
-        to = np.zeros((m, leaves, x.shape[1]))
-        to[np.arange(m)[:, None], np.arange(leaves)[None], feature.T] = 1.0
-        step = max(1, EXPLAIN_CELLS // (leaves * m))
-        for lo in range(0, len(x), step):
-            rows = x[lo : lo + step]
-            keeps = ((rows[:, feature] > low) & (rows[:, feature] <= high)).astype(float)
-            apart = np.zeros_like(keeps)
-            for t, w in zip(node, weight):
-                factor = share * (1 - t) + keeps * t
-                apart += w * factor.prod(axis=2)[:, :, None] / factor
-            apart *= (keeps - share) * value[:, None]
-            for i in range(m):
-                out[lo : lo + step] += apart[:, :, i] @ to[i]
-    return base, out
+    out = np.zeros(x.shape[::-1])
+    ends = [[] for _ in range(x.shape[1])]
+    for _, feature, low, high, _ in groups:
+        for f in np.unique(feature):
+            ends[f] += [low[feature == f], high[feature == f]]
+    ends = [np.unique(np.concatenate(e)) if e else np.zeros(0) for e in ends]
+    kind = np.min_scalar_type(max(map(len, ends), default=0))  # unsigned: what lies below an interval wraps around to above it
+    for start in range(0, len(x), EXPLAIN_ROWS):
+        rows = x[start : start + EXPLAIN_ROWS]
+        total = out[:, start : start + EXPLAIN_ROWS]
+        places = [np.searchsorted(e, rows[:, f]).astype(kind) for f, e in enumerate(ends)]  # ends below a row's value; NaN is past all of them
+        for value, feature, low, high, share in groups:
+            m = feature.shape[1]
+            by_case = 1 << m < len(rows)
+            cases = 1 << m if by_case else len(rows)
+            after, width = np.zeros(feature.shape, kind), np.zeros(feature.shape, kind)
+            for f in np.unique(feature):
+                here = feature == f
+                lo, hi = np.searchsorted(ends[f], low[here]), np.searchsorted(ends[f], high[here])
+                after[here], width[here] = lo + 1, np.maximum(hi - lo, 0)
+            keeps = lambda k, j: places[feature[k, j]] - after[k, j] < width[k, j]  # noqa: B023, E731
+            bits = [(np.arange(cases) >> j & 1)[None].astype(float) for j in range(m)]
+            step = max(1, EXPLAIN_CELLS // (cases * m))
+            for first in range(0, len(value), step):
+                some = range(first, min(first + step, len(value)))
+                known = bits if by_case else [np.stack([keeps(k, j) for k in some]).astype(float) for j in range(m)]
+                adds = _adds(value[some.start : some.stop], share[some.start : some.stop], known)
+                for i, k in enumerate(some):
+                    if by_case:
+                        code = np.zeros(len(rows), np.uint16)
+                        for j in range(m):
+                            code |= keeps(k, j).astype(np.uint16) << j
+                        code = code.astype(np.intp)
+                    for j in range(m):
+                        total[feature[k, j]] += adds[j, i].take(code) if by_case else adds[j, i]
+    return base, out.T
+
+
+def _gathered(batches, rows: int):
+    """Arrow batches joined until they have ``rows`` rows."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def explain(model: PipelineModel, df: DataFrame, features: list[str], key: str = "cell_id") -> DataFrame:
     """(key, predicted, base, drivers): what each feature adds to the probability of the class that the model predicts (to the margin of high risk for boosted
-    trees), by falling size. The leaves go to each task; their number is bounded by the model's trees and depth."""
+    trees), by falling size. The leaves go to each task; their number is bounded by the model's trees and depth. Rows, few bytes and much work each, are dealt to as many
+    tasks as a shuffle has, or cores if there are more."""
     leaves, _, is_probability = leaf_paths(model)
     shared = df.sparkSession.sparkContext.broadcast(group_leaves(leaves))
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        names = pa.array(features, pa.string())
+        for batch in _gathered(batches, EXPLAIN_ROWS):
             x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]], axis=1) if batch.num_rows else np.empty((0, len(features)))
             base, values = shap_values(shared.value, x)
             total = base + values.sum(axis=1)
@@ -257,12 +309,15 @@ def explain(model: PipelineModel, df: DataFrame, features: list[str], key: str =
                 values = np.where(high[:, None], values, -values)
                 bases = np.where(high, base, 1 - base)
             order = np.argsort(-np.abs(values), axis=1, kind="stable")
-            rows = [[{"feature": features[f], "value": float(x[i, f]), "shap": float(values[i, f])} for f in order[i]] for i in range(len(x))]
-            kind = pa.list_(pa.struct([("feature", pa.string()), ("value", pa.float64()), ("shap", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high.astype(np.int32)), pa.array(bases), pa.array(rows, kind)], names=[key, "predicted", "base", "drivers"])
-
-    kind = dict(df.dtypes)[key]
-    return df.select(key, *(F.col(f).cast("double") for f in features)).mapInArrow(run, f"{key} {kind}, predicted int, base double, drivers array<struct<feature:string,value:double,shap:double>>")
+            flat = order.ravel()
+            entries = [names.take(pa.array(flat)), pa.array(np.take_along_axis(x, order, 1).ravel()), pa.array(np.take_along_axis(values, order, 1).ravel())]
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(features), pa.int32())
+            rows = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(entries, ["feature", "value", "shap"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high.astype(np.int32)), pa.array(bases), rows], names=[key, "predicted", "base", "drivers"])
+
+    kind, spark = dict(df.dtypes)[key], df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.select(key, *(F.col(f).cast("double") for f in features)).repartition(tasks, key).mapInArrow(run, f"{key} {kind}, predicted int, base double, drivers array<struct<feature:string,value:double,shap:double>>")
 
 
 def site_drivers(explained: DataFrame, sites: DataFrame) -> DataFrame:

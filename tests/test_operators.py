@@ -263,6 +263,41 @@ def test_shapley_of_deep_trees_by_brute_force():
         assert mine == pytest.approx(want, abs=1e-9) and base == pytest.approx(value(row, ()))
 
 
+def test_shapley_values_work_out_each_case_once(monkeypatch):
+    """Many rows: what is worked out grows with the leaves' cases and not with the rows; every row has, bit for bit, the values that it has alone. Bounds, NaN and infinities included."""
+    rng = np.random.default_rng(9)
+    leaves = []
+    for _ in range(20):
+        path = []
+        for f in rng.permutation(5)[: rng.integers(1, 6)]:
+            lo, hi = sorted(rng.integers(-3, 4, 2).tolist())
+            path.append((int(f), float(lo) if rng.random() < 0.7 else -np.inf, float(hi) if rng.random() < 0.7 else np.inf, float(rng.uniform(0.05, 0.95))))
+        leaves.append((float(rng.uniform(-1, 1)), path))
+    grouped = model.group_leaves(leaves)
+    x = rng.integers(-4, 5, (2000, 5)).astype(float)
+    x[0], x[1], x[2] = np.nan, np.inf, -np.inf
+
+    worked = []
+    product = model._adds
+    monkeypatch.setattr(model, "_adds", lambda value, share, keeps: worked.append(len(value) * keeps[0].shape[-1]) or product(value, share, keeps))
+    base, got = model.shap_values(grouped, x)
+    assert sum(worked) == sum(1 << len(path) for _, path in leaves) < len(x) * len(leaves) / 20
+    monkeypatch.setattr(model, "EXPLAIN_ROWS", 300)
+    assert np.array_equal(model.shap_values(grouped, x)[1], got)
+    assert all(np.array_equal(model.shap_values(grouped, x[i : i + 1])[1][0], got[i]) for i in range(60))
+    total = [sum(v * all(lo < row[f] <= hi for f, lo, hi, _ in path) for v, path in leaves) for row in x]
+    assert base + got.sum(axis=1) == pytest.approx(total)
+
+
+def test_rows_to_explain_are_dealt_out(spark):
+    """One file's rows become tasks of a shuffle's number, and rows without any give none."""
+    table = models.grid_table(spark, SF)
+    run = model.train(table, model.TrainRequest(features=models.FEATURES, trees=3, depth=3, spatial_split=False))
+    one = run["tested"].coalesce(1)
+    assert model.explain(run["model"], one, run["features"]).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert model.explain(run["model"], one.where("false"), run["features"]).count() == 0
+
+
 def test_a_run_is_kept_and_calibrated(spark, tmp_path):
     from pathlib import Path
 
