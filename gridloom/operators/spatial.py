@@ -60,10 +60,30 @@ def _id(*places: Column) -> Column:
     return (a * (1 << 40) + b * (1 << 20) + c).cast("long")
 
 
+#: Points that an occupied cube should hold on average at most, and how many times a cube's side is halved for that.
+CROWD, HALVINGS = 4, 8
+
+
+def _side(degrees: float) -> float:
+    return 2 * math.sin(math.radians(degrees) / 2)
+
+
+def fitting_side(points: DataFrame, step: float) -> tuple[int, float]:
+    """(points, side): how many ``points`` (r_u, r_v, r_w) there are, and the side of cubes of ``step`` degrees, halved while they hold more than CROWD points each. Halving ends
+    where it no longer parts them. The cubes are counted roughly: the side decides what is looked at first, not what is found."""
+    sides = [s for s in (_side(step / 2**k) for k in range(HALVINGS + 1)) if s == _side(step) or 2 / s < (1 << 20) - 2]
+    n, *cubes = points.agg(F.count("*"), *(F.approx_count_distinct(_id(*(_cube(f"r_{a}", s) for a in _AXES))) for s in sides)).first()
+    k = 0
+    while k + 1 < len(sides) and n > CROWD * cubes[k] and cubes[k + 1] > 1.5 * cubes[k]:
+        k += 1
+    return n, sides[k]
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> DataFrame:
     """``left``'s key with ``km``, the haversine distance to the nearest of ``right`` (lat, lon), MISSING_KM if there is none.
 
-    Places become points of the unit sphere, in cubes of ``step`` degrees. A row whose nearest among the 27 cubes around it is closer than a cube's side has its answer. The
+    Places become points of the unit sphere, in cubes of ``step`` degrees, or smaller ones where points crowd them. A row whose nearest among the 27 cubes around it is closer than a cube's
+    side has its answer; of rows and points, the few points are sent to the rows' tasks, and many are dealt to the cubes around them, so that a row is sent but once. The
     others descend from cubes as large as the globe, TIMES smaller at each level: of the occupied cubes inside those that are left, a row keeps those that begin
     no further off than the nearest point that it knows, each cube having one that stands for it. So a row's candidates depend on how many cubes are about as far as
     its answer, not on how many points there are. Haversine distances are taken of the last candidates alone. ``left``'s keys are unique. A row of ``left``
@@ -71,28 +91,36 @@ def nearest(left: DataFrame, right: DataFrame, key: str, step: float = 0.1) -> D
     """
     right = materialize(right.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).where("r_lat IS NOT NULL AND r_lon IS NOT NULL").distinct(), "nearest")
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    if right.isEmpty():
+    points = right.withColumns({f"r_{a}": c for a, c in _sphere("r_lat", "r_lon").items()})
+    n, side = fitting_side(points, step)
+    if not n:
         return left.select(key, F.when(placed, MISSING_KM).alias("km"))
     nowhere = left.where(~placed).select(key, F.lit(None).cast("double").alias("km"))
-    side = 2 * math.sin(math.radians(step) / 2)
-    points = right.withColumns({f"r_{a}": c for a, c in _sphere("r_lat", "r_lon").items()}).withColumns({f"c_{a}": _cube(f"r_{a}", side) for a in _AXES})
+    points = points.withColumns({f"c_{a}": _cube(f"r_{a}", side) for a in _AXES})
     points = points.select("r_lat", "r_lon", *(f"r_{a}" for a in _AXES), *(f"c_{a}" for a in _AXES), _id(*(F.col(f"c_{a}") for a in _AXES)).alias("cube"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
     chord = F.sqrt(sum((F.col(a) - F.col(f"r_{a}")) ** 2 for a in _AXES))
+    few = n * 64 <= BROADCAST_BYTES  # and so are the occupied cubes of any size
+    small = F.broadcast if few else (lambda level: level)
 
-    todo = left.where(placed).select(key, "lat", "lon").repartition(key).withColumns(_sphere("lat", "lon"))  # dealt out before they meet points: pairs need no exchange
+    todo = left.where(placed).select(key, "lat", "lon").repartition(key).withColumns(_sphere("lat", "lon"))  # dealt out before they meet points: pairs with few need no exchange
     near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    around = todo.withColumns({f"n_{a}": F.explode(near) for a in ("u",)}).withColumn("n_v", F.explode(near)).withColumn("n_w", F.explode(near))
-    around = around.withColumn("cube", _id(*(_cube(a, side) + F.col(f"n_{a}") for a in _AXES)))
+    shifts = lambda df: df.withColumn("n_u", F.explode(near)).withColumn("n_v", F.explode(near)).withColumn("n_w", F.explode(near))
+    if few:
+        pairs = shifts(todo).withColumn("cube", _id(*(_cube(a, side) + F.col(f"n_{a}") for a in _AXES))).join(F.broadcast(points), "cube")
+    else:
+        beside = {a: F.col(f"c_{a}") + F.col(f"n_{a}") for a in _AXES}
+        middle = {a: (c + 0.5) * side - 1.0 for a, c in beside.items()}
+        through = F.abs(F.sqrt(sum(c * c for c in middle.values())) - 1.0) <= side * 0.867  # the sphere passes within half a diagonal of a cube's middle, or not through the cube
+        dealt = shifts(points).where(through).withColumn("cube", _id(*beside.values())).select("cube", "r_lat", "r_lon", *(f"r_{a}" for a in _AXES))
+        pairs = todo.withColumn("cube", _id(*(_cube(a, side) for a in _AXES))).join(dealt, "cube")
     # without an answer in sight, a row has none of these
-    found = around.join(points, "cube").groupBy(key).agg(F.min(chord).alias("chord"), F.min(km).alias("km"))  # plain numbers: a least struct would sort all pairs
+    found = pairs.groupBy(key).agg(F.min(chord).alias("chord"), F.min(km).alias("km"))  # plain numbers: a least struct would sort all pairs
     done = materialize(found.where(F.col("chord") <= side * (1 - 1e-9)).select(key, "km"), "nearest")
     todo = materialize(todo.join(done.select(key), key, "left_anti"), "nearest")
     if todo.isEmpty():
         return done.unionByName(nowhere)
 
-    few = points.count() * 64 <= BROADCAST_BYTES  # and so are the occupied cubes of any size
-    small = F.broadcast if few else (lambda level: level)
     levels = [points.groupBy("cube").agg(*(F.first(f"c_{a}").alias(f"c_{a}") for a in _AXES), F.min(F.struct(*(f"r_{a}" for a in _AXES))).alias("rep"))]
     sides = [side]
     while sides[-1] < 1.0:

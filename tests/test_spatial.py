@@ -199,3 +199,41 @@ def test_nearest_never_sorts_pairs(spark, monkeypatch):
     found = {r.cell_id: r.km for r in spatial.nearest(left, left.where("cell_id % 7 = 0").select("lat", "lon"), "cell_id").collect()}
     assert len(found) == 300 and found[7] == 0
     assert len(plans) > 1 and not any("SortAggregate" in p for p in plans)
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_nearest_of_a_crowd_looks_at_few_pairs(spark, monkeypatch, many):
+    """1,024 places a kilometre's fifth apart, all within one cube of 0.1 degrees and those around it: a row used to meet every point. The same where points are too many to be sent."""
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(*four):
+        def one(lat, lon, r_lat, r_lon):
+            met.add(1)
+            p = math.sin(math.radians(r_lat - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(r_lat)) * math.sin(math.radians(r_lon - lon) / 2) ** 2
+            return 2 * 6371.0 * math.asin(math.sqrt(p))
+
+        return F.udf(one, "double")(*four)
+
+    monkeypatch.setattr(spatial, "haversine_km", counted)
+    if many:
+        monkeypatch.setattr(spatial, "BROADCAST_BYTES", 0)
+    places = [(i, 10.0 + i % 32 * 0.002, 120.0 + i // 32 * 0.002) for i in range(1024)]
+    left = places[::8] + [(5000, -40.0, 10.0), (5001, 10.5, 120.5), (5002, 89.99, 0.0)]
+    right = [(i, lat + 0.0003, lon) for i, lat, lon in places if i % 3]
+    out = spatial.nearest(frame(spark, left), frame(spark, right), "cell_id")
+    got = {r.cell_id: r.km for r in out.collect()}
+    assert len(got) == len(left)
+    for a in left:
+        assert got[a[0]] == pytest.approx(min(haversine(a, b) for b in right), rel=1e-9)
+    assert met.value < 100 * len(left) < len(left) * len(right) / 6
+
+
+def test_nearest_of_many_points_on_the_whole_globe(spark, monkeypatch):
+    """Points that are dealt to the cubes around them miss none: at poles, across longitude 180, on axes."""
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", 0)
+    rng = random.Random(7)
+    right = [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(60)] + [(90, 0.0, 180.0), (91, 90.0, 0.0), (92, 0.0, 0.0), (93, 0.0, 90.0), (94, -90.0, 5.0)]
+    left = [(i, max(-90.0, min(90.0, lat + rng.uniform(-0.06, 0.06))), lon + rng.uniform(-0.06, 0.06)) for i, lat, lon in right]
+    got = {r.cell_id: r.km for r in spatial.nearest(frame(spark, left), frame(spark, right), "cell_id").collect()}
+    for a in left:
+        assert got[a[0]] == pytest.approx(min(haversine(a, b) for b in right), rel=1e-6, abs=1e-6)
