@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.geo import KM_PER_DEGREE
 from gridloom.operators.spatial import radius_pairs, with_km
+from gridloom.plans.shared import dealt
 
 #: Side, in cells, of the squares of the grid that a task adds up.
 TILE = 64
@@ -54,7 +55,7 @@ def disc_sums(cells: DataFrame, values: list[str], radius: float, step: float) -
     widths = half_widths(facts.mean, step, radius) if on_grid else None
     if widths is None or max(w for _, w in widths) > TILE:
         return _by_pairs(cells, values, radius)
-    return _by_steps(cells, values, widths)
+    return _by_steps(cells, values, widths, facts.rows)
 
 
 def _by_pairs(cells: DataFrame, values: list[str], radius: float) -> DataFrame:
@@ -65,11 +66,12 @@ def _by_pairs(cells: DataFrame, values: list[str], radius: float) -> DataFrame:
     return filled.select("cell_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", *values)))
 
 
-def _by_steps(cells: DataFrame, values: list[str], widths: list[tuple[int, int]]) -> DataFrame:
+def _by_steps(cells: DataFrame, values: list[str], widths: list[tuple[int, int]], rows: int = 0) -> DataFrame:
     high, wide = max(dr for dr, _ in widths), max(w for _, w in widths)
     tiles = lambda c, reach: F.sequence(F.floor((F.col(c) - reach) / TILE), F.floor((F.col(c) + reach) / TILE))
     flat = cells.select("cell_id", F.col("rw").cast("long").alias("__r"), F.col("col").cast("long").alias("__c"), F.lit(1).cast("long").alias("n"), *(F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in values))
     copies = flat.withColumn("__tr", F.explode(tiles("__r", high))).withColumn("__tc", F.explode(tiles("__c", wide))).repartition("__tr", "__tc")
+    copies = dealt(copies, rows, "__tr", "__tc")
     inside = lambda r, c: (F.floor(r / TILE) == F.col("__tr")) & (F.floor(c / TILE) == F.col("__tc"))
 
     step = lambda r, c, sign: F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(sign).alias("sign"))
@@ -77,7 +79,7 @@ def _by_steps(cells: DataFrame, values: list[str], widths: list[tuple[int, int]]
     own = F.when(inside(F.col("__r"), F.col("__c")), F.array(step(0, 0, 0))).otherwise(F.array().cast("array<struct<r:int,c:int,sign:int>>"))  # sign 0 asks for the sum
     moved = copies.withColumn("__s", F.explode(F.concat(steps, own)))
     at_r, at_c = F.col("__r") + F.col("__s.r"), F.greatest(F.col("__c") + F.col("__s.c"), F.col("__tc") * TILE)  # what began before the square begins with it
-    rows = moved.select("__tr", "__tc", at_r.alias("__r"), at_c.alias("__c"), F.when(F.col("__s.sign") == 0, F.col("cell_id")).alias("cell_id"), *((F.col(v) * F.col("__s.sign")).alias(v) for v in ("n", *values)))
-    summed = rows.where(inside(F.col("__r"), F.col("__c"))).groupBy("__tr", "__tc", "__r", "__c", "cell_id").agg(*(F.sum(v).alias(v) for v in ("n", *values)))
+    placed = moved.select("__tr", "__tc", at_r.alias("__r"), at_c.alias("__c"), F.when(F.col("__s.sign") == 0, F.col("cell_id")).alias("cell_id"), *((F.col(v) * F.col("__s.sign")).alias(v) for v in ("n", *values)))
+    summed = placed.where(inside(F.col("__r"), F.col("__c"))).groupBy("__tr", "__tc", "__r", "__c", "cell_id").agg(*(F.sum(v).alias(v) for v in ("n", *values)))
     along = Window.partitionBy("__tr", "__tc", "__r").orderBy("__c")  # by range: all steps of a place count there
     return summed.select("cell_id", *(F.sum(v).over(along).alias(v) for v in ("n", *values))).where("cell_id IS NOT NULL")

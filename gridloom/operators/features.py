@@ -9,6 +9,7 @@ from gridloom.functions.scores import high_risk, pre_period_loss
 from gridloom.operators.discs import disc_sums
 from gridloom.operators.selection import exact_quantiles
 from gridloom.operators.spatial import nearest, radius_pairs, with_km
+from gridloom.plans.shared import dealt, materialize, small_side
 
 NEIGHBOR_KM, FIRE_KM = 15.0, 10.0
 
@@ -59,10 +60,11 @@ def frontier_distance(cells: DataFrame, first: int | None = None) -> DataFrame:
 
 
 def annual_loss_rate(cells: DataFrame) -> DataFrame:
-    """Percent a year: the region's pre-period losses over 19 years, doubled where the cell lost and halved where it didn't."""
-    base = cells.groupBy("region").agg(F.sum("pre_period_loss").alias("lost"), F.count("*").alias("rows"))
+    """Percent a year: the region's pre-period losses over 19 years, doubled where the cell lost and halved where it didn't. Regions are counted first; few go to
+    the cells, which by themselves would be exchanged to as many tasks as there are regions."""
+    base = materialize(cells.groupBy("region").agg(F.sum("pre_period_loss").alias("lost"), F.count("*").alias("rows")), "regions")
     rate = 100.0 * F.col("lost") / F.col("rows") / 19.0
-    joined = cells.join(base, "region")
+    joined = cells.join(small_side(base, F.octet_length("region")), "region")
     return joined.withColumn("rate", rate * F.when(F.col("pre_period_loss") == 1, 2.0).otherwise(0.5)).drop("lost", "rows")
 
 
@@ -85,9 +87,9 @@ def screening_features(cells: DataFrame, roads: DataFrame, rings: DataFrame, ele
     from gridloom.operators.spatial import inside_any
 
     c = cells.withColumn("tree_cover_2000_pct", F.col("tc10") / 10.0).withColumn("elevation_m", F.col(elevation) / 10.0)
-    out = annual_loss_rate(c).withColumnRenamed("rate", "annual_loss_rate_pct")
-    out = loss_acceleration(out, "annual_loss_rate_pct").withColumnRenamed("acceleration", "loss_acceleration")
-    rates = annual_loss_rate(cells)
+    rates = annual_loss_rate(c)
+    out = loss_acceleration(rates.withColumnRenamed("rate", "annual_loss_rate_pct"), "annual_loss_rate_pct").withColumnRenamed("acceleration", "loss_acceleration")
+    out = dealt(out, cells.count(), "cell_id")  # the joins below sort it and what they add
     over = rates.crossJoin(F.broadcast(exact_quantile(rates, "rate", 0.75, "__limit"))).withColumn("over", (F.col("rate") > F.col("__limit")).cast("long"))  # one row
     around = disc_sums(over, ["pre_period_loss", "tc10", "over"], NEIGHBOR_KM, step)
     per = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0))

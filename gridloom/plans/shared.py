@@ -66,6 +66,16 @@ def small_side(df: DataFrame, more: Column | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+#: Rows that a task should have at most on average where it keeps them in memory, to sort or to add up.
+TASK_ROWS = 150_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` in parts by ``by`` of TASK_ROWS each, of the ``rows`` that count, so that what a task keeps doesn't grow with them; as it is if they are few for the cores that there are."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *by) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing will read again."""
     for table in tables:

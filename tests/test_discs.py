@@ -84,3 +84,13 @@ def test_rounding_of_nothing(spark):
     df = spark.createDataFrame([(None, 1), (math.nan, 2)], "x double, k int")
     got = {r.k: r.x for r in present(df, {"x": 2}).collect()}
     assert got[1] is None and math.isnan(got[2])
+
+
+def test_what_a_task_adds_up_does_not_grow_with_the_cells(spark, monkeypatch):
+    from gridloom.plans import shared
+
+    cells = grid(spark, 40, 150).cache()
+    want = sorted(map(tuple, discs._by_pairs(cells, ["a"], 5.0).collect()))
+    monkeypatch.setattr(shared, "TASK_ROWS", 1000)
+    sums = discs.disc_sums(cells, ["a"], 5.0, 0.02)
+    assert sums.rdd.getNumPartitions() == 6 and sorted(map(tuple, sums.collect())) == want

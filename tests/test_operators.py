@@ -367,3 +367,30 @@ def test_feature_table_follows_its_tables(spark, tmp_path):
     (tmp_path / "customer.parquet").unlink()
     few.to_parquet(f"{tmp_path}/customer.parquet")
     assert models.feature_table(spark, str(tmp_path)).count() == 40
+
+
+def test_cells_are_not_exchanged_by_region(spark):
+    cells = models.grid_table(spark, SF)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the regions' size weren't known
+    try:
+        plan = features.annual_loss_rate(cells)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "hashpartitioning(region" not in plan
+
+
+def test_features_of_many_cells_come_in_parts_of_a_bounded_size(spark, monkeypatch):
+    from gridloom.plans import shared
+    from gridloom.sources import binding
+
+    cells = shared.materialize(binding.cells(spark, SF).drop("p", "p6", "predicted"), "cells")
+    found = []
+    for least in (shared.TASK_ROWS, 20):
+        monkeypatch.setattr(shared, "TASK_ROWS", least)
+        table = features.screening_features(cells, binding.roads(spark, SF), binding.areas(spark, SF))
+        found.append((table.rdd.getNumPartitions(), table.orderBy("cell_id").toPandas()))
+    (few, a), (many, b) = found
+    assert few <= 4 and many == -(-len(a) // 20)
+    np.testing.assert_allclose(a.pop("loss_acceleration"), b.pop("loss_acceleration"), rtol=0, atol=1e-9)
+    assert a.equals(b)
