@@ -394,3 +394,24 @@ def test_features_of_many_cells_come_in_parts_of_a_bounded_size(spark, monkeypat
     assert few <= 4 and many == -(-len(a) // 20)
     np.testing.assert_allclose(a.pop("loss_acceleration"), b.pop("loss_acceleration"), rtol=0, atol=1e-9)
     assert a.equals(b)
+
+
+def test_training_rows_are_dealt_evenly_and_learnt_alike(spark, monkeypatch):
+    """Whatever parts the rows come in, each core has its share and the same forest is learnt."""
+    monkeypatch.setattr(model, "LEARN_FROM", 1)
+    table = models.grid_table(spark, SF)
+    rows = table.count()
+    parts = model._evenly(table.coalesce(1), rows, "cell_id").rdd.glom().map(len).collect()
+    assert len(parts) == spark.sparkContext.defaultParallelism and max(parts) < 2 * rows / len(parts)
+    monkeypatch.setattr(model, "LEARN_ROWS", 10)
+    assert model._evenly(table, rows, "cell_id").rdd.getNumPartitions() == 4 * -(-rows // 40)
+    request = model.TrainRequest(trees=4, depth=4)
+    trees = [model.fit(t, models.FEATURES, request).stages[-1].toDebugString.split("\n", 1)[1] for t in (table.coalesce(1), table.repartition(7, "elev10"))]
+    assert trees[0] == trees[1]
+
+
+def test_a_brief_scores_its_region_once(spark, monkeypatch):
+    monkeypatch.setattr(models, "REQUEST", model.TrainRequest(trees=3, depth=3))
+    brief = models.region_brief(spark, SF)
+    plan = brief._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and '"region_name":"Asia"' in brief.first().report
